@@ -185,8 +185,8 @@ def i14_documents(spark, root):
 WITH g AS ({_gram_sql(2, 'conv_id', 'turn')} UNION ALL {_gram_sql(3, 'conv_id', 'turn')}),
 dt AS (SELECT conv_id, term, count(*) AS n FROM g GROUP BY 1, 2),
 i AS (SELECT term, ln((1 + (SELECT count(DISTINCT conv_id) FROM conversations)) / (1 + count(*))) + 1 AS idf FROM dt GROUP BY term),
-some AS (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 5),
-{_tfidf_sql('', key='conv_id').replace('ON dt.term = i.term', 'ON dt.term = i.term WHERE conv_id IN (SELECT conv_id FROM some)')}
+few AS (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 5),
+{_tfidf_sql('', key='conv_id').replace('ON dt.term = i.term', 'ON dt.term = i.term WHERE conv_id IN (SELECT conv_id FROM few)')}
 SELECT conv_id, term, {sr('tfidf')} AS tfidf FROM tf""")
 def i15(spark, root):
     d = gram_lines(spark, root)

@@ -33,3 +33,9 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", max_rows
     if len(rows) <= max_rows:
         small = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
     return df.join(small, on, how)
+
+
+def explode_rows(df: DataFrame, keep: Sequence[str], values: Column, name: str) -> DataFrame:
+    """One row per array element. The outer form with a filter behind it keeps Spark from adding
+    a ``size(values) > 0`` filter below, which would compute a costly array twice."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())

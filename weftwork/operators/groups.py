@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftwork.functions.frame import explode_rows
 from weftwork.functions.hashing import row_hash
 from weftwork.operators.scan import number_rows, prefix_scan
 
@@ -91,7 +92,7 @@ def fold_summary(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
 
 
 def vocabulary_size(df: DataFrame, tokens: Column, stop: Sequence[str]) -> DataFrame:
-    vocab = df.select(F.explode(tokens).alias("w")).distinct()
+    vocab = explode_rows(df, [], tokens, "w").distinct()
     return vocab.agg(F.count(F.lit(1)).alias("vocabulary"), F.count_if(~F.col("w").isin(*stop)).alias("vocabulary_no_stop"))
 
 
@@ -103,7 +104,7 @@ def head_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
 
 def top_words(df: DataFrame, by: str, tokens: Column, k: int, stop: Sequence[str] = ()) -> DataFrame:
     """The ``k`` most frequent words per group: (by, word, n, rank); ties by word."""
-    ws = df.select(by, F.explode(tokens).alias("word"))
+    ws = explode_rows(df, [by], tokens, "word")
     if stop:
         ws = ws.filter(~F.col("word").isin(*stop))
     counts = ws.groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"))

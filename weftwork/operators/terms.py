@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
-from weftwork.functions.frame import one_row
+from weftwork.functions.frame import explode_rows, one_row
 from weftwork.operators.scan import number_rows
 
 
@@ -38,12 +38,13 @@ def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFr
 
 def document_terms(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(id, term, n), one row of ``df`` being one document."""
-    return run_lengths(df, [id_col], tokens).select(id_col, F.inline("counts"))
+    rows = explode_rows(run_lengths(df, [id_col], tokens), [id_col], F.col("counts"), "c")
+    return rows.select(id_col, "c.term", "c.n")
 
 
 def group_terms(df: DataFrame, by: str, tokens: Column) -> DataFrame:
     """(by, term, n), all rows of a key being one document."""
-    return df.select(by, F.explode(tokens).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
+    return explode_rows(df, [by], tokens, "term").groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- dictionary and bag of words ---------------------------------------------------------
@@ -84,7 +85,7 @@ def bag_of_words(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFra
 
 
 def term_frequencies(df: DataFrame, tokens: Column, stop: Sequence[str] = (), top: int | None = None) -> DataFrame:
-    ws = df.select(F.explode(tokens).alias("term"))
+    ws = explode_rows(df, [], tokens, "term")
     if stop:
         ws = ws.filter(~F.col("term").isin(*stop))
     counts = ws.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +117,7 @@ def with_context(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: i
 
 def group_ngrams(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
     """(by, term) rows: n-grams of each group's concatenated tokens."""
-    return with_context(df, by, order, tokens, n).select(by, F.explode(T.ngrams(F.col(tokens), n)).alias("term"))
+    return explode_rows(with_context(df, by, order, tokens, n), [by], T.ngrams(F.col(tokens), n), "term")
 
 
 def ngram_counts(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftwork.functions import text as T
+from weftwork.functions.frame import explode_rows
 
 
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -55,7 +56,7 @@ def sentiment(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> Data
 
     The lexicon joins the exploded words, so it may be any size; Spark broadcasts it when small.
     """
-    ws = df.select(id_col, F.explode(T.words(T.feature_text(F.col(text)))).alias("word"))
+    ws = explode_rows(df, [id_col], T.words(T.feature_text(F.col(text))), "word")
     sums = ws.join(lexicon, "word").groupBy(id_col).agg(F.sum("valence").alias("s"))
     score = F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15.0), F.lit(0.0))
     return df.select(id_col).join(sums, id_col, "left").select(id_col, score.alias("sentiment_score"))
