@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.profile import LINE_NUM
-from queries.registry import SEED, S, query, r, rounded, rounded_features, sql_feature_ctes, sql_features, sql_strip, sr, t
+from queries.registry import SEED, S, query, r, rounded, rounded_features, sql_feature_ctes, sql_features, sql_strip, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import clean
 from weftwork.operators.combine import dedup_keep_first
@@ -43,7 +43,7 @@ k AS (SELECT s.* FROM s JOIN d ON s.doc_id = d.doc_id),
 SELECT lang, count(*) AS n, {', '.join(f"{sr(f'avg({c})', 4)} AS {c}" for c in FLAG_COLS)}
 FROM feats WHERE {' AND '.join(QUALITY_SQL.values())} GROUP BY lang""")
 def corpus_quality(spark, root):
-    d = clean.strip_min_chars(t(spark, root, "documents").select("doc_id", "lang", "text"), "text", 1)
+    d = clean.strip_min_chars(texts(spark, root).select("doc_id", "lang", "text"), "text", 1)
     d = dedup_keep_first(d, ["text"], "doc_id", digest=["text"])
     kept, _ = clean.apply_rules(text_features(d), quality_rules())
     out = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in FLAG_COLS])
@@ -99,7 +99,7 @@ def c07(spark, root):
 @query("c08_apply_rules", f"""WITH {sql_feature_ctes(keys='doc_id, lang')}
 SELECT doc_id, word_count, {sr('flesch_reading_ease')} AS flesch_reading_ease FROM feats WHERE {' AND '.join(QUALITY_SQL.values())}""")
 def c08(spark, root):
-    kept, _ = clean.apply_rules(text_features(t(spark, root, "documents")), quality_rules())
+    kept, _ = clean.apply_rules(text_features(texts(spark, root)), quality_rules())
     return rounded(kept.select("doc_id", "word_count", "flesch_reading_ease"), "flesch_reading_ease")
 
 
@@ -109,7 +109,7 @@ UNION ALL SELECT 'rows_after_filters', count(*) FROM feats WHERE {' AND '.join(Q
 UNION ALL SELECT 'total_dropped', count(*) FROM feats WHERE NOT ({' AND '.join(QUALITY_SQL.values())})
 """ + " ".join(f"UNION ALL SELECT '{k}', count(*) FROM feats WHERE NOT ({v})" for k, v in QUALITY_SQL.items()))
 def c08_report(spark, root):
-    return clean.apply_rules(text_features(t(spark, root, "documents")), quality_rules())[1]
+    return clean.apply_rules(text_features(texts(spark, root)), quality_rules())[1]
 
 
 @query("c09_drop_constant", "SELECT event_id, event_type, value, user_id FROM events")
@@ -218,7 +218,7 @@ SELECT doc_id, word_count::DOUBLE AS word_count, {sr('lexical_diversity')} AS le
   length(text)::DOUBLE AS length, 0.0::DOUBLE AS potential_noise, 0.0::DOUBLE AS lang_en, 1.0::DOUBLE AS lang_unknown, 1.0::DOUBLE AS model_unknown_model FROM feats""")
 def c21(spark, root):
     out = clean.inference_frame(
-        t(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", FIXED_COLUMNS, ["lang_unknown", "model_unknown_model"]
+        texts(spark, root).select("doc_id", "text"), "doc_id", "text", FIXED_COLUMNS, ["lang_unknown", "model_unknown_model"]
     )
     return rounded(out, "lexical_diversity", "burstiness")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import query, r, rounded, rounded_features, sql_feature_ctes, sr, t
+from queries.registry import query, r, rounded, rounded_features, sql_feature_ctes, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import combine
 from weftwork.operators.encode import one_hot
@@ -39,7 +39,7 @@ SELECT f.doc_id, word_count, {sr('lexical_diversity')} AS lexical_diversity, lan
 FROM feats f JOIN labels l ON f.doc_id = l.doc_id""")
 def d03(spark, root):
     d = t(spark, root, "documents")
-    feats = text_features(d).select("doc_id", "word_count", "lexical_diversity")
+    feats = text_features(texts(spark, root)).select("doc_id", "word_count", "lexical_diversity")
     flags = one_hot(d.select("doc_id", "lang"), "lang", "lang").drop("lang")
     return rounded(combine.join_blocks([feats, flags, t(spark, root, "labels")], "doc_id"), "lexical_diversity")
 

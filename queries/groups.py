@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.combine import ROLE_TURN, role_turn
-from queries.registry import ENGLISH, SEED, in_list, query, r, rounded, sr, t
+from queries.registry import ENGLISH, SEED, in_list, query, r, rounded, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
 from weftwork.operators import groups
@@ -19,7 +19,7 @@ LINE_WORDS = rf"regexp_extract_all({NOPUNCT}, '{T.NON_SPACE}')"
 
 def dialogue(spark, root):
     """Dialogue lines with punctuation removed and their words."""
-    d = t(spark, root, "conversations").withColumn("plain", T.strip_punct(F.col("text")))
+    d = texts(spark, root, "conversations").withColumn("plain", T.strip_punct(F.col("text")))
     return d.withColumn("words", T.split_ws(F.col("plain")))
 
 
@@ -129,7 +129,7 @@ tf AS (SELECT role, term, w / sqrt(sum(w * w) OVER (PARTITION BY role)) AS tfidf
 
 
 def role_tfidf(spark, root):
-    d = t(spark, root, "conversations").withColumn("terms", T.terms(T.strip_punct(F.col("text"))))
+    d = texts(spark, root, "conversations").withColumn("terms", T.terms(T.strip_punct(F.col("text"))))
     counts = group_terms(d, "role", F.filter("terms", lambda x: ~x.isin(*ENGLISH)))
     return transform_tfidf(counts, fit_idf(counts, document_count(d, "role")), "role")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
-from queries.registry import SEED, query, r, rounded, sr, t
+from queries.registry import SEED, query, r, rounded, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import clusters, combine, models, split
 from weftwork.operators.encode import vector
@@ -194,7 +194,7 @@ DOC_FEATURES = ["word_count", "lexical_diversity", "avg_sentence_length", "avg_w
 
 
 def labelled_features(spark, root):
-    d = t(spark, root, "documents").join(t(spark, root, "labels").select("doc_id", "quality"), "doc_id")
+    d = texts(spark, root).join(t(spark, root, "labels").select("doc_id", "quality"), "doc_id")
     d = split.stratified_folds(text_features(d), "quality", 3, "doc_id", SEED)
     x = F.array(*[F.col(c).cast("double") for c in DOC_FEATURES])
     return materialise(d.select("doc_id", "fold", F.col("quality").cast("double").alias("label"), x.alias("x"), vector(x).alias("features")))

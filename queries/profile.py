@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import SEED, query, r, rounded, sql_feature_ctes, sr, t
+from queries.registry import SEED, query, r, rounded, sql_feature_ctes, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import profile
 from weftwork.operators.encode import one_hot
@@ -163,7 +163,7 @@ ANOMALY_SQL = {
 @query("b14_rule_counts", f"WITH {sql_feature_ctes(keys='doc_id, n_chars')} " + " UNION ALL ".join(
     f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS n FROM feats" for k, v in ANOMALY_SQL.items()))
 def b14(spark, root):
-    return profile.rule_counts(text_features(t(spark, root, "documents")), anomaly_rules())
+    return profile.rule_counts(text_features(texts(spark, root)), anomaly_rules())
 
 
 @query("b15_flag_sums", "SELECT 'lang_' || lang AS \"column\", count(*) AS n FROM documents GROUP BY lang")

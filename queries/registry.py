@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
-from weftwork.session import table
+from weftwork.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,11 @@ def t(spark: SparkSession, root: str, name: str) -> DataFrame:
     return table(spark, root, name)
 
 
+def texts(spark: SparkSession, root: str, name: str = "documents") -> DataFrame:
+    """A text table ahead of costly per-row work."""
+    return spread(table(spark, root, name))
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Both engines round, since sums of doubles depend on the order of addition."""
     return df.withColumns({c: r(F.col(c), digits) for c in cols})

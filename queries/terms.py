@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.groups import LINE_WORDS, NOPUNCT, ROLE_TFIDF, dialogue, role_tfidf
-from queries.registry import ENGLISH, S, SPANISH, W, in_list, lit_list, query, r, rounded, sr, t
+from queries.registry import ENGLISH, S, SPANISH, W, in_list, lit_list, query, r, rounded, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
 from weftwork.operators import terms
@@ -16,7 +16,7 @@ KEPT = f"list_filter({TOKENS}, lambda t: NOT list_contains({lit_list(ENGLISH)},
 
 
 def cleaned(spark, root):
-    return t(spark, root, "documents").select("doc_id", "lang", T.clean_tokens_text(F.col("text")).alias("clean"))
+    return texts(spark, root).select("doc_id", "lang", T.clean_tokens_text(F.col("text")).alias("clean"))
 
 
 def kept_tokens(spark, root):
@@ -120,7 +120,7 @@ GRAM_TOKENS = f"list_filter(regexp_extract_all(lower({NOPUNCT}), '[{T.WORD_CHAR}
 
 
 def gram_lines(spark, root):
-    d = t(spark, root, "conversations").withColumn("terms", T.terms(T.strip_punct(F.col("text"))))
+    d = texts(spark, root, "conversations").withColumn("terms", T.terms(T.strip_punct(F.col("text"))))
     return d.withColumn("terms", F.filter("terms", lambda x: ~x.isin(*ENGLISH)))
 
 
@@ -176,7 +176,7 @@ i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) +
 {_tfidf_sql('')}
 SELECT doc_id, term, {sr('tfidf')} AS tfidf FROM tf""")
 def i14_documents(spark, root):
-    d = t(spark, root, "documents")
+    d = texts(spark, root)
     tokens = F.filter(T.terms(F.col("text")), lambda x: ~x.isin(*ENGLISH))
     return rounded(terms.tfidf(d, "doc_id", tokens), "tfidf")
 
@@ -219,7 +219,7 @@ WB_GRAMS = " UNION ALL ".join(
 WITH p AS (SELECT doc_id, ' ' || unnest(regexp_extract_all({PLAIN}, '{T.NON_SPACE}')) || ' ' AS p FROM documents),
 {_char_tfidf_sql(WB_GRAMS, 'documents', 'doc_id', 3000, '1 + ln(n)')}""")
 def i16(spark, root):
-    return rounded(terms.char_tfidf(t(spark, root, "documents"), "doc_id", "text", max_features=3000), "tfidf")
+    return rounded(terms.char_tfidf(texts(spark, root), "doc_id", "text", max_features=3000), "tfidf")
 
 
 RAW_GRAMS = " UNION ALL ".join(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import FEATURE_TYPES, query, rounded, rounded_features, sql_feature_ctes, sql_features, sr, t
+from queries.registry import FEATURE_TYPES, query, rounded, rounded_features, sql_feature_ctes, sql_features, sr, texts
 from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
 from weftwork.operators.textfeat import sentiment, text_features
@@ -29,7 +29,7 @@ NAMES = {
 def _register(name: str, feature: str) -> None:
     @query(name, f"WITH {sql_feature_ctes(keys='doc_id, lang')} SELECT doc_id, {sql_features([feature])} FROM feats")
     def one(spark, root):
-        out = text_features(t(spark, root, "documents")).select("doc_id", feature)
+        out = text_features(texts(spark, root)).select("doc_id", feature)
         return rounded(out, feature) if FEATURE_TYPES[feature] == "double" else out
 
 
@@ -45,9 +45,9 @@ s AS (SELECT doc_id, sum(valence) AS s FROM (SELECT doc_id, unnest(words) AS wor
 SELECT d.doc_id, {sr('coalesce(s / sqrt(s * s + 15.0), 0)')} AS sentiment_score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
 def h11(spark, root):
     lexicon = spark.createDataFrame(list(wl.DEFAULT_LEXICON.items()), "word string, valence double")
-    return rounded(sentiment(t(spark, root, "documents"), "doc_id", "text", lexicon), "sentiment_score")
+    return rounded(sentiment(texts(spark, root), "doc_id", "text", lexicon), "sentiment_score")
 
 
 @query("h15_text_features", f"WITH {sql_feature_ctes(keys='doc_id, lang')} SELECT doc_id, lang, {sql_features()} FROM feats")
 def h15(spark, root):
-    return rounded_features(text_features(t(spark, root, "documents")).select("doc_id", "lang", *T.FEATURES))
+    return rounded_features(text_features(texts(spark, root)).select("doc_id", "lang", *T.FEATURES))

@@ -147,16 +147,14 @@ def complex_words(clean: Column) -> Column:
 def burstiness(sents: Column) -> Column:
     """Population std of words per sentence over (mean + 1e-6), from integer sums."""
     sizes = F.transform(sents, lambda s: F.regexp_count(s, F.lit(NON_SPACE)).cast("bigint"))
-    sums = F.aggregate(
+    ratio = F.aggregate(
         sizes,
         F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q")),
         lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
-        lambda a: F.struct(
-            (F.sqrt((F.size(sents) * a["q"] - a["s"] * a["s"]).cast("double")) / F.size(sents)).alias("std"),
-            (a["s"].cast("double") / F.size(sents)).alias("mean"),
-        ),
+        lambda a: (F.sqrt((F.size(sents) * a["q"] - a["s"] * a["s"]).cast("double")) / F.size(sents))
+        / (a["s"].cast("double") / F.size(sents) + F.lit(1e-6)),
     )
-    return F.when(F.size(sents) > 0, sums["std"] / (sums["mean"] + F.lit(1e-6))).otherwise(F.lit(0.0))
+    return F.when(F.size(sents) > 0, ratio).otherwise(F.lit(0.0))
 
 
 def passive_matches(clean: Column) -> Column:

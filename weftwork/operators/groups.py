@@ -44,7 +44,7 @@ def concat_text(df: DataFrame, by: str, text: str, order: Sequence[str], sep: st
     return (
         numbered.withColumn("chunk", F.floor(F.col("_pos") / chunk_rows).cast("bigint"))
         .groupBy(by, "chunk")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
         .select(by, "chunk", F.array_join(F.transform("_items", lambda x: x["_text"]), sep).alias(text))
     )
 

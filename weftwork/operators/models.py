@@ -146,10 +146,10 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
     )
     if stats.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    eps = F.array_max(whole["v"]) * ((whole["n"] - 1) / whole["n"]) * smoothing
-    stats = stats.select(
+    eps = F.array_max("_all.v") * ((F.col("_all.n") - 1) / F.col("_all.n")) * smoothing
+    stats = stats.withColumn("_all", whole).select(
         "c",
-        F.log(F.col("n") / whole["n"]).alias("prior"),
+        F.log(F.col("n") / F.col("_all.n")).alias("prior"),
         "m",
         F.transform("s", lambda x: x * (F.col("n") - 1) / F.col("n") + eps).alias("s"),
     )

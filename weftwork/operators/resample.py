@@ -25,7 +25,7 @@ def smote(df: DataFrame, id_col: str, features: str, label: str, minority=1, k:
     points = df.filter(F.col(label) == minority).select(id_col, F.col(features).cast("array<double>").alias(features))
     near = nearest_rows(points, points, id_col, features, k, exclude_self=True)
     near = near.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour").alias("id")))).alias("_near")  # k entries
+        F.sort_array(F.collect_list(F.struct("rank", F.col("neighbour").alias("id")))).alias("_near")  # k entries
     )
     base, extra = divmod(need, few)
     # the rows with the smallest hashes take one copy more

@@ -47,7 +47,7 @@ def hash_cuts(df: DataFrame, stratum: str, cuts: Column, h: str, id_col: str) ->
         edge.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") == F.col("_k"))
         .groupBy("_s")
-        .agg(F.array_sort(F.collect_list("_h0")).alias("_cuts"))
+        .agg(F.sort_array(F.collect_list("_h0")).alias("_cuts"))
     )
 
 

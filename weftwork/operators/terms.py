@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
-from weftwork.functions.frame import explode_rows, one_row
+from weftwork.functions.frame import SMALL_ROWS, explode_rows, one_row
 from weftwork.operators.scan import number_rows
 
 
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
     """(ids, counts: array of (term, n)) per row, counted inside the row without a shuffle."""
-    rows = df.select(*id_cols, F.array_sort(tokens).alias("_s"))
+    rows = df.select(*id_cols, F.sort_array(tokens).alias("_s"))
     rows = rows.withColumn(
         "_at",
         F.when(
@@ -72,7 +72,7 @@ def doc2bow(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -
     """(id, bow: array of (token_id, n) by token_id) of documents with a dictionary token."""
     long = document_terms(df, id_col, tokens).withColumnRenamed("term", "token")
     pairs = long.join(dictionary.select("token", "token_id"), "token")
-    return pairs.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("token_id", "n"))).alias("bow"))
+    return pairs.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("token_id", "n"))).alias("bow"))
 
 
 def bag_of_words(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def with_context(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: i
         by, "_i", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("_d"), tail.alias("_t")
     ).select(by, (F.col("_i") + F.col("_d")).alias("_i"), F.struct((-F.col("_d")).alias("d"), F.col("_t").alias("t")).alias("_p"))
     before = handed.groupBy(by, "_i").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["t"])).alias("_b")  # at most n-1 parts
+        F.flatten(F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["t"])).alias("_b")  # at most n-1 parts
     )
     last = F.slice("_b", F.greatest(F.size("_b") - F.lit(n - 2), F.lit(1)), F.lit(n - 1))
     joined = rows.join(before, [by, "_i"], "left")
@@ -153,10 +153,17 @@ def fit_idf(terms: DataFrame, documents: Column | int, min_df: int = 1, max_feat
     return stats.select("term", (F.log((n + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)).alias("idf"))
 
 
-def transform_tfidf(terms: DataFrame, idf: DataFrame, id_col: str, sublinear: bool = False) -> DataFrame:
-    """(id, term, tfidf) with unit Euclidean length per document; the idf table is the model."""
+def transform_tfidf(terms: DataFrame, idf: DataFrame, id_col: str, sublinear: bool = False, row_documents: bool = False) -> DataFrame:
+    """(id, term, tfidf) with unit Euclidean length per document; the idf table is the model.
+
+    ``row_documents`` tells that a document is one row of text: its terms then fit a window
+    over the id, and nothing is computed twice. Group documents of any size use a join.
+    """
     tf = F.lit(1.0) + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
     raw = terms.join(idf, "term").select(id_col, "term", (tf * F.col("idf")).alias("_w"))
+    if row_documents:
+        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+        return raw.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
     norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return raw.join(norms, id_col).select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("tfidf"))
 
@@ -169,7 +176,10 @@ def tfidf(df: DataFrame, id_col: str, tokens: Column, min_df: int = 1, max_featu
     """TF-IDF where each row is a document."""
     counts = document_terms(df, id_col, tokens)
     rows = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
-    return transform_tfidf(counts, fit_idf(counts, rows, min_df, max_features), id_col, sublinear)
+    idf = fit_idf(counts, rows, min_df, max_features)
+    if max_features is not None and max_features <= SMALL_ROWS:
+        idf = F.broadcast(idf)  # at most max_features rows
+    return transform_tfidf(counts, idf, id_col, sublinear, row_documents=True)
 
 
 def char_tfidf(

@@ -32,6 +32,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all cores, ahead of work that
+    costs much more per row than moving it. A large table has more splits and is left as it is.
+
+    Only for plain scans: counting the splits of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
