@@ -45,7 +45,7 @@ FROM feats WHERE {' AND '.join(QUALITY_SQL.values())} GROUP BY lang""")
 def corpus_quality(spark, root):
     d = clean.strip_min_chars(texts(spark, root).select("doc_id", "lang", "text"), "text", 1)
     d = dedup_keep_first(d, ["text"], "doc_id", digest=["text"])
-    kept, _ = clean.apply_rules(text_features(d), quality_rules())
+    kept, _ = clean.apply_rules(text_features(d), quality_rules(), derived=True)
     out = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in FLAG_COLS])
     return rounded(out, *FLAG_COLS, digits=4)
 
@@ -99,7 +99,7 @@ def c07(spark, root):
 @query("c08_apply_rules", f"""WITH {sql_feature_ctes(keys='doc_id, lang')}
 SELECT doc_id, word_count, {sr('flesch_reading_ease')} AS flesch_reading_ease FROM feats WHERE {' AND '.join(QUALITY_SQL.values())}""")
 def c08(spark, root):
-    kept, _ = clean.apply_rules(text_features(texts(spark, root)), quality_rules())
+    kept, _ = clean.apply_rules(text_features(texts(spark, root)), quality_rules(), derived=True)
     return rounded(kept.select("doc_id", "word_count", "flesch_reading_ease"), "flesch_reading_ease")
 
 

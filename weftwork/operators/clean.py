@@ -52,8 +52,13 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
 
 
-def apply_rules(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows meeting every rule, and a report of how many rows break each one."""
+def apply_rules(df: DataFrame, rules: Mapping[str, Column], derived: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows meeting every rule, and a report of how many rows break each one.
+
+    ``derived``: the rules are on columns that are costly to compute. They are then tested on
+    the output of a generator, below which Spark does not push the filter; pushed down, it
+    would compute those columns once more for the test.
+    """
     ok = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
     every = F.lit(True)
     for c in ok.values():
@@ -67,7 +72,10 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     entries = [("rows_start", {"n": F.col("rows")}), ("rows_after_filters", {"n": F.col("kept")})]
     entries += [("total_dropped", {"n": F.col("rows") - F.col("kept")})]
     entries += [(r, {"n": F.col(f"v{i}")}) for i, r in enumerate(names)]
-    return df.filter(every), melt(row, entries, key="rule")
+    report = melt(row, entries, key="rule")
+    if derived:
+        return df.select("*", F.explode_outer(F.array(every)).alias("_ok")).filter("_ok").drop("_ok"), report
+    return df.filter(every), report
 
 
 def drop_constant(df: DataFrame, keep: Sequence[str] = ("label",), dropna: bool = False) -> DataFrame:

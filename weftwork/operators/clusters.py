@@ -7,6 +7,8 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.functions.frame import one_row
@@ -23,7 +25,15 @@ def fit_kmeans(df: DataFrame, k: int, n_init: int = 1, seed: int = 42, max_iter:
 
 
 def elbow(df: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
-    rows = [(int(k), float(fit_kmeans(df, k, seed=seed).summary.trainingCost)) for k in ks]
+    """(k, cost): sum of squared distances to the centres; one cluster is the spread around the mean."""
+    rows = []
+    for k in ks:
+        if k == 1:
+            v = vector_to_array(Summarizer.variance(F.col("features")))
+            spread = df.agg(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) * (F.count(F.lit(1)) - 1))
+            rows.append((1, float(spread.first()[0])))
+        else:
+            rows.append((int(k), float(fit_kmeans(df, k, seed=seed).summary.trainingCost)))
     return df.sparkSession.createDataFrame(rows, "k int, cost double")
 
 
