@@ -20,7 +20,7 @@ def folder(spark, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex[:12]}"
 
 
-ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 ORDER_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) + 0.0 AS o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 

@@ -209,3 +209,16 @@ def test_split_fallback(spark, skewed):
     assert reason == "no label column" and 120 < out.filter("split = 'test'").count() < 280
     with pytest.raises(ValueError):
         split.flag_split(skewed.withColumn("f", F.lit(1)), "f")
+
+
+def test_large_samples_and_top_rows_are_cut_exactly(spark, monkeypatch):
+    from weftwork.operators import scan
+
+    df = spark.createDataFrame([(i, i * 37 % 1000) for i in range(1000)], "id long, v long")
+    few = {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()}
+    top = [r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()]
+    monkeypatch.setattr(split, "TAKE_ROWS", 0)
+    monkeypatch.setattr(scan, "TAKE_ROWS", 0)
+    assert {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()} == few and len(few) == 300
+    assert split.sample_n(df, 5000, "id", 9).count() == 1000
+    assert sorted((r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()), reverse=True) == top

@@ -206,3 +206,14 @@ def test_pca_components_are_uncorrelated(blobs):
     out, ratios = encode.pca(df.select("id", encode.vector("x").alias("features")), 2)
     r = out.select(F.corr(F.col("pcs")[0], F.col("pcs")[1])).first()[0]
     assert abs(r) < 1e-6 and ratios[0] > 0.9
+
+
+@pytest.mark.parametrize("limit", [4, 50])
+def test_dbscan_splits_undecided_boxes(spark, monkeypatch, limit):
+    monkeypatch.setattr(clusters, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(clusters, "FIRST_SPLIT", 1)
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.uniform(0, 1, (250, 2)), rng.uniform(0, 1, (100, 2)) + [1.12, 0]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    got = {r["id"]: r["cluster"] for r in clusters.dbscan(df, "id", ["a", "b"], 0.11, 4).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.11, 4)

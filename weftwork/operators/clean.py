@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.functions import text as T
 from weftwork.functions.frame import melt
-from weftwork.functions.hashing import row_hash
 from weftwork.operators import profile
 from weftwork.operators.quantiles import exact_quantiles, number
+from weftwork.operators.split import sample_n
 
 
 def strip_min_chars(df: DataFrame, text: str, n: int = 1) -> DataFrame:
@@ -153,7 +153,7 @@ def map_codes(df: DataFrame, col: str, mapping: Mapping, name: str) -> DataFrame
 def filter_classes(df: DataFrame, label: str, classes: Sequence, id_col: str, max_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Rows of the listed classes, optionally a seeded choice of ``max_rows`` of them."""
     kept = df.filter(F.col(label).isin(*classes))
-    return kept if max_rows is None else kept.orderBy(row_hash(id_col, seed), id_col).limit(max_rows)
+    return kept if max_rows is None else sample_n(kept, max_rows, id_col, seed)
 
 
 def scale_array(col: str | Column, k: float) -> Column:

@@ -16,6 +16,8 @@ from weftwork.operators.scan import number_rows
 from weftwork.session import materialise
 
 MAX_CENTRES = 10_000
+FIRST_SPLIT = 8  # sub-cells per cell side
+PAIR_LIMIT = 10_000  # points of two sub-cells compared one by one
 
 
 def fit_kmeans(df: DataFrame, k: int, n_init: int = 1, seed: int = 42, max_iter: int = 20):
@@ -102,7 +104,61 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     raise RuntimeError("components did not settle")
 
 
-def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, min_samples: int, refine: int = 8) -> DataFrame:
+def _touching_cells(core: DataFrame, offsets: Sequence[tuple[int, ...]], side: float, eps_sq: float, dims: int) -> DataFrame:
+    """(a, b): neighbouring cells holding core points within eps of each other.
+
+    The points of a cell are summed up in the boxes of sub-cells. Two boxes whose farthest
+    corners are within eps connect their cells, two that are farther apart do not; undecided
+    boxes are split further while they hold many points, and compared by points once they hold few.
+    """
+    scale = FIRST_SPLIT
+    lows = F.array(*[F.min(F.col("x")[i]) for i in range(dims)]).alias("lo")
+    highs = F.array(*[F.max(F.col("x")[i]) for i in range(dims)]).alias("hi")
+    zero = F.lit(0.0)
+    apart = sum((F.greatest(F.col("lb")[i] - F.col("ha")[i], F.col("la")[i] - F.col("hb")[i], zero) ** 2 for i in range(dims)), zero)
+    widest = sum((F.greatest(F.col("hb")[i] - F.col("la")[i], F.col("ha")[i] - F.col("lb")[i]) ** 2 for i in range(dims)), zero)
+
+    def split(points: DataFrame) -> DataFrame:
+        return points.withColumn("sub", F.transform("x", lambda v: F.floor(v * scale / side).cast("bigint")))
+
+    def boxes_of(points: DataFrame, *keys: str) -> DataFrame:
+        return points.groupBy(*keys, "sub").agg(lows, highs, F.count(F.lit(1)).alias("n"))
+
+    def sides(boxes: DataFrame, s: str, *keys: Column) -> DataFrame:
+        return boxes.select(*keys, F.col("node").alias(s), F.col("sub").alias(f"s{s}"), F.col("lo").alias(f"l{s}"), F.col("hi").alias(f"h{s}"), F.col("n").alias(f"n{s}"))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        kept = pairs.withColumns({"near": apart, "wide": widest}).filter(F.col("near") <= eps_sq * (1 + 1e-9))
+        return materialise(kept.select("a", "b", "sa", "sb", "na", "nb", (F.col("wide") <= eps_sq * (1 - 1e-9)).alias("sure")))
+
+    points = materialise(split(core))
+    boxes = materialise(boxes_of(points, "cell", "node"))
+    half = [o for o in offsets if o > tuple([0] * dims)]
+    judged = judge(sides(boxes, "a", F.explode(_shifted("cell", half)).alias("cell")).join(sides(boxes, "b", F.col("cell")), "cell"))
+    found = judged.filter("sure").select("a", "b").distinct()
+    while True:
+        found = materialise(found)
+        left = materialise(judged.filter(~F.col("sure")).join(found, ["a", "b"], "left_anti"))
+        few = left.filter(F.col("na") * F.col("nb") <= PAIR_LIMIT)
+        pa = points.select(F.col("node").alias("a"), F.col("sub").alias("sa"), F.col("x").alias("xa"))
+        pb = points.select(F.col("node").alias("b"), F.col("sub").alias("sb"), F.col("x").alias("xb"))
+        close = few.join(pa, ["a", "sa"]).join(pb, ["b", "sb"]).filter(_sq_gap(F.col("xa"), F.col("xb")) <= eps_sq)
+        found = found.unionByName(close.select("a", "b").distinct()).distinct()
+        many = left.filter(F.col("na") * F.col("nb") > PAIR_LIMIT)
+        if not many.limit(1).count():
+            return found
+        wanted = many.select(F.col("a").alias("node"), F.col("sa").alias("sub")).unionByName(
+            many.select(F.col("b").alias("node"), F.col("sb").alias("sub"))).distinct()
+        inner = points.join(wanted, ["node", "sub"]).select("node", F.col("sub").alias("up"), "x")
+        scale *= 2
+        points = materialise(split(inner))
+        boxes = materialise(boxes_of(points, "node", "up"))
+        pairs = many.select("a", "b", F.col("sa").alias("ua"), F.col("sb").alias("ub"))
+        judged = judge(pairs.join(sides(boxes, "a", F.col("up").alias("ua")), ["a", "ua"]).join(sides(boxes, "b", F.col("up").alias("ub")), ["b", "ub"]))
+        found = found.unionByName(judged.filter("sure").select("a", "b")).distinct()
+
+
+def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, min_samples: int) -> DataFrame:
     """(id, cluster): density clusters, -1 for noise; a row's own copy counts as its neighbour.
 
     Equal points are merged first. Cells have eps as diagonal, so points of one cell are
@@ -137,31 +193,7 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, min_samp
 
     # cells with core points are nodes, named by their smallest core id
     cells = materialise(core.groupBy("cell").agg(F.min("id").alias("node")))
-    sub = core.withColumn("sub", F.transform("x", lambda v: F.floor(v * refine / side).cast("bigint")))
-    boxes = sub.groupBy("cell", "sub").agg(
-        F.array(*[F.min(F.col("x")[i]) for i in range(dims)]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in range(dims)]).alias("hi")
-    )
-    boxes = materialise(boxes.join(cells, "cell"))
-    half = [o for o in offsets if o > tuple([0] * dims)]
-    left = boxes.select(F.col("node").alias("a"), F.col("sub").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"),
-                        F.explode(_shifted("cell", half)).alias("cell"))
-    right = boxes.select("cell", F.col("node").alias("b"), F.col("sub").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    pair = left.join(right, "cell")
-    zero = F.lit(0.0)
-    apart = sum((F.greatest(F.col("lb")[i] - F.col("ha")[i], F.col("la")[i] - F.col("hb")[i], zero) ** 2 for i in range(dims)), zero)
-    widest = sum((F.greatest(F.col("hb")[i] - F.col("la")[i], F.col("ha")[i] - F.col("lb")[i]) ** 2 for i in range(dims)), zero)
-    judged = materialise(
-        pair.withColumns({"near": apart, "wide": widest}).filter(F.col("near") <= eps_sq * (1 + 1e-9))
-        .select("a", "b", "sa", "sb", (F.col("wide") <= eps_sq * (1 - 1e-9)).alias("sure"))
-    )
-    sure = judged.filter("sure").select("a", "b").distinct()
-    open_pairs = judged.join(sure, ["a", "b"], "left_anti").select("a", "b", "sa", "sb")
-    named = sub.join(cells, "cell").select("node", "sub", "x")
-    pa = named.select(F.col("node").alias("a"), F.col("sub").alias("sa"), F.col("x").alias("xa"))
-    pb = named.select(F.col("node").alias("b"), F.col("sub").alias("sb"), F.col("x").alias("xb"))
-    touching = open_pairs.join(pa, ["a", "sa"]).join(pb, ["b", "sb"]).filter(_sq_gap(F.col("xa"), F.col("xb")) <= eps_sq)
-    edges = sure.unionByName(touching.select("a", "b").distinct())
-
+    edges = _touching_cells(core.join(cells, "cell").select("node", "cell", "x"), offsets, side, eps_sq, dims)
     comps = connected_components(cells.select("node"), edges)
     placed = materialise(cells.join(comps, "node").select("cell", "comp"))
     numbers = number_rows(placed.select("comp").distinct(), ["comp"], "cluster")

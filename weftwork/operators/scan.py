@@ -76,3 +76,14 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str, by: Seq
     """Consecutive numbers in ``order`` (which must be unique), from ``start``, per group."""
     out = prefix_scan(df, order, {name: ("count", None, False)}, by)
     return out.withColumn(name, (F.col(name) + F.lit(start)).cast("bigint"))
+
+
+TAKE_ROWS = 10_000
+
+
+def top_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order`` (unique). A few are merged by Spark's top-n; many would
+    meet in one task there, so they are numbered over ranges instead."""
+    if n <= TAKE_ROWS:
+        return df.orderBy(*[_as_col(c) for c in order]).limit(n)
+    return number_rows(df, order, "_top").filter(F.col("_top") < n).drop("_top")

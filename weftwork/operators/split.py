@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions.frame import join_small
 from weftwork.functions.hashing import hash_below, row_hash
+from weftwork.operators.scan import TAKE_ROWS
 
 _DIGITS = 4  # first hex digits of the hash: 65 536 buckets per class
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
-    return df.withColumn("_h", row_hash(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    """The ``n`` rows of smallest hash. A large sample is cut at its last hash, found from a
+    histogram, so the table is filtered rather than sorted."""
+    hashed = df.withColumn("_h", row_hash(id_col, seed))
+    if n <= TAKE_ROWS:
+        return hashed.orderBy("_h", id_col).limit(n).drop("_h")
+    ends = hash_cuts(hashed.withColumn("_all", F.lit(0)), "_all", F.array(F.least(F.lit(n).cast("bigint"), F.col("n"))), "_h", id_col)
+    last = ends.first()["_cuts"][0]
+    return hashed.filter(F.col("_h") <= F.lit(last)).drop("_h")
 
 
 def random_split(df: DataFrame, test_fraction: float, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
 from weftwork.functions.frame import SMALL_ROWS, explode_rows, one_row
-from weftwork.operators.scan import number_rows
+from weftwork.operators.scan import number_rows, top_rows
 
 
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
@@ -65,7 +65,7 @@ def build_dictionary(stats: DataFrame) -> DataFrame:
 def filter_extremes(stats: DataFrame, documents: int, no_below: int = 2, no_above: float = 0.8, keep_n: int = 100_000) -> DataFrame:
     """Tokens in at least ``no_below`` documents and at most that share, the most frequent kept."""
     kept = stats.filter((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above * documents)))
-    return kept.orderBy(F.desc("df"), "token").limit(keep_n)
+    return top_rows(kept, [F.desc("df"), "token"], keep_n)
 
 
 def doc2bow(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def term_frequencies(df: DataFrame, tokens: Column, stop: Sequence[str] = (), to
     if stop:
         ws = ws.filter(~F.col("term").isin(*stop))
     counts = ws.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return counts if top is None else counts.orderBy(F.desc("n"), "term").limit(top)
+    return counts if top is None else top_rows(counts, [F.desc("n"), "term"], top)
 
 
 def with_context(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
@@ -148,7 +148,7 @@ def fit_idf(terms: DataFrame, documents: Column | int, min_df: int = 1, max_feat
     if min_df > 1:
         stats = stats.filter(F.col("df") >= min_df)
     if max_features is not None:
-        stats = stats.orderBy(F.desc("cf"), "term").limit(max_features)
+        stats = top_rows(stats, [F.desc("cf"), "term"], max_features)
     n = F.lit(documents) if isinstance(documents, int) else documents
     return stats.select("term", (F.log((n + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)).alias("idf"))
 

@@ -42,7 +42,7 @@ def parse_annotations(df: DataFrame, text: str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """One file per item, named by its id: (item, codes, label)."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("_f", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
     item = F.regexp_extract("_f", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return parse_annotations(files.select(item.alias("item"), F.col("value").alias("text")), "text").drop("text")
 

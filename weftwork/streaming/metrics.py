@@ -16,7 +16,7 @@ def metric_rollup(metrics: DataFrame, ts: str, series: str, value: str, every: s
     """Count, mean, min and max per series and tumbling window; the same call serves a stream
     (give ``late``, the allowed delay) and a table."""
     if late is not None:
-        metrics = metrics.withWatermark(ts, late)
+        metrics = metrics.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     window: Column = F.window(ts, every)
     return (
         metrics.groupBy(window.alias("w"), F.col(series))
