@@ -6,7 +6,7 @@ import importlib
 
 from queries import registry
 
-MODULES = ["sources", "profile", "clean", "combine", "groups", "split", "textfeat", "terms", "encode", "models", "evaluate", "stream"]
+MODULES = ["sources", "profile", "clean", "combine", "groups", "split", "textfeat", "terms", "encode", "models", "evaluate", "stream", "flows"]
 
 
 def _load() -> None:

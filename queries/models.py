@@ -10,7 +10,7 @@ from weftwork.functions import text as T
 from weftwork.operators import clusters, combine, models, split
 from weftwork.operators.encode import vector
 from weftwork.operators.textfeat import text_features
-from weftwork.session import materialise
+from weftwork.session import write_once
 
 DIMS = 64
 
@@ -197,7 +197,7 @@ def labelled_features(spark, root):
     d = texts(spark, root).join(t(spark, root, "labels").select("doc_id", "quality"), "doc_id")
     d = split.stratified_folds(text_features(d), "quality", 3, "doc_id", SEED)
     x = F.array(*[F.col(c).cast("double") for c in DOC_FEATURES])
-    return materialise(d.select("doc_id", "fold", F.col("quality").cast("double").alias("label"), x.alias("x"), vector(x).alias("features")))
+    return write_once(d.select("doc_id", "fold", F.col("quality").cast("double").alias("label"), x.alias("x"), vector(x).alias("features")))
 
 
 def _base_models():

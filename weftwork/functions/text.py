@@ -130,12 +130,12 @@ def punctuation_ratio(clean: Column) -> Column:
     return _ratio(F.regexp_count(clean, F.lit(PUNCT)).cast("double"), F.length(clean))
 
 
-def syllables(clean: Column) -> Column:
-    """Vowel groups, with one for each word that has none."""
+def syllables(clean: Column, n_words: Column) -> Column:
+    """Vowel groups, with one for each of the ``n_words`` words that has none."""
     low = F.lower(clean)
     groups = F.regexp_count(low, F.lit(f"[{VOWELS}]+"))
     voiced = F.regexp_count(low, F.lit(rf"{_CONSONANT}*+[{VOWELS}][{WORD_CHAR}]*+"))
-    return groups + F.regexp_count(low, F.lit(WORD)) - voiced
+    return groups + n_words - voiced
 
 
 def complex_words(clean: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftwork.functions.frame import one_row
 from weftwork.operators import evaluate
 from weftwork.operators.neighbors import nearest_rows
-from weftwork.session import materialise
+from weftwork.session import materialise, write_once
 
 MAX_CLASSES = 10_000
 
@@ -254,7 +254,7 @@ def oof_predictions(df: DataFrame, fold: str, id_col: str, fits: Mapping[str, Ca
 
     The features are computed once and written, since every fold reads them again.
     """
-    data = materialise(df.select(id_col, fold, "features", "label"))
+    data = write_once(df.select(id_col, fold, "features", "label"))
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
     out = None
     for name, fit in fits.items():

@@ -22,7 +22,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
             "sentence_count": T.sentence_count(F.col("_sents")),
             "lexical_diversity": T.lexical_diversity(F.col("_words")),
             "avg_word_length": T.avg_word_length(F.col("_words")),
-            "_syll": T.syllables(F.col("_clean")),
+            "_syll": T.syllables(F.col("_clean"), F.size("_words")),
             "_complex": T.complex_words(F.col("_clean")),
             "_passive": T.passive_matches(F.col("_clean")),
             "punctuation_ratio": T.punctuation_ratio(F.col("_clean")),
