@@ -318,7 +318,8 @@ def search_table(model: CrossValidatorModel, df: DataFrame) -> DataFrame:
 
 def fit_stack(wide: DataFrame, models: Sequence[str], label: str, Cs: Sequence[float], fold: str) -> CrossValidatorModel:
     """Logistic meta-model on the base models' out-of-fold probabilities, C chosen by AUC."""
-    data = wide.withColumns({"features": array_to_vector(F.array(*models)), "label": F.col(label).cast("double")})
+    data = wide.select(fold, F.col(label).cast("double").alias("label"), array_to_vector(F.array(*models)).alias("features"))
+    data = write_once(data)  # every fold and setting reads it again
     n = data.count()
     lr = LogisticRegression()
     return grid_search(data, lr, [{lr.regParam: 1.0 / (c * n)} for c in Cs], fold, "auc")

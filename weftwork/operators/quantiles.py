@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-ROW_LIMIT = 2_000_000
+ROW_LIMIT = 1_000_000
 BRACKET_LIMIT = 500_000
 ACCURACY = 10_000
 
@@ -76,14 +76,20 @@ def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy
     live = {key: [None, None, 0, n[key[0]]] for key in wanted}
     while live:
         keys = sorted(live)
+        margin = 3.0 / accuracy
+        place = {}
+        for key in keys:
+            _, _, below, size = live[key]
+            place[key] = (key[1] - below) / max(size - 1, 1)
+        # ranks that share a bracket (all of a column's, at first) share one sketch
+        shared: dict[tuple, list] = {}
+        for key in keys:
+            shared.setdefault((key[0], live[key][0], live[key][1]), []).append(key)
         aggs = []
-        for j, (i, rank) in enumerate(keys):
-            lo, hi, below, size = live[(i, rank)]
+        for j, ((i, lo, hi), members) in enumerate(shared.items()):
             c = F.col(f"v{i}")
             inside = c if lo is None else F.when(c.between(F.lit(lo), F.lit(hi)), c)
-            p = (rank - below) / max(size - 1, 1)
-            margin = 3.0 / accuracy
-            ps = [max(p - margin, 0.0), min(p + margin, 1.0)]
+            ps = [x for key in members for x in (max(place[key] - margin, 0.0), min(place[key] + margin, 1.0))]
             aggs += [
                 F.percentile_approx(inside, F.array(*[F.lit(x) for x in ps]), F.lit(accuracy)).alias(f"q{j}"),
                 F.min(inside).alias(f"lo{j}"),
@@ -91,12 +97,11 @@ def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy
             ]
         row = data.agg(*aggs).first()
         trial = {}
-        for j, (i, rank) in enumerate(keys):
-            lo, hi, below, size = live[(i, rank)]
-            p = (rank - below) / max(size - 1, 1)
-            a = row[f"lo{j}"] if p <= 3.0 / accuracy else row[f"q{j}"][0]
-            b = row[f"hi{j}"] if p >= 1 - 3.0 / accuracy else row[f"q{j}"][1]
-            trial[(i, rank)] = (a, b)
+        for j, members in enumerate(shared.values()):
+            for m, key in enumerate(members):
+                a = row[f"lo{j}"] if place[key] <= margin else row[f"q{j}"][2 * m]
+                b = row[f"hi{j}"] if place[key] >= 1 - margin else row[f"q{j}"][2 * m + 1]
+                trial[key] = (a, b)
         counts = data.agg(
             *[F.count_if(F.col(f"v{i}") < F.lit(trial[(i, r)][0])).alias(f"below{j}") for j, (i, r) in enumerate(keys)],
             *[
