@@ -153,7 +153,7 @@ def c12(spark, root):
 WITH j AS (SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN n_chars END AS n_chars, l.quality, l.doc_id IS NOT NULL AS is_train
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 m AS (SELECT median(n_chars) AS mc, median(quality) AS mq FROM j WHERE is_train)
-SELECT doc_id, {sr('coalesce(n_chars, mc)')} AS n_chars, {sr('coalesce(quality, mq)')} AS quality, 0.0::DOUBLE AS absent FROM j, m WHERE NOT is_train""")
+SELECT doc_id, {sr('coalesce(n_chars, mc)')} AS n_chars, {sr('coalesce(quality, mq)')} AS quality, 0.0::DOUBLE AS absent FROM j, m""")
 def c13(spark, root):
     d, l = t(spark, root, "documents"), t(spark, root, "labels")
     train = d.join(l.select("doc_id", "quality"), "doc_id").withColumn("absent", F.lit(None).cast("double"))
@@ -161,17 +161,18 @@ def c13(spark, root):
         "doc_id", F.lit(None).cast("bigint").alias("n_chars"), F.lit(None).cast("int").alias("quality")
     )
     medians = clean.fit_medians(train, ["n_chars", "quality", "absent"])
-    return rounded(clean.apply_medians(test, medians), "n_chars", "quality").select("doc_id", "n_chars", "quality", "absent")
+    both = [clean.apply_medians(side, medians).select("doc_id", "n_chars", "quality", "absent") for side in (train, test)]
+    return rounded(both[0].unionByName(both[1]), "n_chars", "quality")
 
 
 @query("c14_log1p_skewed", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, {sr('ln(1 + l_extendedprice)')} AS l_extendedprice, l_discount FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1998-01-01'""")
+SELECT l_orderkey, l_linenumber, l_partkey, {sr('ln(1 + l_extendedprice)')} AS l_extendedprice, l_discount, l_shipdate >= TIMESTAMP '1998-01-01' AS is_test FROM lineitem""")
 def c14(spark, root):
     d = t(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_shipdate")
-    cut = F.lit("1998-01-01").cast("timestamp")
-    _, test = clean.log1p_skewed(d.filter(F.col("l_shipdate") < cut), d.filter(F.col("l_shipdate") >= cut), ["l_extendedprice", "l_discount"])
-    return rounded(test.drop("l_shipdate"), "l_extendedprice")
+    late = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    train, test = clean.log1p_skewed(d.filter(~late), d.filter(late), ["l_extendedprice", "l_discount"])
+    both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    return rounded(both.drop("l_shipdate"), "l_extendedprice")
 
 
 @query("c15_ensure_columns", """

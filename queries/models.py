@@ -86,7 +86,7 @@ def k05_hinge(spark, root):
 def _knn_sql(k: int, gap: str, weight: str) -> str:
     return f"""
 WITH x AS (SELECT vec_id, label, [v::DOUBLE FOR v IN embedding] AS v FROM embeddings),
-p AS (SELECT q.vec_id, n.label, n.vec_id AS nid, {gap} AS d FROM x q, x n WHERE q.vec_id % 5 = 0 AND n.vec_id % 5 <> 0),
+p AS (SELECT q.vec_id, n.label, n.vec_id AS nid, {gap} AS d FROM x q, x n WHERE q.vec_id <> n.vec_id),
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, nid) <= {k}),
 z AS (SELECT *, max((d = 0)::INT) OVER (PARTITION BY vec_id) AS zero FROM k),
 v AS (SELECT vec_id, label, round(sum({weight}), 9) AS s FROM z GROUP BY 1, 2)
@@ -96,14 +96,14 @@ SELECT vec_id, label AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY
 @query("k06_knn", _knn_sql(5, "list_distance(q.v, n.v)", "1.0"))
 def k06(spark, root):
     d = t(spark, root, "embeddings")
-    return models.knn_predict(d.filter("vec_id % 5 <> 0"), d.filter("vec_id % 5 = 0"), "vec_id", "label", "embedding", 5)
+    return models.knn_predict(d, d, "vec_id", "label", "embedding", 5, exclude_self=True)
 
 
 @query("k06_knn_city_block_weighted", _knn_sql(
     7, "list_sum(list_transform(list_zip(q.v, n.v), lambda z: abs(z[1] - z[2])))", "CASE WHEN zero = 1 THEN (d = 0)::INT ELSE 1 / d END"))
 def k06_weighted(spark, root):
     d = t(spark, root, "embeddings")
-    return models.knn_predict(d.filter("vec_id % 5 <> 0"), d.filter("vec_id % 5 = 0"), "vec_id", "label", "embedding", 7, "distance", 1)
+    return models.knn_predict(d, d, "vec_id", "label", "embedding", 7, "distance", 1, exclude_self=True)
 
 
 @query("k07_tree")

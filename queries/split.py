@@ -32,11 +32,10 @@ def g03(spark, root):
 
 
 @query("g04_split_fallback", f"""
-SELECT doc_id, CASE WHEN substr({H.format('doc_id')}, 1, 8) < '{hex_threshold(0.2)}' THEN 'test' ELSE 'train' END AS split, 'single class' AS reason
-FROM labels WHERE quality = 1""")
+SELECT doc_id, CASE WHEN substr({H.format('doc_id')}, 1, 8) < '{hex_threshold(0.2)}' THEN 'test' ELSE 'train' END AS split, 'no label column' AS reason
+FROM documents""")
 def g04(spark, root):
-    one_class = t(spark, root, "labels").filter("quality = 1")
-    out, reason = split.split_with_fallback(one_class, "quality", 0.2, "doc_id", SEED)
+    out, reason = split.split_with_fallback(t(spark, root, "documents"), "quality", 0.2, "doc_id", SEED)
     return out.select("doc_id", "split", F.lit(reason).alias("reason"))
 
 

@@ -8,6 +8,7 @@ from queries.groups import LINE_WORDS, NOPUNCT, ROLE_TFIDF, dialogue, role_tfidf
 from queries.registry import ENGLISH, S, SPANISH, W, in_list, lit_list, query, r, rounded, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
+from weftwork.functions.frame import explode_rows
 from weftwork.operators import terms
 
 CLEAN = f"lower(regexp_replace(regexp_replace(regexp_replace(text, '[^{T.WORD_CHAR}]', ' ', 'g'), ' +[a-zA-Z] +', ' ', 'g'), ' +', ' ', 'g'))"
@@ -49,31 +50,38 @@ def i05(spark, root):
     return kept_tokens(spark, root).select("doc_id", "tokens")
 
 
+LANGUAGES = {"en": "english", "es": "spanish", "fr": "french", "de": "german"}
+
+
 @query("i06_stopwords", f"""
-WITH w AS (SELECT doc_id, lang, unnest({TOKENS}) AS token FROM documents WHERE lang IN ('en', 'es'))
-SELECT lang, count(*) AS tokens, count(*) FILTER ((lang = 'en' AND token IN {in_list(ENGLISH)}) OR (lang = 'es' AND token IN {in_list(SPANISH)})) AS stop_tokens
+WITH w AS (SELECT doc_id, lang, unnest({TOKENS}) AS token FROM documents)
+SELECT lang, count(*) AS tokens, count(*) FILTER ({' OR '.join(f"(lang = '{k}' AND token IN {in_list(wl.stopwords(v))})" for k, v in LANGUAGES.items())}) AS stop_tokens
 FROM w GROUP BY lang""")
 def i06(spark, root):
-    stop = spark.createDataFrame(
-        [("en", w) for w in wl.stopwords("english")] + [("es", w) for w in wl.stopwords("spanish")], "lang string, token string"
-    ).withColumn("stop", F.lit(1))
-    ws = cleaned(spark, root).filter(F.col("lang").isin("en", "es")).select("lang", F.explode(T.tokenize(F.col("clean"))).alias("token"))
+    words = [(k, w) for k, v in LANGUAGES.items() for w in wl.stopwords(v)]
+    stop = spark.createDataFrame(words, "lang string, token string").withColumn("stop", F.lit(1))
+    ws = explode_rows(cleaned(spark, root), ["lang"], T.tokenize(F.col("clean")), "token")
     counts = ws.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(stop), ["lang", "token"], "left").groupBy("lang").agg(  # a fixed list
         F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("stop") == 1, F.col("n"))), F.lit(0)).alias("stop_tokens")
     )
 
 
-def _suffix_alternatives(language: str) -> str:
-    return "|".join(sorted(wl.SUFFIXES[language], key=lambda s: (-len(s), s)))
+def _stem_sql(language: str) -> str:
+    suffixes = "|".join(sorted(wl.SUFFIXES[language], key=lambda s: (-len(s), s)))
+    return f"list_transform({TOKENS}, lambda t: regexp_replace(t, '^(.{{3,}}?)(?:{suffixes})$', '\\1'))"
 
 
 @query("i07_stem_tokens", f"""
-SELECT doc_id, list_transform({TOKENS}, lambda t: regexp_replace(t, '^(.{{3,}}?)(?:{_suffix_alternatives('spanish')})$', '\\1')) AS stems
-FROM documents WHERE lang = 'es'""")
+SELECT doc_id, CASE lang WHEN 'en' THEN {_stem_sql('english')} WHEN 'es' THEN {_stem_sql('spanish')} ELSE {TOKENS} END AS stems FROM documents""")
 def i07(spark, root):
-    d = cleaned(spark, root).filter("lang = 'es'")
-    return d.select("doc_id", T.stem_tokens(T.tokenize(F.col("clean")), wl.SUFFIXES["spanish"]).alias("stems"))
+    d = cleaned(spark, root).withColumn("tokens", T.tokenize(F.col("clean")))
+    stems = (
+        F.when(F.col("lang") == "en", T.stem_tokens(F.col("tokens"), wl.SUFFIXES["english"]))
+        .when(F.col("lang") == "es", T.stem_tokens(F.col("tokens"), wl.SUFFIXES["spanish"]))
+        .otherwise(F.col("tokens"))
+    )
+    return d.select("doc_id", stems.alias("stems"))
 
 
 DICT_SQL = f"""
@@ -81,14 +89,14 @@ tok AS (SELECT doc_id, unnest({KEPT}) AS token FROM documents),
 dt AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY 1, 2),
 st AS (SELECT token, count(*) AS df, sum(n)::BIGINT AS cf FROM dt GROUP BY token)"""
 EXTREMES_SQL = f"""{DICT_SQL},
-ex AS (SELECT * FROM st WHERE df >= 2 AND df <= 0.8 * (SELECT count(*) FROM documents) ORDER BY df DESC, token LIMIT 5000),
+ex AS (SELECT * FROM st WHERE df >= 2 AND df <= 0.8 * (SELECT count(*) FROM documents) ORDER BY df DESC, token LIMIT 100000),
 dic AS (SELECT *, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM ex)"""
 
 
 def extremes(spark, root):
     d = kept_tokens(spark, root)
     documents = t(spark, root, "documents").count()
-    return d, terms.filter_extremes(terms.token_stats(d, "doc_id", F.col("tokens")), documents, 2, 0.8, 5000)
+    return d, terms.filter_extremes(terms.token_stats(d, "doc_id", F.col("tokens")), documents, 2, 0.8)
 
 
 @query("i08_build_dictionary", f"WITH {DICT_SQL} SELECT token, df, cf, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM st")
@@ -198,6 +206,8 @@ def i15(spark, root):
     return rounded(terms.transform_tfidf(wanted, idf, "conv_id"), "tfidf")
 
 
+MAX_FEATURES = 300_000  # fixed value: vocabulary limit of the character vectoriser
+
 PLAIN = f"translate(lower(text), '{wl.ACCENTED}', '{wl.UNACCENTED}')"
 
 
@@ -206,8 +216,7 @@ def _char_tfidf_sql(grams: str, source: str, key: str, features: int, tf: str) -
 dt AS (SELECT {key}, term, count(*) AS n FROM ({grams}) GROUP BY 1, 2),
 st AS (SELECT term, count(*) AS df, sum(n) AS cf FROM dt GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT {features}),
 i AS (SELECT term, ln((1 + (SELECT count(*) FROM {source})) / (1 + df)) + 1 AS idf FROM st),
-{_tfidf_sql('', tf, key)}
-SELECT {key}, term, {sr('tfidf')} AS tfidf FROM tf"""
+{_tfidf_sql('', tf, key)}"""
 
 
 WB_GRAMS = " UNION ALL ".join(
@@ -217,9 +226,12 @@ WB_GRAMS = " UNION ALL ".join(
 
 @query("i16_char_wb_tfidf", f"""
 WITH p AS (SELECT doc_id, ' ' || unnest(regexp_extract_all({PLAIN}, '{T.NON_SPACE}')) || ' ' AS p FROM documents),
-{_char_tfidf_sql(WB_GRAMS, 'documents', 'doc_id', 3000, '1 + ln(n)')}""")
+{_char_tfidf_sql(WB_GRAMS, 'documents', 'doc_id', 300000, '1 + ln(n)')}
+SELECT doc_id, count(*) AS terms, {sr('sum(tfidf)', 4)} AS total, {sr('max(tfidf)')} AS peak FROM tf GROUP BY doc_id""")
 def i16(spark, root):
-    return rounded(terms.char_tfidf(texts(spark, root), "doc_id", "text", max_features=3000), "tfidf")
+    weights = terms.char_tfidf(texts(spark, root), "doc_id", "text", max_features=MAX_FEATURES)
+    out = weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tfidf").alias("total"), F.max("tfidf").alias("peak"))
+    return rounded(rounded(out, "total", digits=4), "peak")
 
 
 RAW_GRAMS = " UNION ALL ".join(
@@ -229,10 +241,11 @@ RAW_GRAMS = " UNION ALL ".join(
 
 @query("i17_char_tfidf", f"""
 WITH p AS (SELECT item_id, regexp_replace(lower(text), '{S}{S}+', ' ', 'g') AS p FROM benchmark),
-{_char_tfidf_sql(RAW_GRAMS, 'benchmark', 'item_id', 5000, '1 + ln(n)')}""")
+{_char_tfidf_sql(RAW_GRAMS, 'benchmark', 'item_id', 300000, '1 + ln(n)')}
+SELECT item_id, term, {sr('tfidf')} AS tfidf FROM tf""")
 def i17(spark, root):
     d = t(spark, root, "benchmark")
-    out = terms.char_tfidf(d, "item_id", "text", within_words=False, max_features=5000, strip_accents=False)
+    out = terms.char_tfidf(d, "item_id", "text", within_words=False, max_features=MAX_FEATURES, strip_accents=False)
     return rounded(out, "tfidf")
 
 

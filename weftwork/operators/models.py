@@ -169,12 +169,14 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
 # ---- k nearest neighbours ----------------------------------------------------------------
 
 
-def knn_predict(train: DataFrame, queries: DataFrame, id_col: str, label: str, features: str, k: int = 5, weights: str = "uniform", p: int = 2) -> DataFrame:
+def knn_predict(train: DataFrame, queries: DataFrame, id_col: str, label: str, features: str, k: int = 5, weights: str = "uniform", p: int = 2,
+                exclude_self: bool = False) -> DataFrame:
     """(id, predicted) by vote of the k nearest training rows (ties: smallest class).
 
     With ``weights='distance'`` votes count 1/d; rows at distance 0 then decide alone.
+    ``exclude_self`` leaves a query's own row out, for scoring the training rows themselves.
     """
-    near = nearest_rows(queries, train, id_col, features, k, p)
+    near = nearest_rows(queries, train, id_col, features, k, p, exclude_self)
     labels = train.select(F.col(id_col).alias("neighbour"), F.col(label).alias("_y"))
     votes = near.join(labels, "neighbour")
     if weights == "distance":

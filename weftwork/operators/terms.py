@@ -18,19 +18,12 @@ from weftwork.operators.scan import number_rows, top_rows
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
     """(ids, counts: array of (term, n)) per row, counted inside the row without a shuffle."""
     rows = df.select(*id_cols, F.sort_array(tokens).alias("_s"))
-    rows = rows.withColumn(
-        "_at",
-        F.when(
-            F.size("_s") > 0,
-            F.filter(
-                F.sequence(F.lit(1), F.size("_s")),
-                lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))),
-            ),
-        ).otherwise(F.array().cast("array<int>")),
-    )
-    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_s") + 1))
+    # positions at which a new term starts; the position before the first one is null
+    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: ~F.get("_s", i).eqNullSafe(F.get("_s", i - 1)))
+    rows = rows.withColumn("_at", F.when(F.size("_s") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_s")))
     counted = F.zip_with(
-        F.col("_at"), ends, lambda a, b: F.struct(F.element_at("_s", a).alias("term"), (b - a).cast("bigint").alias("n"))
+        F.col("_at"), ends, lambda a, b: F.struct(F.get("_s", a).alias("term"), (b - a).cast("bigint").alias("n"))
     )
     none = F.array().cast("array<struct<term:string,n:bigint>>")
     return rows.select(*id_cols, F.when(F.size("_at") > 0, counted).otherwise(none).alias("counts"))
