@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.profile import LINE_NUM
-from queries.registry import SEED, S, query, r, rounded, rounded_features, sql_feature_ctes, sql_features, sql_strip, sr, t, texts
+from queries.registry import SEED, S, query, r, rounded, sql_feature_ctes, sql_strip, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import clean
 from weftwork.operators.combine import dedup_keep_first
-from weftwork.operators.groups import group_means
 from weftwork.operators.textfeat import text_features
+from weftwork.plans.corpus import quality_rules
 
 NORM = f"trim(regexp_replace(text, '{S}+', ' ', 'g'))"
 
 
-def quality_rules():
-    return {
-        "word_count_gt_0": F.col("word_count") > 0,
-        "avg_word_length_le_20": F.col("avg_word_length") <= 20,
-        "avg_sentence_length_le_200": F.col("avg_sentence_length") <= 200,
-        "gunning_fog_index_le_60": F.col("gunning_fog_index") <= 60,
-        "flesch_reading_ease_ge_-100": F.col("flesch_reading_ease") >= -100,
-    }
-
-
 QUALITY_SQL = {
     "word_count_gt_0": "word_count > 0",
     "avg_word_length_le_20": "avg_word_length <= 20",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import query, r, rounded, rounded_features, sql_feature_ctes, sr, t, texts
+from queries.registry import query, rounded, sql_feature_ctes, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import combine
 from weftwork.operators.encode import one_hot

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import SEED, query, r, rounded, sql_feature_ctes, sr, t, texts
+from queries.registry import query, rounded, sql_feature_ctes, sr, t, texts
 from weftwork.functions import text as T
 from weftwork.operators import profile
 from weftwork.operators.encode import one_hot
@@ -20,13 +20,22 @@ def b01(spark, root):
     return rounded(profile.overview(t(spark, root, "documents"), "text"), "text_length_mean", "text_length_median")
 
 
-@query("b02_column_types")
+COLUMN_TYPES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
+@query("b02_column_types", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", '{c.split()[0]}' AS \"column\", '{c.split()[1]}' AS type, (SELECT count(*) FROM {name}) AS rows"
+    for name, cols in COLUMN_TYPES.items() for c in cols.split(", ")))
 def b02(spark, root):
     out = None
-    for name in ("documents", "labels", "lineitem", "orders", "customer"):
+    for name in COLUMN_TYPES:
         d = t(spark, root, name)
-        rows = d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-        types = profile.column_types(d).withColumn("table", F.lit(name)).join(rows, "table")
+        rows = d.agg(F.count(F.lit(1)).alias("rows")).scalar()
+        types = profile.column_types(d).withColumns({"table": F.lit(name), "rows": rows})
         out = types if out is None else out.unionByName(types)
     return out
 
@@ -140,6 +149,7 @@ def b13(spark, root):
 
 
 def anomaly_rules():
+    # Names and thresholds of the anomaly counts
     return {
         "length_vs_char_mismatch": F.abs(F.col("n_chars") - F.col("character_count")) > 0,
         "word_count_zero": F.col("word_count") <= 0,

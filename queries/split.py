@@ -83,10 +83,22 @@ def g08_rows(spark, root):
     return rounded(split.with_class_weight(t(spark, root, "labels").select("doc_id", "quality"), "quality"), "weight")
 
 
-@query("g09_smote")
+@query("g09_smote", f"""
+WITH x AS (SELECT vec_id, [v::DOUBLE FOR v IN embedding] AS v FROM embeddings WHERE label < 2),
+n AS (SELECT (SELECT count(*) FROM x) AS few, (SELECT count(*) FROM embeddings WHERE label >= 2) AS many),
+near AS (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+  FROM x a, x b WHERE a.vec_id <> b.vec_id QUALIFY rank <= 5),
+dealt AS (SELECT vec_id, v, row_number() OVER (ORDER BY {H.format('vec_id')}, vec_id) - 1 AS i FROM x),
+c AS (SELECT vec_id, v, unnest(range(1, ((many - few) // few + (i < (many - few) % few)::INT + 1)::BIGINT))::INTEGER AS copy FROM dealt, n),
+u AS (SELECT *, md5('{SEED}|' || vec_id || '|' || copy) AS h FROM c),
+p AS (SELECT u.vec_id, copy, u.v, near.neighbour, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE AS gap
+  FROM u JOIN near ON near.vec_id = u.vec_id AND near.rank = ('0x' || substr(h, 1, 8))::BIGINT % 5 + 1)
+SELECT p.vec_id AS parent, p.neighbour, copy, list_transform(list_zip(p.v, o.v), lambda z: {sr('z[1] + (z[2] - z[1]) * p.gap')}) AS embedding
+FROM p JOIN x o ON o.vec_id = p.neighbour""")
 def g09(spark, root):
     e = t(spark, root, "embeddings").withColumn("target", (F.col("label") < 2).cast("int"))
-    return resample.smote(e, "vec_id", "embedding", "target", seed=SEED)
+    out = resample.smote(e, "vec_id", "embedding", "target", seed=SEED)
+    return out.withColumn("embedding", F.transform("embedding", lambda x: r(x)))
 
 
 @query("g10_bootstrap", f"""

@@ -209,6 +209,5 @@ def bow_tfidf(bow: DataFrame, documents: Column | int, id_col: str) -> DataFrame
     n = F.lit(documents) if isinstance(documents, int) else documents
     dfs = bow.groupBy("token_id").agg(F.count(F.lit(1)).alias("df"))
     raw = bow.join(dfs, "token_id").select(id_col, "token_id", (F.col("n") * F.log2(n / F.col("df"))).alias("_w"))
-    raw = raw.filter(F.col("_w") > 0)
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, id_col).select(id_col, "token_id", (F.col("_w") / F.col("_norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))  # one text's tokens
+    return raw.filter(F.col("_w") > 0).select(id_col, "token_id", (F.col("_w") / norm).alias("tfidf"))

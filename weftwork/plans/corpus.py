@@ -48,6 +48,7 @@ def feature_table(corpus: DataFrame, top_languages: int = 12, top_sources: int =
 
 def quality_rules() -> dict:
     """Structural sanity rules a row must meet."""
+    # Names and thresholds of the rules
     return {
         "word_count_gt_0": F.col("word_count") > 0,
         "avg_word_length_le_20": F.col("avg_word_length") <= 20,
