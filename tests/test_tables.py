@@ -222,3 +222,12 @@ def test_large_samples_and_top_rows_are_cut_exactly(spark, monkeypatch):
     assert {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()} == few and len(few) == 300
     assert split.sample_n(df, 5000, "id", 9).count() == 1000
     assert sorted((r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()), reverse=True) == top
+
+
+def test_join_small_beyond_its_limit_is_an_ordinary_join(spark):
+    from weftwork.functions.frame import join_small
+
+    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "id int, k int")
+    small = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for limit in (100, 2):
+        assert join_small(df, small, "k", max_rows=limit).agg(F.sum("n")).first()[0] == 500

@@ -164,7 +164,12 @@ def passive_matches(clean: Column) -> Column:
 
 def grammar_errors(clean: Column) -> Column:
     phrases = "|".join(wl.GRAMMAR_ERRORS)
-    return F.regexp_count(F.lower(clean), F.lit(rf"{_START}(?:{phrases}){_END}")).cast("bigint")
+    low = F.lower(clean)
+    maybe = F.lit(False)
+    for p in wl.GRAMMAR_ERRORS:  # a plain search first: most texts hold none
+        maybe = maybe | F.contains(low, F.lit(p))
+    count = F.regexp_count(low, F.lit(rf"{_START}(?:{phrases}){_END}")).cast("bigint")
+    return F.when(maybe, count).otherwise(F.lit(0).cast("bigint"))
 
 
 # ---- n-grams inside one row --------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
 from weftwork.functions.frame import SMALL_ROWS, explode_rows, one_row
-from weftwork.operators.scan import number_rows, top_rows
+from weftwork.operators.scan import number_rows, prefix_scan, top_rows
 
 
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
@@ -85,32 +85,38 @@ def term_frequencies(df: DataFrame, tokens: Column, stop: Sequence[str] = (), to
     return counts if top is None else top_rows(counts, [F.desc("n"), "term"], top)
 
 
-def with_context(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
-    """Prefix each row's tokens with the last n-1 tokens of the rows before it in its group.
+def boundary_ngrams(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
+    """(by, term): the n-grams of each group's concatenated tokens that span two or more rows.
 
-    N-grams over the result are those of the group's concatenated text, without building that
-    text: each row hands its tail to the next rows by position, so groups of any size work.
+    Only the first and last n-1 tokens of a row travel: rows are numbered within their group,
+    each hands its tail to the next n-1 rows, and a row joins what it got with its own head.
+    Groups of any size work, and the concatenated text is never built.
     """
-    rows = df.select(by, *order, tokens).filter(F.size(tokens) > 0)
-    if n == 1:
-        return rows
-    rows = number_rows(rows, order, "_i", by=[by])
-    tail = F.slice(tokens, F.greatest(F.size(tokens) - F.lit(n - 2), F.lit(1)), F.lit(n - 1))
-    handed = rows.select(
-        by, "_i", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("_d"), tail.alias("_t")
-    ).select(by, (F.col("_i") + F.col("_d")).alias("_i"), F.struct((-F.col("_d")).alias("d"), F.col("_t").alias("t")).alias("_p"))
+    narrow = df.select(
+        by,
+        *order,
+        F.slice(tokens, 1, n - 1).alias("_head"),
+        F.slice(tokens, F.greatest(F.size(tokens) - F.lit(n - 2), F.lit(1)), F.lit(n - 1)).alias("_tail"),
+    ).withColumn("_some", (F.size("_head") > 0).cast("bigint"))
+    rows = prefix_scan(narrow, order, {"_i": ("sum", "_some", False)}, by=[by]).filter("_some = 1")
+    handed = rows.select(by, "_i", "_tail", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("_d")).select(
+        by, (F.col("_i") + F.col("_d")).alias("_i"), F.struct((-F.col("_d")).alias("d"), F.col("_tail").alias("t")).alias("_p")
+    )
     before = handed.groupBy(by, "_i").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["t"])).alias("_b")  # at most n-1 parts
     )
-    last = F.slice("_b", F.greatest(F.size("_b") - F.lit(n - 2), F.lit(1)), F.lit(n - 1))
-    joined = rows.join(before, [by, "_i"], "left")
-    full = F.concat(F.when(F.col("_b").isNotNull(), last).otherwise(F.array().cast("array<string>")), F.col(tokens))
-    return joined.select(by, *order, full.alias(tokens))
+    context = F.slice("_b", F.greatest(F.size("_b") - F.lit(n - 2), F.lit(1)), F.lit(n - 1))
+    spans = rows.join(before, [by, "_i"]).select(by, context.alias("_c"), F.concat(context, F.col("_head")).alias("_all"))
+    starts = F.least(F.size("_c"), F.size("_all") - F.lit(n - 1))
+    grams = F.transform(F.sequence(F.lit(1), starts), lambda i: F.array_join(F.slice("_all", i, n), " "))
+    return explode_rows(spans, [by], F.when(starts > 0, grams), "term")
 
 
 def group_ngrams(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
-    """(by, term) rows: n-grams of each group's concatenated tokens."""
-    return explode_rows(with_context(df, by, order, tokens, n), [by], T.ngrams(F.col(tokens), n), "term")
+    """(by, term) rows: n-grams of each group's concatenated tokens; rows without a group are left out."""
+    df = df.filter(F.col(by).isNotNull())
+    inside = explode_rows(df, [by], T.ngrams(F.col(tokens), n), "term")
+    return inside if n == 1 else inside.unionByName(boundary_ngrams(df, by, order, tokens, n))
 
 
 def ngram_counts(df: DataFrame, by: str, order: Sequence[str], tokens: str, n: int) -> DataFrame:
