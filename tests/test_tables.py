@@ -132,8 +132,9 @@ def test_stack_predictions_checks(spark):
 
 def test_missing_groups_and_presence(spark):
     df = spark.createDataFrame([("x", 1, 5), ("x", 2, 6), ("y", 2, 7)], "who string, season int, n int")
-    got = sorted(tuple(r) for r in combine.fill_missing_groups(df, "who", "season", ["n"]).collect())
-    assert got == [("x", 1, 5), ("x", 2, 6), ("y", 1, 0), ("y", 2, 7)]
+    for limit in (100, 1):
+        got = sorted(tuple(r) for r in combine.fill_missing_groups(df, "who", "season", ["n"], max_periods=limit).collect())
+        assert got == [("x", 1, 5), ("x", 2, 6), ("y", 1, 0), ("y", 2, 7)]
     assert [r[0] for r in combine.present_in_all(df, "who", "season").collect()] == ["x"]
 
 

@@ -217,3 +217,15 @@ def test_dbscan_splits_undecided_boxes(spark, monkeypatch, limit):
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
     got = {r["id"]: r["cluster"] for r in clusters.dbscan(df, "id", ["a", "b"], 0.11, 4).collect()}
     assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.11, 4)
+
+
+def test_many_clusters_give_the_same_silhouettes_and_centres(blobs, monkeypatch):
+    _, df = blobs
+    few = {r["id"]: r["silhouette"] for r in evaluate.silhouette_rows(df, "id", "c", "x").collect()}
+    centres = evaluate.cluster_sums(df, "c", "x").select("cluster", F.transform("s", lambda v: v / F.col("n")).alias("centre"))
+    near = {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()}
+    monkeypatch.setattr(evaluate, "MAX_CLUSTERS", 1)
+    monkeypatch.setattr(clusters, "MAX_CENTRES", 1)
+    many = {r["id"]: r["silhouette"] for r in evaluate.silhouette_rows(df, "id", "c", "x").collect()}
+    assert many == pytest.approx(few, abs=1e-9) and len(many) == 41
+    assert {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()} == near

@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.functions.frame import one_row
+from weftwork.operators.neighbors import nearest_rows
 from weftwork.operators.scan import number_rows
 from weftwork.session import materialise
 
@@ -45,10 +46,17 @@ def fit_hierarchical(df: DataFrame, k: int, seed: int = 42):
 
 
 def assign_nearest(df: DataFrame, centres: DataFrame, id_col: str, features: str) -> DataFrame:
-    """(id, cluster, distance) of the nearest centre (cluster, centre); ties to the smallest cluster."""
+    """(id, cluster, distance) of the nearest centre (cluster, centre); ties to the smallest cluster.
+
+    Up to MAX_CENTRES centres travel as one array; more are searched as nearest rows.
+    """
     n = centres.limit(MAX_CENTRES + 1).count()
     if n > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
+        points = df.select(id_col, F.col(features).cast("array<double>").alias("_x"))
+        kind = centres.schema["cluster"].dataType
+        named = centres.select(F.col("cluster").alias(id_col), F.col("centre").cast("array<double>").alias("_x"))
+        near = nearest_rows(points, named, id_col, "_x", 1)
+        return near.select(id_col, F.col("neighbour").cast(kind).alias("cluster"), "distance")
     packed = centres.select("cluster", F.col("centre").cast("array<double>").alias("m"))
     every = one_row(packed.agg(F.collect_list(F.struct("cluster", "m")).alias("c")))["c"]
     rows = df.select(id_col, F.col(features).cast("array<double>").alias("_x")).withColumn("_c", every)

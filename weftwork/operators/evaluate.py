@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftwork.functions.frame import one_row
 from weftwork.operators.encode import vector
 from weftwork.operators.groups import group_mode
+from weftwork.operators.neighbors import nearest_rows
 from weftwork.operators.scan import prefix_scan
+from weftwork.session import write_once
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -179,9 +181,13 @@ def silhouette_rows(df: DataFrame, id_col: str, cluster: str, features: str) ->
     """Silhouette per row with squared Euclidean distances, linear in the number of rows.
 
     Mean squared distance to a cluster follows from its size, sum vector and sum of squared
-    norms, so no pair of rows is ever formed.
+    norms, so no pair of rows is ever formed. More than MAX_CLUSTERS clusters are searched as
+    nearest rows instead of being sent to every task.
     """
-    sums = _as_array(cluster_sums(df, cluster, features))
+    stats = cluster_sums(df, cluster, features)
+    if stats.select("cluster").limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
+        return _silhouette_many(df, id_col, cluster, features, stats)
+    sums = _as_array(stats)
     rows = df.select(id_col, F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x")).withColumns(
         {"_c": sums, "_q": F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x)}
     )
@@ -199,6 +205,32 @@ def silhouette_rows(df: DataFrame, id_col: str, cluster: str, features: str) ->
     return rows.select(id_col, "cluster", F.when((F.col("_n") > 1) & (F.greatest("_a", "_b") > 0), s).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
+def _silhouette_many(df: DataFrame, id_col: str, cluster: str, features: str, stats: DataFrame) -> DataFrame:
+    """The mean squared distance to a cluster is that to its mean plus its mean squared spread:
+    with the spread's root as one more coordinate it is a distance to a point, so the best
+    other cluster is among the two nearest such points. Clusters are numbered by integers."""
+    kind = df.schema[cluster].dataType
+    spread = F.greatest(F.col("q") / F.col("n") - F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x), F.lit(0.0))
+    points = write_once(
+        stats.withColumn("_m", F.transform("s", lambda v: v / F.col("n"))).select(
+            F.col("cluster").cast("bigint").alias("cluster"), "n", F.concat("_m", F.array(F.sqrt(spread))).alias("_y")
+        )
+    )
+    rows = df.select(
+        id_col, F.col(cluster).cast("bigint").alias("cluster"),
+        F.concat(F.col(features).cast("array<double>"), F.array(F.lit(0.0))).alias("_y"),
+    )
+    named = points.select(F.col("cluster").alias(id_col), "_y")
+    other = nearest_rows(rows.select(id_col, "_y"), named, id_col, "_y", 2).join(rows.select(id_col, "cluster"), id_col)
+    b = other.filter("neighbour <> cluster").groupBy(id_col).agg((F.min("distance") ** 2).alias("_b"))
+    own = points.select("cluster", "n", F.col("_y").alias("_own"))
+    sq = F.aggregate(F.zip_with("_y", "_own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+    a = rows.join(own, "cluster").select(id_col, "cluster", "n", (sq * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))).alias("_a"))
+    most = F.greatest("_a", "_b")
+    s = F.when((F.col("n") > 1) & (most > 0), (F.col("_b") - F.col("_a")) / most).otherwise(F.lit(0.0))
+    return a.join(b, id_col).select(id_col, F.col("cluster").cast(kind).alias("cluster"), s.alias("silhouette"))
+
+
 def silhouette(df: DataFrame, id_col: str, cluster: str, features: str) -> DataFrame:
     return silhouette_rows(df, id_col, cluster, features).agg(F.avg("silhouette").alias("silhouette"))
 

@@ -39,12 +39,16 @@ def concat_text(df: DataFrame, by: str, text: str, order: Sequence[str], sep: st
     A key with more than ``chunk_rows`` rows continues in further chunks, because one string
     cannot hold an unbounded group; nothing is left out.
     """
-    numbered = number_rows(df.select(by, *[c for c in order if c != by], text), order, "_pos", by=[by])
-    item = F.struct(*[F.col("_pos")], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = df.select(by, *[c for c in order if c != by], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    longest = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= chunk_rows:  # no key needs a second chunk, so nothing has to be numbered
+        rows, item = rows.withColumn("chunk", F.lit(0).cast("bigint")), F.struct(*order, "_text")
+    else:
+        rows, item = number_rows(rows, order, "_pos", by=[by]), F.struct("_pos", "_text")
+        rows = rows.withColumn("chunk", F.floor(F.col("_pos") / chunk_rows).cast("bigint"))
     return (
-        numbered.withColumn("chunk", F.floor(F.col("_pos") / chunk_rows).cast("bigint"))
-        .groupBy(by, "chunk")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
+        rows.groupBy(by, "chunk")
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))  # at most chunk_rows
         .select(by, "chunk", F.array_join(F.transform("_items", lambda x: x["_text"]), sep).alias(text))
     )
 
