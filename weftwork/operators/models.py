@@ -4,9 +4,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -120,14 +122,14 @@ def fit_mlp(df: DataFrame, layers: Sequence[int], seed: int = 42, max_iter: int
     return MultilayerPerceptronClassifier(layers=list(layers), seed=seed, maxIter=max_iter).fit(df)
 
 
-def score(model, df: DataFrame, id_col: str, name: str = "p") -> DataFrame:
-    """(id, p, prediction); p is the second class's probability, or the logistic of the margin."""
+def score(model, df: DataFrame, id_col: str, name: str = "p", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kept columns, p, prediction); p is the second class's probability, or the logistic of the margin."""
     out = model.transform(df)
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
     else:
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
-    return out.select(id_col, p.alias(name), F.col("prediction").cast("int").alias("prediction"))
+    return out.select(id_col, *keep, p.alias(name), F.col("prediction").cast("int").alias("prediction"))
 
 
 # ---- naive Bayes from group moments ------------------------------------------------------
@@ -251,22 +253,37 @@ def mean_over_models(preds: DataFrame, id_col: str, p: str) -> DataFrame:
     return preds.groupBy(id_col).agg(F.avg(p).alias(p), F.count(F.lit(1)).alias("models"))
 
 
+def fit_folds(data: DataFrame, fold: str, fits: Mapping[str, Callable[[DataFrame], object]], parallelism: int = 4) -> dict:
+    """{(name, fold): model fitted on the other folds}; several fits run as concurrent Spark jobs."""
+    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
+    tasks = [(name, f) for name in fits for f in folds]
+
+    @inheritable_thread_target(data.sparkSession)
+    def one(task):
+        return fits[task[0]](data.filter(F.col(fold) != task[1]))
+
+    with ThreadPool(max(min(parallelism, len(tasks)), 1)) as pool:
+        return dict(zip(tasks, pool.map(one, tasks)))
+
+
+def held_out_scores(data: DataFrame, fold: str, id_col: str, fitted: Mapping) -> DataFrame:
+    """(id, model, fold, label, p): each fold scored by the models that did not see it."""
+    out = None
+    for (name, f), model in fitted.items():
+        held = data.filter(F.col(fold) == f)
+        part = score(model, held, id_col, keep=[fold, "label"])
+        part = part.select(id_col, F.lit(name).alias("model"), fold, F.col("label").cast("int").alias("label"), "p")
+        out = part if out is None else out.unionByName(part)
+    return write_once(out)
+
+
 def oof_predictions(df: DataFrame, fold: str, id_col: str, fits: Mapping[str, Callable[[DataFrame], object]]) -> DataFrame:
-    """Long table (id, model, fold, label, p): each row scored by the model that did not see its fold.
+    """Long table (id, model, fold, label, p) of out-of-fold scores.
 
     The features are computed once and written, since every fold reads them again.
     """
     data = write_once(df.select(id_col, fold, "features", "label"))
-    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
-    out = None
-    for name, fit in fits.items():
-        for f in folds:
-            model = fit(data.filter(F.col(fold) != f))
-            held = data.filter(F.col(fold) == f)
-            part = score(model, held, id_col).join(held.select(id_col, fold, "label"), id_col)
-            part = part.select(id_col, F.lit(name).alias("model"), fold, F.col("label").cast("int").alias("label"), "p")
-            out = part if out is None else out.unionByName(part)
-    return materialise(out)
+    return held_out_scores(data, fold, id_col, fit_folds(data, fold, fits))
 
 
 class MacroF1(Evaluator):
@@ -347,7 +364,7 @@ def permutation_importance(model, df: DataFrame, id_col: str, names: Sequence[st
     here = number_rows(base.select(id_col, "x").withColumn("_h", row_hash(id_col, seed + 1)), ["_h", id_col], "_i")
     pairs = materialise(there.join(here.select("_i", F.col("x").alias("_other")), "_i"))
     auc_of = lambda d: evaluate.roc_auc(
-        score(model, d.withColumn("features", array_to_vector("x")), id_col).join(d.select(id_col, "label"), id_col), "p", "label"
+        score(model, d.withColumn("features", array_to_vector("x")), id_col, keep=["label"]), "p", "label"
     ).first()["auc"]
     whole = auc_of(base)
     rows = []
