@@ -20,8 +20,8 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
     if n <= TAKE_ROWS:
         return hashed.orderBy("_h", id_col).limit(n).drop("_h")
     ends = hash_cuts(hashed.withColumn("_all", F.lit(0)), "_all", F.array(F.least(F.lit(n).cast("bigint"), F.col("n"))), "_h", id_col)
-    last = ends.first()["_cuts"][0]
-    return hashed.filter(F.col("_h") <= F.lit(last)).drop("_h")
+    last = ends.first()
+    return df if last is None else hashed.filter(F.col("_h") <= F.lit(last["_cuts"][0])).drop("_h")
 
 
 def random_split(df: DataFrame, test_fraction: float, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
