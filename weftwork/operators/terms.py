@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
-from weftwork.functions.frame import SMALL_ROWS, explode_rows, one_row
+from weftwork.functions.frame import explode_rows, one_row
 from weftwork.operators.scan import number_rows, prefix_scan, top_rows
 
+BROADCAST_TERMS = 500_000
+
 
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
     """(ids, counts: array of (term, n)) per row, counted inside the row without a shuffle."""
@@ -171,13 +173,16 @@ def document_count(df: DataFrame, id_col: str) -> Column:
     return one_row(df.agg(F.count_distinct(id_col).alias("n")))["n"]
 
 
-def tfidf(df: DataFrame, id_col: str, tokens: Column, min_df: int = 1, max_features: int | None = None, sublinear: bool = False) -> DataFrame:
-    """TF-IDF where each row is a document."""
+def tfidf(
+    df: DataFrame, id_col: str, tokens: Column, min_df: int = 1, max_features: int | None = None, sublinear: bool = False, short_terms: bool = False
+) -> DataFrame:
+    """TF-IDF where each row is a document. ``short_terms`` tells that terms are a few characters
+    long, so that ``max_features`` bounds the idf table in bytes too and it may be broadcast."""
     counts = document_terms(df, id_col, tokens)
     rows = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = fit_idf(counts, rows, min_df, max_features)
-    if max_features is not None and max_features <= SMALL_ROWS:
-        idf = F.broadcast(idf)  # at most max_features rows
+    if short_terms and max_features is not None and max_features <= BROADCAST_TERMS:
+        idf = F.broadcast(idf)  # at most max_features pairs of a short term and a number
     return transform_tfidf(counts, idf, id_col, sublinear, row_documents=True)
 
 
@@ -201,7 +206,7 @@ def char_tfidf(
     if strip_accents:
         c = T.strip_accents(c)
     grams = T.word_char_ngrams(c, lo, hi) if within_words else T.char_ngrams(c, lo, hi)
-    return tfidf(df, id_col, grams, min_df, max_features, sublinear)
+    return tfidf(df, id_col, grams, min_df, max_features, sublinear, short_terms=hi <= 16)
 
 
 def top_terms(weights: DataFrame, by: str, k: int) -> DataFrame:
