@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from functools import lru_cache
 from pathlib import Path
 from zipfile import ZipFile
@@ -39,15 +41,21 @@ ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈ
 UNACCENTED = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 
 
+def _jar_folders():
+    """Folders that may hold Spark's jars: beside PySpark (also where it is loaded from a zip below
+    Spark's home), in SPARK_HOME, and in any PySpark on the path."""
+    yield from (parent / "jars" for parent in Path(pyspark.__file__).resolve().parents)
+    if home := os.environ.get("SPARK_HOME"):
+        yield Path(home) / "jars"
+    yield from (Path(entry) / "pyspark" / "jars" for entry in sys.path)
+
+
 @lru_cache(maxsize=None)
 def stopwords(language: str) -> tuple[str, ...]:
-    """The stop-word list Spark's StopWordsRemover loads, sorted; read without a session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"), None)
+    """The stop-word list Spark's StopWordsRemover loads, sorted; read from the jar, without a JVM."""
+    jar = next((j for d in _jar_folders() if d.is_dir() for j in sorted(d.glob("spark-mllib_*.jar"))), None)
     if jar is None:
-        from pyspark.ml.feature import StopWordsRemover
-
-        words = StopWordsRemover.loadDefaultStopWords(language)
-    else:
-        with ZipFile(jar) as z:
-            words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split("\n")
+        raise FileNotFoundError("spark-mllib jar: set SPARK_HOME to the Spark installation")
+    with ZipFile(jar) as z:
+        words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split("\n")
     return tuple(sorted({w.strip() for w in words if w.strip()}))
