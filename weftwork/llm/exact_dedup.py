@@ -57,13 +57,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.when(F.col("__p").isNotNull() & on, F.unhex(F.sha2(F.col("__t").cast("binary"), 256)))
     hashed = joined.withColumn("__sha", full).drop("__bits", "__t")
 
-    key = ["__n", "__p", "__sha"]
     groups = (
-        hashed.filter("__sha is not null").groupBy(*key).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+        hashed.filter("__sha is not null").groupBy("__n", "__p", "__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
     )
-    # a null SHA matches nothing; the length still deals its row out, beside the id
-    rows = hashed.withColumn("__spread", F.when(F.col("__sha").isNull(), F.xxhash64("__id")).otherwise(F.lit(0)))
-    both = rows.join(groups.withColumn("__spread", F.lit(0).cast("long")), [*key, "__spread"], "left")
+    # The join has a key of its own, so that its input is shuffled anew and a large group is split
+    # at run time; a row without a SHA is dealt out by its id and matches nothing.
+    rows = hashed.withColumn("__key", F.coalesce("__sha", F.unhex(F.hex(F.xxhash64("__id")))))
+    both = rows.join(groups.select(F.col("__sha").alias("__key"), "__keep", "__size"), "__key", "left")
     found = F.col("__size").isNotNull()
     keep = F.when(found, F.col("__keep")).otherwise(F.col("__id"))
     return both.select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftwork.llm.exact_dedup import exact_dedup
 from weftwork.llm.simhash import simhash_components
+from weftwork.llm.toxicity import toxicity
 from weftwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 def op6(spark, root):
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return exact_dedup(table(spark, root, "documents"), carry={"text_sha256": digest})
+
+
+@query("op8_toxicity")
+def op8(spark, root):
+    return toxicity(table(spark, root, "documents"), table(spark, root, "labels"))

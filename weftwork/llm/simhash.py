@@ -155,7 +155,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = roots.join(classes, roots.node == classes.fp).select("node", "root", "least")
     names = named.groupBy("root").agg(F.min("least").alias("name"))
     of = named.join(names, "root").select(F.col("node").alias("fp"), "name")
-    table = classes.join(of, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    # written, so that the join below shuffles both sides itself and can split a large class
+    table = write_once(classes.join(of, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")))
     return rows.join(table, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
