@@ -236,20 +236,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     drawn = known.withColumn("__draw", F.xxhash64(F.lit(s.seed), "__lid"))
     picked = drawn.filter("__toxic = 1").orderBy("__draw", "__lid").limit(s.toxic_docs).union(drawn.filter("__toxic = 0").orderBy("__draw", "__lid").limit(s.clean_docs))
     rows = docs.select(F.col(id_col).alias("__lid"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(picked), "__lid")
-    order = ["__draw", "__lid", F.xxhash64("__text")]
     limit = s.toxic_docs + s.clean_docs
-    sizes = rows.select("__draw", "__lid", F.xxhash64("__text").alias("__h"), F.length("__text").alias("__n")).orderBy("__draw", "__lid", "__h").limit(limit).collect()
+    sizes = rows.select("__draw", F.length("__text").alias("__n")).orderBy("__draw", "__n").limit(limit).collect()
     total, last = 0, None
     for r in sizes:
         total += r["__n"]
         if total > s.sample_chars:
             break
-        last = r
+        last = r["__draw"]
     if last is None:
         return [], []
-    inside = rows.filter(F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]) <= F.struct(F.lit(last["__draw"]), F.lit(last["__lid"]), F.lit(last["__h"])))
-    got = sorted((r["__draw"], r["__lid"], r["__text"], r["__toxic"]) for r in inside.limit(limit).collect())
-    return [g[2] for g in got], [g[3] for g in got]
+    got = sorted((r["__draw"], r["__text"], r["__toxic"]) for r in rows.filter(F.col("__draw") <= F.lit(last)).limit(limit).collect())
+    return [g[1] for g in got], [g[2] for g in got]
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
