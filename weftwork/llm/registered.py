@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
 from weftwork.llm.simhash import simhash_components
 from weftwork.llm.toxicity import toxicity
+from weftwork.llm.unigram import decode, encode, load_vocabulary
 from weftwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_simhash")
 def op1(spark, root):
     found = simhash_components(table(spark, root, "documents"), words=3, max_bits=2)
@@ -46,3 +55,18 @@ def op6(spark, root):
 @query("op8_toxicity")
 def op8(spark, root):
     return toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op4_sentencepiece")
+def op4(spark, root):
+    """Ids of every document, and whether decoding them gives the text back."""
+    vocabulary = load_vocabulary(tokenizer("piece_bpe_32k.model"))
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, root, "documents").select("doc_id", "text", F.xxhash64(text).alias("digest"))
+    back = decode(encode(docs, vocabulary, carry=["digest"]), vocabulary, carry=["doc_id", "digest", "ids"])
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("digest")).alias("round_trip"))
+
+
+@query("op9_decontaminate")
+def op9(spark, root):
+    return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
