@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
+from weftwork.llm.line_dedup import line_dedup
 from weftwork.llm.simhash import simhash_components
 from weftwork.llm.toxicity import toxicity
 from weftwork.llm.unigram import decode, encode, load_vocabulary
@@ -70,3 +71,22 @@ def op4(spark, root):
 @query("op9_decontaminate")
 def op9(spark, root):
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.keeper <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL OR f.keeper = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id""",
+)
+def op7(spark, root):
+    found = line_dedup(table(spark, root, "documents"), min_chars=40, min_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -14,7 +14,7 @@ sample that the vectors have not seen.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,13 +37,10 @@ class Settings:
     batch: int = 2048
     rate: float = 0.1
     seed: int = 42
-    #: Vectors are learnt from words of this many sampled documents at least; rarer words say more
-    #: about their document than about its label.
-    min_docs: int = 1
     #: Bound of the labelled sample: documents of each class, and characters in all.
     toxic_docs: int = 2_000
     clean_docs: int = 4_000
-    sample_chars: int = 24_000_000
+    sample_chars: int = 16_000_000
 
 
 def split_words(text: str | None) -> list[str]:
@@ -99,29 +96,43 @@ def document_scorer(model: Model):
     return score
 
 
-def _train_vectors(words: list[list[str]], toxic: np.ndarray, s: Settings) -> np.ndarray:
+class Lexicon:
+    """The words of a sample as numbers, and the n-gram buckets of each: arrays instead of strings,
+    since the sample stays in the driver's memory."""
+
+    def __init__(self, texts: list[str | None], s: Settings):
+        self.index: dict[str, int] = {}
+        grams, sizes, self.docs = array("i"), array("i"), []
+        for text in texts:
+            words = split_words(text)
+            for w in words:
+                if w not in self.index:
+                    self.index[w] = len(self.index)
+                    buckets = word_buckets(w, s.buckets, *s.grams)
+                    grams.extend(buckets)
+                    sizes.append(len(buckets))
+            self.docs.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+        self.grams, self.sizes = np.array(grams, np.int32), np.array(sizes, np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+
+    def word_logits(self, per_bucket: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(per_bucket[self.grams], self.start) / self.sizes
+
+
+def _train_vectors(lexicon: Lexicon, docs: list[np.ndarray], toxic: np.ndarray, s: Settings) -> np.ndarray:
     """The bucket logits after joint training of vectors and softmax."""
     rng = np.random.default_rng(s.seed)
-    held_by = Counter(w for ws in words for w in set(ws))
-    index = {w: i for i, w in enumerate(sorted(w for w, n in held_by.items() if n >= s.min_docs))}
-    if not index:
-        return np.zeros(s.buckets)
-    flat = np.array([index.get(w, -1) for ws in words for w in ws], np.int64)
-    gram_lists = [word_buckets(w, s.buckets, *s.grams) for w in index]
-    gram_sizes = np.array([len(g) for g in gram_lists])
-    grams = np.array([b for g in gram_lists for b in g], np.int64)
-    gram_at = np.cumsum(gram_sizes) - gram_sizes
-
-    # windows as rows of word numbers; -1 is a word left out or the padding at the end
-    rows, owner, lengths, at = [], [], [], 0
-    for d, ws in enumerate(words):
-        n = -(-len(ws) // s.window)
-        padded = np.full(n * s.window, -1, np.int64)
-        padded[: len(ws)] = flat[at : at + len(ws)]
-        at += len(ws)
+    grams, gram_sizes, gram_at = lexicon.grams, lexicon.sizes, lexicon.start
+
+    # windows as rows of word numbers; -1 is the padding at the end
+    rows, owner, lengths = [], [], []
+    for d, words in enumerate(docs):
+        n = -(-len(words) // s.window)
+        padded = np.full(n * s.window, -1, np.int32)
+        padded[: len(words)] = words
         rows.append(padded.reshape(n, s.window))
-        owner.append(np.full(n, d))
-        lengths.append(np.minimum(s.window, len(ws) - np.arange(n) * s.window))
+        owner.append(np.full(n, d, np.int32))
+        lengths.append(np.minimum(s.window, len(words) - np.arange(n) * s.window))
     windows, owner = np.concatenate(rows), np.concatenate(owner)
     sizes = np.maximum(np.concatenate(lengths), s.window // 2).astype(np.float32)
 
@@ -131,16 +142,15 @@ def _train_vectors(words: list[list[str]], toxic: np.ndarray, s: Settings) -> np
     bias, vec_g, out_g = np.zeros(2, np.float32), np.full((s.buckets, s.dim), 1e-4, np.float32), np.full((s.dim, 2), 1e-2, np.float32)
 
     def window_logits() -> np.ndarray:
-        per_bucket = vec @ (out[:, 1] - out[:, 0])
-        per_word = np.append(np.add.reduceat(per_bucket[grams], gram_at) / gram_sizes, 0)  # -1 is the pad
+        per_word = np.append(lexicon.word_logits(vec @ (out[:, 1] - out[:, 0])), 0)  # -1 is the pad
         return per_word[windows].sum(axis=1) / sizes
 
-    label = toxic[owner].astype(np.int64)
+    label = toxic[owner]
     use = np.arange(len(windows))
     for epoch in range(int(np.clip(-(-s.steps * s.batch // len(windows)), *s.epochs))):
         if epoch * len(windows) >= s.warm_up * s.batch or epoch and len(windows) >= s.warm_up * s.batch:
             z = window_logits()
-            top = np.full(len(words), -np.inf)
+            top = np.full(len(docs), -np.inf)
             np.maximum.at(top, owner, z)
             # of a toxic document: its best window, and those nearly as good that no clean text has;
             # of the clean ones: those taken for toxic most, and a part of the others
@@ -203,8 +213,8 @@ def fit(texts: list[str | None], toxic: list[int], settings: Settings | None = N
     """Train on a sample of texts with labels 0 and 1. With one class only, every score is that class's share."""
     s = settings or Settings()
     y = np.array(toxic, np.int64)
-    words = [split_words(t) for t in texts]
-    full = np.flatnonzero([len(w) > 0 for w in words])
+    lexicon = Lexicon(texts, s)
+    full = np.flatnonzero([len(d) > 0 for d in lexicon.docs])
     prior = float(y.mean()) if len(y) else 0.0
     if len(set(y[full].tolist())) < 2:
         return Model(np.zeros(s.buckets), np.array([0.0, 0.0, 30.0 * (2 * prior - 1)]), prior, s)
@@ -213,11 +223,10 @@ def fit(texts: list[str | None], toxic: list[int], settings: Settings | None = N
     learn = np.setdiff1d(full, aside)
     if len(set(y[learn].tolist())) < 2:
         learn = full
-    logits = _train_vectors([words[i] for i in learn], y[learn], s)
-    x = []
+    logits = _train_vectors(lexicon, [lexicon.docs[i] for i in learn], y[learn], s)
+    per_word, x = lexicon.word_logits(logits), []
     for i in aside:
-        per_word = np.array([logits[word_buckets(w, s.buckets, *s.grams)].mean() for w in words[i]])
-        means = _window_sums(per_word, s.window)
+        means = _window_sums(per_word[lexicon.docs[i]], s.window)
         x.append([means.max(), np.log(len(means)), 1.0])
     return Model(logits, _fit_rise(np.array(x), y[aside].astype(float)), prior, s)
 
