@@ -10,6 +10,7 @@ from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
 from weftwork.llm.line_dedup import line_dedup
 from weftwork.llm.simhash import simhash_components
+from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
 from weftwork.llm.toxicity import toxicity
 from weftwork.llm.unigram import decode, encode, load_vocabulary
 from weftwork.session import table
@@ -90,3 +91,10 @@ FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id""",
 def op7(spark, root):
     found = line_dedup(table(spark, root, "documents"), min_chars=40, min_docs=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_token_files")
+def op2(spark, root):
+    path = token_folder(spark)
+    write_tokens(table(spark, root, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
