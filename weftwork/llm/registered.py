@@ -13,6 +13,8 @@ from weftwork.llm.simhash import simhash_components
 from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
 from weftwork.llm.toxicity import toxicity
 from weftwork.llm.unigram import decode, encode, load_vocabulary
+from weftwork.llm.url_filter import judge_urls
+from weftwork.llm.wrappers import extract_pages
 from weftwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +100,17 @@ def op2(spark, root):
     path = token_folder(spark)
     write_tokens(table(spark, root, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: Fixed values: (verdict, host, path) rules of op10.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op10_url_filter")
+def op10(spark, root):
+    return judge_urls(table(spark, root, "pages"), URL_RULES)
+
+
+@query("op5_html_text")
+def op5(spark, root):
+    return extract_pages(table(spark, root, "pages")).withColumn("n_chars", F.length("text").cast("long"))
