@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
+from weftwork.llm.license_scan import license_matches
 from weftwork.llm.line_dedup import line_dedup
 from weftwork.llm.simhash import simhash_components
 from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
@@ -61,6 +62,11 @@ def op8(spark, root):
     return toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query("op3_license_scan")
+def op3(spark, root):
+    return license_matches(table(spark, root, "documents"))
+
+
 @query("op4_sentencepiece")
 def op4(spark, root):
     """Ids of every document, and whether decoding them gives the text back."""
