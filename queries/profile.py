@@ -224,7 +224,12 @@ def b20(spark, root):
     return rounded(profile.class_balance(t(spark, root, "labels"), "quality"), "positive_rate")
 
 
-@query("b21_detect_group_column", "SELECT 'source' AS \"column\", count(DISTINCT source) AS groups FROM documents")
+@query("b21_detect_group_column", """
+WITH c AS (
+  SELECT 1 AS i, 'doc_id' AS "column", count(DISTINCT doc_id) AS groups, count(*) AS n FROM documents
+  UNION ALL SELECT 2, 'lang', count(DISTINCT lang), count(*) FROM documents
+  UNION ALL SELECT 3, 'source', count(DISTINCT source), count(*) FROM documents)
+SELECT "column", groups FROM c WHERE groups > 1 AND groups < n ORDER BY i LIMIT 1""")
 def b21(spark, root):
     d = t(spark, root, "documents")
     name = profile.detect_group_column(d, ["doc", "source", "lang"])

@@ -66,7 +66,7 @@ def g07(spark, root):
 SELECT o_orderkey, o_custkey, (('0x' || substr({H.format('o_custkey')}, 1, 8))::BIGINT % 5)::INTEGER AS fold FROM orders""")
 def g07_hash(spark, root):
     d = t(spark, root, "orders").select("o_orderkey", "o_custkey")
-    return split.group_folds(d, "o_custkey", 5, SEED, max_groups=10)
+    return d.withColumn("fold", split.hash_fold(split.row_hash("o_custkey", SEED), 5))
 
 
 @query("g08_class_weights", f"""

@@ -14,8 +14,13 @@ SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m
 
 
 def replay(spark, root):
-    schema = t(spark, root, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    """The events as a stream of files, whether the table is one file or a folder of parts."""
+    events = t(spark, root, "events")
+    files = events.inputFiles()
+    reader = spark.readStream.schema(events.schema)
+    if any(f.rsplit("/", 1)[-1] != "events.parquet" for f in files):
+        return reader.parquet(f"{root}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(root)
 
 
 @query("m01_metric_sink", "SELECT event_id, user_id, event_type, value FROM events")
@@ -28,5 +33,9 @@ def m01(spark, root):
 
 @query("m02_metric_rollup", ROLLUP_SQL)
 def m02(spark, root):
-    out = metrics.metric_rollup(t(spark, root, "events"), "ts", "event_type", "value", "6 hours")
+    path = folder(spark, "rollup")
+    summary = metrics.metric_rollup(replay(spark, root), "ts", "event_type", "value", "6 hours", late="1 day")
+    writer = summary.writeStream.outputMode("complete").option("checkpointLocation", folder(spark, "rollup-state"))
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(path)
     return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), "mean", "min", "max", digits=9)

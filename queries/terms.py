@@ -10,6 +10,7 @@ from weftwork.functions import text as T
 from weftwork.functions import wordlists as wl
 from weftwork.functions.frame import explode_rows
 from weftwork.operators import terms
+from weftwork.session import write_once
 
 CLEAN = f"lower(regexp_replace(regexp_replace(regexp_replace(text, '[^{T.WORD_CHAR}]', ' ', 'g'), ' +[a-zA-Z] +', ' ', 'g'), ' +', ' ', 'g'))"
 TOKENS = f"list_filter(string_split({CLEAN}, ' '), lambda t: t <> '')"
@@ -94,9 +95,9 @@ dic AS (SELECT *, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FR
 
 
 def extremes(spark, root):
-    d = kept_tokens(spark, root)
-    documents = t(spark, root, "documents").count()
-    return d, terms.filter_extremes(terms.token_stats(d, "doc_id", F.col("tokens")), documents, 2, 0.8)
+    """(tokens of each document, written once; their counts; the number of documents)."""
+    d = write_once(kept_tokens(spark, root))
+    return d, terms.token_stats(d, "doc_id", F.col("tokens")), d.count()
 
 
 @query("i08_build_dictionary", f"WITH {DICT_SQL} SELECT token, df, cf, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM st")
@@ -106,14 +107,15 @@ def i08(spark, root):
 
 @query("i09_filter_extremes", f"WITH {EXTREMES_SQL} SELECT token, df, cf FROM ex")
 def i09(spark, root):
-    return extremes(spark, root)[1]
+    _, stats, documents = extremes(spark, root)
+    return terms.filter_extremes(stats, documents, 2, 0.8)
 
 
 @query("i10_doc2bow", f"""WITH {EXTREMES_SQL}
 SELECT doc_id, token_id, n FROM dt JOIN dic ON dt.token = dic.token""")
 def i10(spark, root):
-    d, kept = extremes(spark, root)
-    bow = terms.doc2bow(d, "doc_id", F.col("tokens"), terms.build_dictionary(kept))
+    d, stats, documents = extremes(spark, root)
+    bow = terms.doc2bow(d, "doc_id", F.col("tokens"), terms.kept_dictionary(stats, documents, 2, 0.8))
     return bow.select("doc_id", F.inline("bow"))
 
 
@@ -249,6 +251,19 @@ def i17(spark, root):
     return rounded(out, "tfidf")
 
 
+RAW_DOC_GRAMS = RAW_GRAMS.replace("item_id", "doc_id")
+
+
+@query("i17_char_tfidf_documents", f"""
+WITH p AS (SELECT doc_id, regexp_replace(lower(text), '{S}{S}+', ' ', 'g') AS p FROM documents),
+{_char_tfidf_sql(RAW_DOC_GRAMS, 'documents', 'doc_id', 300000, '1 + ln(n)')}
+SELECT doc_id, count(*) AS terms, {sr('sum(tfidf)', 4)} AS total, {sr('max(tfidf)')} AS peak FROM tf GROUP BY doc_id""")
+def i17_documents(spark, root):
+    weights = terms.char_tfidf(texts(spark, root), "doc_id", "text", within_words=False, max_features=MAX_FEATURES, strip_accents=False)
+    out = weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tfidf").alias("total"), F.max("tfidf").alias("peak"))
+    return rounded(rounded(out, "total", digits=4), "peak")
+
+
 @query("i18_strip_accents", f"SELECT doc_id, translate(text, '{wl.ACCENTED}', '{wl.UNACCENTED}') AS plain FROM documents")
 def i18(spark, root):
     return t(spark, root, "documents").select("doc_id", T.strip_accents(F.col("text")).alias("plain"))
@@ -260,6 +275,6 @@ i AS (SELECT token_id, log2((SELECT count(*) FROM documents) / count(*)) AS idf
 x AS (SELECT doc_id, b.token_id, n * idf AS w FROM b JOIN i ON b.token_id = i.token_id WHERE n * idf > 0)
 SELECT doc_id, token_id, {sr('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS tfidf FROM x""")
 def i19(spark, root):
-    d, kept = extremes(spark, root)
-    bow = terms.bag_of_words(d, "doc_id", F.col("tokens"), terms.build_dictionary(kept))
-    return rounded(terms.bow_tfidf(bow, t(spark, root, "documents").count(), "doc_id"), "tfidf")
+    d, stats, documents = extremes(spark, root)
+    bow = terms.bag_of_words(d, "doc_id", F.col("tokens"), terms.kept_dictionary(stats, documents, 2, 0.8))
+    return rounded(terms.bow_tfidf(bow, documents, "doc_id"), "tfidf")

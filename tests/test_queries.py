@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from queries import catalogue
 from tools.check import canonical, compare, duck
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalogue.queries()
+SQL = catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")

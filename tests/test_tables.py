@@ -163,7 +163,7 @@ def test_early_stop(spark):
 
 def test_concat_text_continues_in_chunks(spark):
     df = spark.createDataFrame([("k", i, f"w{i}") for i in range(7)] + [("j", 0, None)], "k string, i int, text string")
-    got = {(r["k"], r["chunk"]): r["text"] for r in groups.concat_text(df, "k", "text", ["i"], chunk_rows=3).collect()}
+    got = {(r["k"], r["chunk"]): r["text"] for r in groups.concat_text(df, "k", "text", ["i"], chunk_bytes=6).collect()}
     assert got == {("k", 0): "w0 w1 w2", ("k", 1): "w3 w4 w5", ("k", 2): "w6", ("j", 0): ""}
 
 
@@ -192,7 +192,7 @@ def test_folds_partition_rows_and_balance_classes(spark, skewed):
 def test_group_folds(spark, n_groups):
     df = spark.createDataFrame([(i, f"g{min(i % 20, n_groups - 1)}", i % 2) for i in range(200)], "id long, g string, label int")
     for limit in (100, 1):
-        got = split.group_folds(df, "g", 5, 1, max_groups=limit)
+        got = split.group_folds(df, "g", 5, 1, largest=limit)
         assert got.count() == 200
         assert got.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
     assert split.group_folds(df, "g", 5, 1).select("fold").distinct().count() == min(5, n_groups)

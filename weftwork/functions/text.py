@@ -197,7 +197,15 @@ def _windows(s: Column, n: int) -> Column:
 def char_ngrams(c: Column, lo: int, hi: int) -> Column:
     """All character n-grams of the text, runs of white space read as one blank."""
     s = F.regexp_replace(c, rf"{SPACE}{SPACE}+", " ")
-    return F.concat(*[_windows(s, n) for n in range(lo, hi + 1)])
+
+    def cut(chars: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(chars) - F.lit(n - 1))
+        windows = F.transform(places, lambda i: F.array_join(F.slice(chars, i, n), ""))
+        return F.when(F.size(chars) >= n, windows).otherwise(F.array().cast("array<string>"))
+
+    # Cut into characters once, bound by a lambda: a place in an array is reached directly, one in a
+    # string by counting from its start.
+    return F.flatten(F.transform(F.array(F.split(s, "")), lambda chars: F.concat(*[cut(chars, n) for n in range(lo, hi + 1)])))
 
 
 def word_char_ngrams(c: Column, lo: int, hi: int) -> Column:
@@ -206,9 +214,9 @@ def word_char_ngrams(c: Column, lo: int, hi: int) -> Column:
     A padded word no longer than ``n`` gives itself once and no longer n-grams.
     """
 
-    def of_word(w: Column) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
+    def of_word(p: Column) -> Column:
         short = F.when(F.length(p) < lo, F.array(p)).otherwise(F.array().cast("array<string>"))
         return F.concat(short, *[_windows(p, n) for n in range(lo, hi + 1)])
 
-    return F.flatten(F.transform(split_ws(c), of_word))
+    padded = F.transform(split_ws(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, of_word))

@@ -53,7 +53,8 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_rules(df: DataFrame, rules: Mapping[str, Column], derived: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows meeting every rule, and a report of how many rows break each one.
+    """Rows meeting every rule, and a report of how many rows break each one. A comparison with a
+    missing value, null or NaN, breaks its rule.
 
     ``derived``: the rules are on columns that are costly to compute. They are then tested on
     the output of a generator, below which Spark does not push the filter; pushed down, it
@@ -64,7 +65,12 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column], derived: bool = Fals
     for c in ok.values():
         every = every & c
     names = list(ok)
-    row = df.agg(
+    # rules see null for NaN, which Spark would order above every number; the rows keep theirs
+    floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    columns = df.columns
+    seen = df.withColumns({f"_own_{c}": F.col(c) for c in floating} | {c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
+    own = [F.col(f"_own_{c}").alias(c) if c in floating else F.col(c) for c in columns]
+    row = seen.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(every).alias("kept"),
         *[F.count_if(~ok[r]).alias(f"v{i}") for i, r in enumerate(names)],
@@ -74,8 +80,8 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column], derived: bool = Fals
     entries += [(r, {"n": F.col(f"v{i}")}) for i, r in enumerate(names)]
     report = melt(row, entries, key="rule")
     if derived:
-        return df.select("*", F.explode_outer(F.array(every)).alias("_ok")).filter("_ok").drop("_ok"), report
-    return df.filter(every), report
+        return seen.select("*", F.explode_outer(F.array(every)).alias("_ok")).filter("_ok").select(*own), report
+    return seen.filter(every).select(*own), report
 
 
 def drop_constant(df: DataFrame, keep: Sequence[str] = ("label",), dropna: bool = False) -> DataFrame:

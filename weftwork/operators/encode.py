@@ -84,14 +84,16 @@ def standardize_vector(df: DataFrame, features: str = "features", name: str = "s
 
 
 def pca(df: DataFrame, k: int, features: str = "features", scale: bool = True):
-    """(frame with ``pcs`` array<double>, explained ratios). The input is centred first; each
-    component's sign makes its largest loading positive."""
+    """(frame with ``pcs`` array<double>, explained ratios). The input is centred first and, with
+    ``scale``, divided by the population std; each component's sign makes its largest loading positive."""
     import numpy as np
 
     scaled, _ = standardize_vector(df, features, "_scaled", with_std=scale)
     model = PCA(k=k, inputCol="_scaled", outputCol="_pcs").fit(scaled)
     loadings = model.pc.toArray()
-    signs = [float(s) for s in np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])]
+    n = df.count() if scale else 0
+    unit = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # from the sample std, which the scaler uses
+    signs = [unit * float(s) for s in np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])]
     out = model.transform(scaled)
     flipped = F.zip_with(vector_to_array("_pcs"), F.array(*[F.lit(s) for s in signs]), lambda x, s: x * s)
     return out.withColumn("pcs", flipped).drop("_scaled", "_pcs"), [float(x) for x in model.explainedVariance]

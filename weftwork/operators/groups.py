@@ -33,22 +33,18 @@ def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def concat_text(df: DataFrame, by: str, text: str, order: Sequence[str], sep: str = " ", chunk_rows: int = 100_000) -> DataFrame:
+def concat_text(df: DataFrame, by: str, text: str, order: Sequence[str], sep: str = " ", chunk_bytes: int = 64_000_000) -> DataFrame:
     """Texts of each key joined in order: (by, chunk, text).
 
-    A key with more than ``chunk_rows`` rows continues in further chunks, because one string
-    cannot hold an unbounded group; nothing is left out.
+    A chunk takes the rows that begin within its ``chunk_bytes`` bytes of the key's texts, so a key
+    below that is one string, and a larger one goes on in further chunks; nothing is left out.
     """
     rows = df.select(by, *[c for c in order if c != by], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    longest = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= chunk_rows:  # no key needs a second chunk, so nothing has to be numbered
-        rows, item = rows.withColumn("chunk", F.lit(0).cast("bigint")), F.struct(*order, "_text")
-    else:
-        rows, item = number_rows(rows, order, "_pos", by=[by]), F.struct("_pos", "_text")
-        rows = rows.withColumn("chunk", F.floor(F.col("_pos") / chunk_rows).cast("bigint"))
+    rows = prefix_scan(rows.withColumn("_n", F.octet_length("_text")), order, {"_before": ("sum", "_n", False)}, by=[by])
+    rows = rows.withColumn("chunk", F.floor(F.col("_before") / chunk_bytes).cast("bigint"))
     return (
         rows.groupBy(by, "chunk")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))  # at most chunk_rows
+        .agg(F.sort_array(F.collect_list(F.struct(*order, "_text"))).alias("_items"))  # at most chunk_bytes and a row
         .select(by, "chunk", F.array_join(F.transform("_items", lambda x: x["_text"]), sep).alias(text))
     )
 

@@ -20,7 +20,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -89,10 +89,14 @@ def fit_rbf_svm(df: DataFrame, dims: int, gamma: float, n_features: int = 128, C
 
 
 def fit_linear(df: DataFrame, loss: str = "hinge", alpha: float = 1e-4, penalty: str = "l2", max_iter: int = 100):
-    """Linear model with hinge or log loss; ``alpha`` is the penalty per mean loss."""
+    """Linear model with hinge or log loss; ``alpha`` is the penalty per mean loss. ``penalty``: l2,
+    or with log loss l1 and elasticnet (half of each)."""
+    mixes = {"l2": 0.0} if loss == "hinge" else {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}
+    if loss not in ("hinge", "log") or penalty not in mixes:
+        raise ValueError(f"no {loss} loss with {penalty} penalty")
     if loss == "hinge":
         return LinearSVC(regParam=alpha, maxIter=max_iter).fit(df)
-    return LogisticRegression(regParam=alpha, elasticNetParam={"l1": 1.0, "l2": 0.0}.get(penalty, 0.5), maxIter=max_iter).fit(df)
+    return LogisticRegression(regParam=alpha, elasticNetParam=mixes[penalty], maxIter=max_iter).fit(df)
 
 
 def fit_tree(df: DataFrame, max_depth: int = 5, min_leaf: int = 1, seed: int = 42):
@@ -297,7 +301,16 @@ class MacroF1(Evaluator):
 
 
 def _evaluator(metric: str) -> Evaluator:
-    return MacroF1() if metric == "f1_macro" else BinaryClassificationEvaluator(metricName="areaUnderROC")
+    """auc, accuracy, f1 of the class 1, or f1_macro."""
+    known = {
+        "auc": lambda: BinaryClassificationEvaluator(metricName="areaUnderROC"),
+        "accuracy": lambda: MulticlassClassificationEvaluator(metricName="accuracy"),
+        "f1": lambda: MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0),
+        "f1_macro": MacroF1,
+    }
+    if metric not in known:
+        raise ValueError(f"unknown metric {metric}; one of {', '.join(known)}")
+    return known[metric]()
 
 
 def grid_search(df: DataFrame, estimator, grid: Sequence[dict], fold: str, metric: str = "auc", parallelism: int = 4) -> CrossValidatorModel:
@@ -336,11 +349,14 @@ def search_table(model: CrossValidatorModel, df: DataFrame) -> DataFrame:
 
 
 def fit_stack(wide: DataFrame, models: Sequence[str], label: str, Cs: Sequence[float], fold: str) -> CrossValidatorModel:
-    """Logistic meta-model on the base models' out-of-fold probabilities, C chosen by AUC."""
+    """Logistic meta-model on the base models' out-of-fold probabilities, C chosen by AUC; rows are
+    weighted so that both classes count alike."""
     data = wide.select(fold, F.col(label).cast("double").alias("label"), array_to_vector(F.array(*models)).alias("features"))
+    share = one_row(data.agg(F.avg("label").alias("p")))["p"]
+    data = data.withColumn("weight", F.lit(0.5) / F.greatest(F.when(F.col("label") == 1, share).otherwise(1 - share), F.lit(1e-12)))
     data = write_once(data)  # every fold and setting reads it again
     n = data.count()
-    lr = LogisticRegression()
+    lr = LogisticRegression(weightCol="weight")
     return grid_search(data, lr, [{lr.regParam: 1.0 / (c * n)} for c in Cs], fold, "auc")
 
 

@@ -209,8 +209,9 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def detect_group_column(df: DataFrame, prefixes: Sequence[str]) -> str | None:
-    """The first column with a listed prefix that has more than one value but not one per row."""
-    cols = [c for p in prefixes for c in df.columns if c.startswith(p)]
+    """The first column, in the order of the table, that has one of the prefixes and more than one
+    value but not one per row."""
+    cols = [c for c in df.columns if c.startswith(tuple(prefixes))]
     if not cols:
         return None
     row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()

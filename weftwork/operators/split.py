@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions.frame import join_small
 from weftwork.functions.hashing import hash_below, row_hash
-from weftwork.operators.scan import TAKE_ROWS
+from weftwork.operators.scan import TAKE_ROWS, number_rows
 
 _DIGITS = 4  # first hex digits of the hash: 65 536 buckets per class
 
@@ -105,30 +105,34 @@ def stratified_folds(df: DataFrame, label: str, k: int, id_col: str, seed: int)
     return out.select(*df.columns, (past + empty).cast("int").alias("fold"))
 
 
-def group_folds(df: DataFrame, group: str, k: int, seed: int, label: str | None = None, id_col: str | None = None, max_groups: int = 100_000) -> DataFrame:
-    """Adds ``fold`` such that no group is in two folds.
+def group_folds(df: DataFrame, group: str, k: int, seed: int, label: str | None = None, id_col: str | None = None, largest: int = 1_000) -> DataFrame:
+    """Adds ``fold`` such that no group is in two folds; k is cut to the number of groups.
 
-    Up to ``max_groups`` groups: largest first onto the lightest fold, with k cut to the number
-    of groups. More groups: hash of the group. At most one group: stratified folds instead.
+    Groups are dealt in the order of their sizes (ties by value): each of the ``largest`` to the
+    fold that is lightest so far, the others back and forth over the folds, the lightest first.
+    The latter are no larger than any of the former, so the folds stay as even as the large groups
+    allow, whatever the number of groups. With at most one group: stratified folds instead.
     """
+    largest = max(largest, k, 2)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = sizes.limit(max_groups + 1).collect()
+    ranked = number_rows(sizes, [F.desc("n"), F.col(group).asc_nulls_first()], "_rank")
+    head = ranked.filter(F.col("_rank") < largest).collect()  # at most ``largest`` rows
     if len(head) <= 1:
         if label is None or id_col is None:
             raise ValueError("one group only: label and id are needed for stratified folds")
         return stratified_folds(df, label, k, id_col, seed)
-    if len(head) > max_groups:
-        return df.withColumn("fold", hash_fold(row_hash(group, seed), k))
     k = min(k, len(head))
-    load = [0] * k
-    placed = []
-    for row in sorted(head, key=lambda r: (-r["n"], str(r[group]))):
+    load, placed = [0] * k, []
+    for row in sorted(head, key=lambda r: r["_rank"]):
         f = min(range(k), key=lambda i: (load[i], i))
         load[f] += row["n"]
-        placed.append((row[group], f))
-    schema = sizes.select(F.col(group).alias("_g"), F.lit(0).alias("fold")).schema
-    folds = df.sparkSession.createDataFrame(placed, schema)
-    return df.join(F.broadcast(folds), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")  # at most max_groups rows
+        placed.append((row["_rank"], f))
+    turn = sorted(range(k), key=lambda i: (load[i], i))
+    back_and_forth = F.array(*[F.lit(f) for f in turn + turn[::-1]])
+    chosen = df.sparkSession.createDataFrame(placed, "_rank bigint, _fold int")
+    dealt = F.get(back_and_forth, ((F.col("_rank") - largest) % (2 * k)).cast("int"))
+    folds = ranked.join(F.broadcast(chosen), "_rank", "left").select(F.col(group).alias("_g"), F.coalesce("_fold", dealt).alias("fold"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def hash_fold(h: Column, k: int) -> Column:

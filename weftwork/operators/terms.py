@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftwork.functions import text as T
 from weftwork.functions.frame import explode_rows, one_row
 from weftwork.operators.scan import number_rows, prefix_scan, top_rows
+from weftwork.session import write_once
 
 BROADCAST_TERMS = 500_000
 
@@ -31,9 +32,11 @@ def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFr
     return rows.select(*id_cols, F.when(F.size("_at") > 0, counted).otherwise(none).alias("counts"))
 
 
-def document_terms(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, n), one row of ``df`` being one document."""
-    rows = explode_rows(run_lengths(df, [id_col], tokens), [id_col], F.col("counts"), "c")
+def document_terms(df: DataFrame, id_col: str, tokens: Column, once: bool = False) -> DataFrame:
+    """(id, term, n), one row of ``df`` being one document. ``once``: the counts of each row are
+    written and read again, for a result that several jobs or branches use."""
+    counted = run_lengths(df, [id_col], tokens)
+    rows = explode_rows(write_once(counted) if once else counted, [id_col], F.col("counts"), "c")
     return rows.select(id_col, "c.term", "c.n")
 
 
@@ -59,8 +62,16 @@ def build_dictionary(stats: DataFrame) -> DataFrame:
 
 def filter_extremes(stats: DataFrame, documents: int, no_below: int = 2, no_above: float = 0.8, keep_n: int = 100_000) -> DataFrame:
     """Tokens in at least ``no_below`` documents and at most that share, the most frequent kept."""
-    kept = stats.filter((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above * documents)))
-    return top_rows(kept, [F.desc("df"), "token"], keep_n)
+    return top_rows(_within(stats, documents, no_below, no_above), [F.desc("df"), "token"], keep_n)
+
+
+def _within(stats: DataFrame, documents: int, no_below: int, no_above: float) -> DataFrame:
+    return stats.filter((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above * documents)))
+
+
+def kept_dictionary(stats: DataFrame, documents: int, no_below: int = 2, no_above: float = 0.8, keep_n: int = 100_000) -> DataFrame:
+    """The dictionary of what ``filter_extremes`` keeps; the numbers that order it also cut it."""
+    return build_dictionary(_within(stats, documents, no_below, no_above)).filter(F.col("token_id") < keep_n)
 
 
 def doc2bow(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -> DataFrame:
@@ -178,7 +189,7 @@ def tfidf(
 ) -> DataFrame:
     """TF-IDF where each row is a document. ``short_terms`` tells that terms are a few characters
     long, so that ``max_features`` bounds the idf table in bytes too and it may be broadcast."""
-    counts = document_terms(df, id_col, tokens)
+    counts = document_terms(df, id_col, tokens, once=True)
     rows = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = fit_idf(counts, rows, min_df, max_features)
     if short_terms and max_features is not None and max_features <= BROADCAST_TERMS:

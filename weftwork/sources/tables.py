@@ -12,20 +12,23 @@ from pyspark.sql.types import StructType
 from weftwork.functions import text as T
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",", fmt: str = "csv") -> DataFrame:
-    """A delimited table with header (quoted fields may hold line breaks), or parquet.
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",", fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """A delimited table with header, or parquet.
+
+    ``multi_line``: quoted fields may hold line breaks; each file is then read by one task.
 
     Without a schema all CSV columns are strings: no extra pass over the data to guess types.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_json_records(spark: SparkSession, path: str, fields: Sequence[str], schema: StructType | str | None = None) -> DataFrame:
-    """A JSON array of records, reduced to the listed fields."""
-    reader = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, fields: Sequence[str], schema: StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """JSON arrays of records, reduced to the listed fields: one array a file, or with ``multi_line``
+    off one array a line, which lets several tasks share a file."""
+    reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).json(path).select(*fields)
 
 
