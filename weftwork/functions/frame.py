@@ -23,16 +23,13 @@ def numeric_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-SMALL_ROWS = 100_000
-
-
-def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join a frame expected to be small. Its rows are counted while they are fetched: up to
-    ``max_rows`` it is broadcast, beyond that it is an ordinary join that Spark shuffles."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        small = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
-    return df.join(small, on, how)
+def with_blocks(rows: DataFrame, df: DataFrame, key: str, block: int) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with all of ``df`` as array columns, in blocks of some ``block`` rows, so that none
+    sends more than that to a task; and those columns. ``key`` deals ``df`` out."""
+    blocks = -(-df.count() // block) or 1
+    part = F.pmod(F.xxhash64(key), F.lit(blocks))
+    arrays = {f"_block{i}": one_row(df.filter(part == i).agg(F.collect_list(F.struct(*df.columns)).alias("c")))["c"] for i in range(blocks)}
+    return rows.withColumns(arrays), [F.col(name) for name in arrays]
 
 
 def explode_rows(df: DataFrame, keep: Sequence[str], values: Column, name: str) -> DataFrame:

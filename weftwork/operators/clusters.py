@@ -11,10 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftwork.functions.frame import one_row
-from weftwork.operators.neighbors import nearest_rows
+from weftwork.functions.frame import with_blocks
 from weftwork.operators.scan import number_rows
-from weftwork.session import materialise
+from weftwork.session import materialise, write_once
 
 MAX_CENTRES = 10_000
 FIRST_SPLIT = 8  # sub-cells per cell side
@@ -48,20 +47,13 @@ def fit_hierarchical(df: DataFrame, k: int, seed: int = 42):
 def assign_nearest(df: DataFrame, centres: DataFrame, id_col: str, features: str) -> DataFrame:
     """(id, cluster, distance) of the nearest centre (cluster, centre); ties to the smallest cluster.
 
-    Up to MAX_CENTRES centres travel as one array; more are searched as nearest rows.
+    Centres travel as arrays, in blocks of MAX_CENTRES.
     """
-    n = centres.limit(MAX_CENTRES + 1).count()
-    if n > MAX_CENTRES:
-        points = df.select(id_col, F.col(features).cast("array<double>").alias("_x"))
-        kind = centres.schema["cluster"].dataType
-        named = centres.select(F.col("cluster").alias(id_col), F.col("centre").cast("array<double>").alias("_x"))
-        near = nearest_rows(points, named, id_col, "_x", 1)
-        return near.select(id_col, F.col("neighbour").cast(kind).alias("cluster"), "distance")
-    packed = centres.select("cluster", F.col("centre").cast("array<double>").alias("m"))
-    every = one_row(packed.agg(F.collect_list(F.struct("cluster", "m")).alias("c")))["c"]
-    rows = df.select(id_col, F.col(features).cast("array<double>").alias("_x")).withColumn("_c", every)
+    packed = write_once(centres.select("cluster", F.col("centre").cast("array<double>").alias("m")))
+    rows, blocks = with_blocks(df.select(id_col, F.col(features).cast("array<double>").alias("_x")), packed, "cluster", MAX_CENTRES)
     gap = lambda m: F.aggregate(F.zip_with(F.col("_x"), m, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-    best = F.array_min(F.transform("_c", lambda c: F.struct(gap(c["m"]).alias("d"), c["cluster"].alias("cluster"))))
+    near = [F.array_min(F.transform(c, lambda c: F.struct(gap(c["m"]).alias("d"), c["cluster"].alias("cluster")))) for c in blocks]
+    best = near[0] if len(near) == 1 else F.least(*near)
     return rows.withColumn("_b", best).select(id_col, F.col("_b.cluster").alias("cluster"), F.sqrt("_b.d").alias("distance"))
 
 

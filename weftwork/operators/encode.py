@@ -8,7 +8,6 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftwork.functions.frame import join_small
 from weftwork.operators.quantiles import number
 from weftwork.operators.scan import number_rows
 
@@ -33,13 +32,13 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 def label_encode(df: DataFrame, col: str, name: str, codes: DataFrame | None = None) -> DataFrame:
     codes = label_codes(df, col) if codes is None else codes
-    return join_small(df, codes.withColumnRenamed("code", name), col, "left")
+    return df.join(codes.withColumnRenamed("code", name), col, "left")
 
 
 def label_decode(df: DataFrame, code: str, codes: DataFrame, name: str) -> DataFrame:
     value = next(c for c in codes.columns if c != "code")
     back = codes.select(F.col("code").alias(code), F.col(value).alias(name))
-    return join_small(df, back, code, "left")
+    return df.join(back, code, "left")
 
 
 def _stats(df: DataFrame, cols: Sequence[str], **funcs) -> dict:

@@ -8,10 +8,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import one_row
+from weftwork.functions.frame import one_row, with_blocks
 from weftwork.operators.encode import vector
 from weftwork.operators.groups import group_mode
-from weftwork.operators.neighbors import nearest_rows
 from weftwork.operators.scan import prefix_scan
 from weftwork.session import write_once
 
@@ -153,7 +152,7 @@ def most_confident(df: DataFrame, id_col: str, score: str, k: int) -> DataFrame:
 
 # ---- clusterings -------------------------------------------------------------------------
 
-MAX_CLUSTERS = 10_000
+MAX_CLUSTERS = 10_000  # in one block
 
 
 def cluster_sums(df: DataFrame, cluster: str, features: str) -> DataFrame:
@@ -165,14 +164,6 @@ def cluster_sums(df: DataFrame, cluster: str, features: str) -> DataFrame:
     )
 
 
-def _as_array(sums: DataFrame) -> Column:
-    """All clusters as one array column; their number is checked, since the array goes to each task."""
-    n = sums.select("cluster").limit(MAX_CLUSTERS + 1).count()
-    if n > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return one_row(sums.agg(F.collect_list(F.struct("cluster", "n", "s", "q")).alias("c")))["c"]
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -181,80 +172,45 @@ def silhouette_rows(df: DataFrame, id_col: str, cluster: str, features: str) ->
     """Silhouette per row with squared Euclidean distances, linear in the number of rows.
 
     Mean squared distance to a cluster follows from its size, sum vector and sum of squared
-    norms, so no pair of rows is ever formed. More than MAX_CLUSTERS clusters are searched as
-    nearest rows instead of being sent to every task.
+    norms, so no pair of rows is ever formed. Clusters travel as arrays, in blocks of MAX_CLUSTERS.
     """
-    stats = cluster_sums(df, cluster, features)
-    if stats.select("cluster").limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
-        return _silhouette_many(df, id_col, cluster, features, stats)
-    sums = _as_array(stats)
-    rows = df.select(id_col, F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x")).withColumns(
-        {"_c": sums, "_q": F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x)}
-    )
-    total = F.transform(
-        "_c",
-        lambda c: F.struct(
-            c["cluster"].alias("cluster"), c["n"].alias("n"), (c["n"] * F.col("_q") + c["q"] - 2.0 * _dot(F.col("_x"), c["s"])).alias("d")
-        ),
-    )
-    rows = rows.withColumn("_d", total)
-    own = F.filter("_d", lambda d: d["cluster"] == F.col("cluster"))[0]
-    others = F.transform(F.filter("_d", lambda d: d["cluster"] != F.col("cluster")), lambda d: d["d"] / d["n"])
-    rows = rows.withColumns({"_n": own["n"], "_a": own["d"] / F.greatest(own["n"] - 1, F.lit(1)), "_b": F.array_min(others)})
+    rows = df.select(id_col, F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x"))
+    rows = rows.withColumn("_q", F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))
+    rows, blocks = with_blocks(rows, write_once(cluster_sums(df, cluster, features)), "cluster", MAX_CLUSTERS)
+    distance = lambda c: c["n"] * F.col("_q") + c["q"] - 2.0 * _dot(F.col("_x"), c["s"])
+    owns, others = [], []
+    for block in blocks:
+        owns.append(F.get(F.transform(F.filter(block, lambda c: c["cluster"] == F.col("cluster")), lambda c: F.struct(c["n"].alias("n"), distance(c).alias("d"))), F.lit(0)))
+        others.append(F.array_min(F.transform(F.filter(block, lambda c: c["cluster"] != F.col("cluster")), lambda c: distance(c) / c["n"])))
+    rows = rows.withColumns({"_own": F.coalesce(*owns), "_b": others[0] if len(others) == 1 else F.least(*others)})
+    rows = rows.withColumns({"_n": F.col("_own.n"), "_a": F.col("_own.d") / F.greatest(F.col("_own.n") - 1, F.lit(1))})
     s = (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")
     return rows.select(id_col, "cluster", F.when((F.col("_n") > 1) & (F.greatest("_a", "_b") > 0), s).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
-def _silhouette_many(df: DataFrame, id_col: str, cluster: str, features: str, stats: DataFrame) -> DataFrame:
-    """The mean squared distance to a cluster is that to its mean plus its mean squared spread:
-    with the spread's root as one more coordinate it is a distance to a point, so the best
-    other cluster is among the two nearest such points. Clusters are numbered by integers."""
-    kind = df.schema[cluster].dataType
-    spread = F.greatest(F.col("q") / F.col("n") - F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x), F.lit(0.0))
-    points = write_once(
-        stats.withColumn("_m", F.transform("s", lambda v: v / F.col("n"))).select(
-            F.col("cluster").cast("bigint").alias("cluster"), "n", F.concat("_m", F.array(F.sqrt(spread))).alias("_y")
-        )
-    )
-    rows = df.select(
-        id_col, F.col(cluster).cast("bigint").alias("cluster"),
-        F.concat(F.col(features).cast("array<double>"), F.array(F.lit(0.0))).alias("_y"),
-    )
-    named = points.select(F.col("cluster").alias(id_col), "_y")
-    other = nearest_rows(rows.select(id_col, "_y"), named, id_col, "_y", 2).join(rows.select(id_col, "cluster"), id_col)
-    b = other.filter("neighbour <> cluster").groupBy(id_col).agg((F.min("distance") ** 2).alias("_b"))
-    own = points.select("cluster", "n", F.col("_y").alias("_own"))
-    sq = F.aggregate(F.zip_with("_y", "_own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-    a = rows.join(own, "cluster").select(id_col, "cluster", "n", (sq * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))).alias("_a"))
-    most = F.greatest("_a", "_b")
-    s = F.when((F.col("n") > 1) & (most > 0), (F.col("_b") - F.col("_a")) / most).otherwise(F.lit(0.0))
-    return a.join(b, id_col).select(id_col, F.col("cluster").cast(kind).alias("cluster"), s.alias("silhouette"))
-
-
 def silhouette(df: DataFrame, id_col: str, cluster: str, features: str) -> DataFrame:
     return silhouette_rows(df, id_col, cluster, features).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, cluster: str, features: str) -> DataFrame:
     """Mean over clusters of the worst (scatter_i + scatter_j) / distance of centroids."""
-    sums = _as_array(cluster_sums(df, cluster, features))
-    rows = df.select(F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x")).withColumn("_c", sums)
-    own = F.filter("_c", lambda c: c["cluster"] == F.col("cluster"))[0]
-    rows = rows.select("cluster", "_x", F.transform(own["s"], lambda v: v / own["n"]).alias("m"))
+    centres = write_once(cluster_sums(df, cluster, features).select("cluster", F.transform("s", lambda v: v / F.col("n")).alias("m")))
+    rows = df.select(F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x")).join(centres, "cluster")
     gap = lambda a, b: F.sqrt(
         F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
     )
-    scatter = rows.groupBy("cluster").agg(F.avg(gap(F.col("_x"), F.col("m"))).alias("scatter"), F.first("m").alias("m"))
-    each = one_row(scatter.agg(F.collect_list(F.struct("cluster", "scatter", "m")).alias("c")))["c"]
-    worst = scatter.withColumn("_all", each).select(
+    scatter = write_once(rows.groupBy("cluster").agg(F.avg(gap(F.col("_x"), F.col("m"))).alias("scatter")).join(centres, "cluster"))
+    pairs, blocks = with_blocks(scatter, scatter, "cluster", MAX_CLUSTERS)
+    worst = [
         F.array_max(
             F.transform(
-                F.filter("_all", lambda o: o["cluster"] != F.col("cluster")),
+                F.filter(block, lambda o: o["cluster"] != F.col("cluster")),
                 lambda o: (F.col("scatter") + o["scatter"]) / gap(F.col("m"), o["m"]),
             )
-        ).alias("w")
-    )
-    return worst.agg(F.avg("w").alias("davies_bouldin"))
+        )
+        for block in blocks
+    ]
+    return pairs.select((worst[0] if len(worst) == 1 else F.greatest(*worst)).alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
 def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:

@@ -27,12 +27,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import one_row
+from weftwork.functions.frame import one_row, with_blocks
 from weftwork.operators import evaluate
 from weftwork.operators.neighbors import nearest_rows
 from weftwork.session import materialise, write_once
 
-MAX_CLASSES = 10_000
+MAX_CLASSES = 10_000  # in one block
 
 
 def _weight(df: DataFrame, weight: str | None) -> dict:
@@ -150,8 +150,6 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
     stats = train.groupBy(F.col(label).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(v)).alias("m"), vector_to_array(Summarizer.variance(v)).alias("s")
     )
-    if stats.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
     eps = F.array_max("_all.v") * ((F.col("_all.n") - 1) / F.col("_all.n")) * smoothing
     stats = stats.withColumn("_all", whole).select(
         "c",
@@ -159,8 +157,8 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
         "m",
         F.transform("s", lambda x: x * (F.col("n") - 1) / F.col("n") + eps).alias("s"),
     )
-    classes = one_row(stats.agg(F.collect_list(F.struct("c", "prior", "m", "s")).alias("k")))["k"]
-    rows = queries.select(id_col, F.col(features).cast("array<double>").alias("_x")).withColumn("_k", classes)
+    rows = queries.select(id_col, F.col(features).cast("array<double>").alias("_x"))
+    rows, blocks = with_blocks(rows, write_once(stats), "c", MAX_CLASSES)
 
     def log_density(k: Column) -> Column:
         parts = F.zip_with(
@@ -168,7 +166,8 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
         )
         return k["prior"] - 0.5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
-    best = F.array_max(F.transform("_k", lambda k: F.struct(log_density(k).alias("l"), (-k["c"]).alias("c"))))
+    tops = [F.array_max(F.transform(k, lambda k: F.struct(log_density(k).alias("l"), (-k["c"]).alias("c")))) for k in blocks]
+    best = tops[0] if len(tops) == 1 else F.greatest(*tops)
     return rows.select(id_col, (-best["c"]).cast("int").alias("predicted"))
 
 

@@ -1,9 +1,9 @@
 """Exact quantiles (linear interpolation) that never hold a column in one task.
 
-Up to ``row_limit`` rows Spark's own ``percentile`` is used. Above it, an approximate
-quantile sketch brackets each wanted rank, one pass counts what lies below and inside each
-bracket, and only the bracket's distinct values are ordered. A bracket that is still large is
-bracketed again, so the result stays exact at any size.
+An approximate quantile sketch brackets each wanted rank, one pass counts what lies below and
+inside each bracket, and only the bracket's distinct values are ordered. A bracket that is still
+large is bracketed again, one that the sketch laid wrongly is widened, so the result is exact at
+any size. Up to ``row_limit`` rows, which one task orders at once, Spark's ``percentile`` is used.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-ROW_LIMIT = 1_000_000
+ROW_LIMIT = 20_000
 BRACKET_LIMIT = 500_000
 ACCURACY = 10_000
 
@@ -74,9 +74,9 @@ def exact_quantiles(
 def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy: int) -> None:
     # (column, rank) -> [low value, high value, rows below low]
     live = {key: [None, None, 0, n[key[0]]] for key in wanted}
+    margins = dict.fromkeys(wanted, 3.0 / accuracy)
     while live:
         keys = sorted(live)
-        margin = 3.0 / accuracy
         place = {}
         for key in keys:
             _, _, below, size = live[key]
@@ -89,7 +89,7 @@ def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy
         for j, ((i, lo, hi), members) in enumerate(shared.items()):
             c = F.col(f"v{i}")
             inside = c if lo is None else F.when(c.between(F.lit(lo), F.lit(hi)), c)
-            ps = [x for key in members for x in (max(place[key] - margin, 0.0), min(place[key] + margin, 1.0))]
+            ps = [x for key in members for x in (max(place[key] - margins[key], 0.0), min(place[key] + margins[key], 1.0))]
             aggs += [
                 F.percentile_approx(inside, F.array(*[F.lit(x) for x in ps]), F.lit(accuracy)).alias(f"q{j}"),
                 F.min(inside).alias(f"lo{j}"),
@@ -99,8 +99,8 @@ def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy
         trial = {}
         for j, members in enumerate(shared.values()):
             for m, key in enumerate(members):
-                a = row[f"lo{j}"] if place[key] <= margin else row[f"q{j}"][2 * m]
-                b = row[f"hi{j}"] if place[key] >= 1 - margin else row[f"q{j}"][2 * m + 1]
+                a = row[f"lo{j}"] if place[key] <= margins[key] else row[f"q{j}"][2 * m]
+                b = row[f"hi{j}"] if place[key] >= 1 - margins[key] else row[f"q{j}"][2 * m + 1]
                 trial[key] = (a, b)
         counts = data.agg(
             *[F.count_if(F.col(f"v{i}") < F.lit(trial[(i, r)][0])).alias(f"below{j}") for j, (i, r) in enumerate(keys)],
@@ -113,11 +113,11 @@ def _select_ranks(data: DataFrame, n, wanted: dict, bracket_limit: int, accuracy
         for j, key in enumerate(keys):
             a, b = trial[key]
             below, inside = counts[f"below{j}"], counts[f"in{j}"]
-            if a == b:
+            if not below <= key[1] < below + inside:  # the sketch missed: try a wider bracket of the same range
+                margins[key] *= 8
+            elif a == b:
                 wanted[key] = a
                 del live[key]
-            elif not below <= key[1] < below + inside:  # sketch missed; shrink nothing, order this one fully
-                raise RuntimeError("quantile bracket does not hold the wanted rank")
             elif inside <= bracket_limit or inside >= live[key][3]:
                 small[key] = (a, b, below)
                 del live[key]

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import join_small
 from weftwork.functions.hashing import hash_below, row_hash
 from weftwork.operators.scan import TAKE_ROWS, number_rows
 
@@ -49,7 +48,7 @@ def hash_cuts(df: DataFrame, stratum: str, cuts: Column, h: str, id_col: str) ->
         .select("_s", "_b", "_cut", (F.col("_cut") - F.col("_from")).alias("_k"))
     )
     rows = df.select(F.col(stratum).alias("_s0"), bucket.alias("_b0"), F.col(h).alias("_h0"), F.col(id_col).alias("_id0"))
-    edge = join_small(rows, targets, F.col("_s").eqNullSafe(F.col("_s0")) & (F.col("_b") == F.col("_b0")))
+    edge = rows.join(targets, F.col("_s").eqNullSafe(F.col("_s0")) & (F.col("_b") == F.col("_b0")))
     order = Window.partitionBy("_s", "_cut").orderBy("_h0", "_id0")
     return (
         edge.withColumn("_r", F.row_number().over(order))
@@ -62,7 +61,7 @@ def hash_cuts(df: DataFrame, stratum: str, cuts: Column, h: str, id_col: str) ->
 def _with_cuts(df: DataFrame, stratum: str, cuts: Column, id_col: str, seed: int) -> DataFrame:
     hashed = df.withColumn("_h", row_hash(id_col, seed))
     ends = hash_cuts(hashed, stratum, cuts, "_h", id_col)
-    return join_small(hashed, ends, F.col("_s").eqNullSafe(F.col(stratum)), "left")
+    return hashed.join(ends, F.col("_s").eqNullSafe(F.col(stratum)), "left")
 
 
 def stratified_split(df: DataFrame, label: str, test_fraction: float, id_col: str, seed: int) -> DataFrame:
@@ -154,4 +153,4 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    return join_small(df, class_weights(df, label).select(label, F.col("weight").alias(name)), label)
+    return df.join(class_weights(df, label).select(label, F.col("weight").alias(name)), label)
