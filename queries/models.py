@@ -212,6 +212,21 @@ def k17(spark, root):
     return rounded(models.oof_predictions(labelled_features(spark, root), "fold", "doc_id", _base_models()), "p")
 
 
+def labelled_grams(spark, root):
+    """Character n-grams of the labelled texts, with their folds, written once."""
+    labels = split.stratified_folds(t(spark, root, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "label", 3, "doc_id", SEED)
+    clean = F.lower(F.trim(F.coalesce("text", F.lit(""))))
+    d = texts(spark, root).join(labels, "doc_id")
+    return write_once(d.select("doc_id", "fold", "label", T.word_char_ngrams(T.strip_accents(clean), 3, 5).alias("grams")))
+
+
+@query("k17_text_oof")
+def k17_text(spark, root):
+    data = labelled_grams(spark, root)
+    fitted = models.fit_folds(data, "fold", {"text": lambda train: models.fit_text_logistic(train, max_iter=20)})
+    return rounded(models.held_out_scores(data, "fold", "doc_id", fitted), "p")
+
+
 def _stack(spark, root):
     d = labelled_features(spark, root)
     oof = models.oof_predictions(d, "fold", "doc_id", _base_models())

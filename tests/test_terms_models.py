@@ -229,3 +229,38 @@ def test_many_clusters_give_the_same_silhouettes_and_centres(blobs, monkeypatch)
     many = {r["id"]: r["silhouette"] for r in evaluate.silhouette_rows(df, "id", "c", "x").collect()}
     assert many == pytest.approx(few, abs=1e-9) and len(many) == 41
     assert {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()} == near
+
+
+def test_text_models_know_their_own_folds_only(spark):
+    rows = [(i, i % 2, float(i % 2), ["a", "b" if i % 2 else "c", f"own{i % 2}"] * 2) for i in range(40)]
+    rows = [(i, i % 4 // 2, y, g + [f"fold{i % 4 // 2}"]) for i, _, y, g in rows]
+    data = spark.createDataFrame(rows, "id long, fold int, label double, grams array<string>")
+    fitted = models.fit_folds(data, "fold", {"text": models.fit_text_logistic})
+    for (_, fold), model in fitted.items():
+        assert f"fold{1 - fold}" in model.stages[0].vocabulary and f"fold{fold}" not in model.stages[0].vocabulary
+    scores = models.held_out_scores(data, "fold", "id", fitted).collect()
+    assert len(scores) == 40 and all((r["p"] > 0.5) == (r["label"] == 1) for r in scores)
+
+
+def test_unknown_metrics_and_penalties_are_refused(spark):
+    with pytest.raises(ValueError):
+        models._evaluator("f2")
+    with pytest.raises(ValueError):
+        models.fit_linear(None, "hinge", penalty="l1")
+
+
+def test_nan_breaks_a_rule(spark):
+    from weftwork.operators import clean
+
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, float("nan"), 1.0), (3, None, 2.0), (4, 2.0, float("nan"))], "id int, v double, w double")
+    kept, report = clean.apply_rules(df, {"v": F.col("v") >= -100})
+    assert [r["id"] for r in kept.orderBy("id").collect()] == [1, 4] and kept.columns == df.columns
+    assert str(kept.filter("id = 4").first()["w"]) == "nan"
+    assert {r["rule"]: r["n"] for r in report.collect()}["v"] == 2
+
+
+def test_group_column_in_table_order(spark):
+    from weftwork.operators import profile
+
+    df = spark.createDataFrame([(i, i % 2, i % 3) for i in range(9)], "doc_id int, lang int, source int")
+    assert profile.detect_group_column(df, ["doc", "source", "lang"]) == "lang"

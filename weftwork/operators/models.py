@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -126,6 +126,30 @@ def fit_mlp(df: DataFrame, layers: Sequence[int], seed: int = 42, max_iter: int
     return MultilayerPerceptronClassifier(layers=list(layers), seed=seed, maxIter=max_iter).fit(df)
 
 
+def text_logistic(grams: str = "grams", vocabulary: int = 50_000, min_df: int = 2, C: float = 1.0, rows: int = 1, max_iter: int = 50) -> Pipeline:
+    """TF-IDF vectors of the terms in ``grams`` (array of string), then a weighted logistic model.
+    Terms, their numbers and idf are fitted with the rest, so a fold's model knows its training rows only."""
+    return Pipeline(
+        stages=[
+            CountVectorizer(inputCol=grams, outputCol="_tf", vocabSize=vocabulary, minDF=min_df),
+            IDF(inputCol="_tf", outputCol="_tfidf"),
+            Normalizer(inputCol="_tfidf", outputCol="features"),
+            LogisticRegression(weightCol="weight", regParam=1.0 / (C * max(rows, 1)), maxIter=max_iter),
+        ]
+    )
+
+
+def balanced(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
+    """Adds weights by which both classes of a 0/1 label count alike."""
+    share = one_row(df.agg(F.avg(F.col(label).cast("double")).alias("p")))["p"]
+    return df.withColumn(name, F.lit(0.5) / F.greatest(F.when(F.col(label) == 1, share).otherwise(1 - share), F.lit(1e-12)))
+
+
+def fit_text_logistic(train: DataFrame, grams: str = "grams", vocabulary: int = 50_000, min_df: int = 2, C: float = 1.0, max_iter: int = 50):
+    """A fitted ``text_logistic`` with balanced classes."""
+    return text_logistic(grams, vocabulary, min_df, C, train.count(), max_iter).fit(balanced(train))
+
+
 def score(model, df: DataFrame, id_col: str, name: str = "p", keep: Sequence[str] = ()) -> DataFrame:
     """(id, kept columns, p, prediction); p is the second class's probability, or the logistic of the margin."""
     out = model.transform(df)
@@ -350,9 +374,7 @@ def search_table(model: CrossValidatorModel, df: DataFrame) -> DataFrame:
 def fit_stack(wide: DataFrame, models: Sequence[str], label: str, Cs: Sequence[float], fold: str) -> CrossValidatorModel:
     """Logistic meta-model on the base models' out-of-fold probabilities, C chosen by AUC; rows are
     weighted so that both classes count alike."""
-    data = wide.select(fold, F.col(label).cast("double").alias("label"), array_to_vector(F.array(*models)).alias("features"))
-    share = one_row(data.agg(F.avg("label").alias("p")))["p"]
-    data = data.withColumn("weight", F.lit(0.5) / F.greatest(F.when(F.col("label") == 1, share).otherwise(1 - share), F.lit(1e-12)))
+    data = balanced(wide.select(fold, F.col(label).cast("double").alias("label"), array_to_vector(F.array(*models)).alias("features")))
     data = write_once(data)  # every fold and setting reads it again
     n = data.count()
     lr = LogisticRegression(weightCol="weight")
