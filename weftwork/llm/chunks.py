@@ -55,12 +55,10 @@ class ChunkTable:
 
 def per_worker(key: str, make):
     """``make()``, once per Python worker process; workers serve many tasks in turn."""
-    return sys.modules.setdefault("weftwork-worker-state", {}).setdefault(key, None) or _remember(key, make)
-
-
-def _remember(key: str, make):
-    found = sys.modules["weftwork-worker-state"][key] = make()
-    return found
+    state = sys.modules.setdefault("weftwork-worker-state", {})  # functions sent to workers bring no module of their own
+    if key not in state:
+        state[key] = make()
+    return state[key]
 
 
 def grouped(texts, words: int = 200_000):
