@@ -151,11 +151,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = write_once(fingerprints(docs, id_col, text_col, words))
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = write_once(components(links(classes.select("fp"), max_bits)))
-    named = roots.join(classes, roots.node == classes.fp).select("node", "root", "least")
-    names = named.groupBy("root").agg(F.min("least").alias("name"))
+    # tables between the joins are written, so that each join shuffles its sides itself and can split
+    # a large component or class
+    roots = components(links(classes.select("fp"), max_bits))
+    named = write_once(roots.join(classes, roots.node == classes.fp).select("node", "root", "least"))
+    names = write_once(named.groupBy("root").agg(F.min("least").alias("name")))
     of = named.join(names, "root").select(F.col("node").alias("fp"), "name")
-    # written, so that the join below shuffles both sides itself and can split a large class
     table = write_once(classes.join(of, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")))
     return rows.join(table, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
