@@ -13,7 +13,7 @@ from weftwork.llm.line_dedup import line_dedup
 from weftwork.llm.simhash import simhash_components
 from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
 from weftwork.llm.toxicity import toxicity
-from weftwork.llm.unigram import decode, encode, load_vocabulary
+from weftwork.llm.unigram import encode, load_vocabulary
 from weftwork.llm.url_filter import judge_urls
 from weftwork.llm.wrappers import extract_pages
 from weftwork.session import table
@@ -71,10 +71,8 @@ def op3(spark, root):
 def op4(spark, root):
     """Ids of every document, and whether decoding them gives the text back."""
     vocabulary = load_vocabulary(tokenizer("piece_bpe_32k.model"))
-    text = F.coalesce("text", F.lit(""))
-    docs = table(spark, root, "documents").select("doc_id", "text", F.xxhash64(text).alias("digest"))
-    back = decode(encode(docs, vocabulary, carry=["digest"]), vocabulary, carry=["doc_id", "digest", "ids"])
-    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("digest")).alias("round_trip"))
+    pieces = encode(table(spark, root, "documents"), vocabulary, verify=True)
+    return pieces.select("doc_id", F.size("ids").alias("n_ids"), "ids", "round_trip")
 
 
 @query("op9_decontaminate")

@@ -191,15 +191,17 @@ class Decoder:
         return self.flat[at].tobytes()[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), verify: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` (array of int), and the ``carry`` columns.
-    Null and empty texts have no ids. Whole texts, whatever their length."""
+    Null and empty texts have no ids. Whole texts, whatever their length. ``verify`` decodes the ids
+    again and adds ``round_trip``, whether they give the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def batches(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder = per_worker(f"unigram {shared.value.path}", lambda: Encoder(shared.value))
+        decoder = per_worker(f"unigram decoder {shared.value.path}", lambda: Decoder(shared.value)) if verify else None
         for batch in it:
             rows = 0
             for group in grouped([b.decode("utf-8", "replace") if b else "" for b in batch.column(0).to_pylist()]):
@@ -207,13 +209,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 others = [c.slice(rows, len(group)) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*others, lists], names=[*batch.schema.names[1:], "ids"])
+                names = [*batch.schema.names[1:], "ids"]
+                if verify:
+                    ends = np.cumsum(sizes).tolist()
+                    others.append(pa.array([decoder.decode(ids[b - n : b]) == t for b, n, t in zip(ends, sizes.tolist(), group)], pa.bool_()))
+                    names.insert(-1, "round_trip")
+                yield pa.RecordBatch.from_arrays([*others, lists], names=names)
                 rows += len(group)
 
     keep = [F.col(f"`{c}`") for c in dict.fromkeys([id_col, *carry])]
     rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("__text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(batches, f"{schema}, ids array<int>")
+    return rows.mapInArrow(batches, f"{schema}{', round_trip boolean' if verify else ''}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, carry: list[str], ids_col: str = "ids") -> DataFrame:
