@@ -207,6 +207,12 @@ def _base_models():
     }
 
 
+@query("k19_knn_grid")
+def k19_knn(spark, root):
+    d = t(spark, root, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("int").alias("fold"))
+    return rounded(models.search_knn(d, "vec_id", "y", "embedding", "fold", [3, 7]), "f1", "std")
+
+
 @query("k17_oof_predictions")
 def k17(spark, root):
     return rounded(models.oof_predictions(labelled_features(spark, root), "fold", "doc_id", _base_models()), "p")

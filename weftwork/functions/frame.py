@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 
@@ -32,6 +34,12 @@ def with_blocks(rows: DataFrame, df: DataFrame, key: str, block: int) -> tuple[D
     return rows.withColumns(arrays), [F.col(name) for name in arrays]
 
 
+def concurrently(spark: SparkSession, one: Callable, items: Sequence, parallelism: int = 4) -> list:
+    """[one(item)] with several Spark jobs at a time."""
+    with ThreadPool(max(min(parallelism, len(items)), 1)) as pool:
+        return pool.map(inheritable_thread_target(spark)(one), items)
+
+
 def explode_rows(df: DataFrame, keep: Sequence[str], values: Column, name: str) -> DataFrame:
     """One row per array element. The outer form with a filter behind it keeps Spark from adding
     a ``size(values) > 0`` filter below, which would compute a costly array twice."""

@@ -90,9 +90,13 @@ def drop_constant(df: DataFrame, keep: Sequence[str] = ("label",), dropna: bool
 
 
 def clip_quantiles(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    q = exact_quantiles(df, cols, [lo, hi])
+    return clip_to(df, exact_quantiles(df, cols, [lo, hi]))
+
+
+def clip_to(df: DataFrame, bounds: Mapping[str, Sequence[float | None]]) -> DataFrame:
+    """Columns cut to (low, high); a column without bounds stays."""
     return df.withColumns(
-        {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(number(df, c), F.lit(a)), F.lit(b))) for c, (a, b) in q.items() if a is not None}
+        {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(number(df, c), F.lit(a)), F.lit(b))) for c, (a, b) in bounds.items() if a is not None}
     )
 
 

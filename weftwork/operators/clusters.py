@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftwork.functions.frame import with_blocks
+from weftwork.functions.frame import concurrently, with_blocks
 from weftwork.operators.scan import number_rows
 from weftwork.session import materialise, write_once
 
@@ -22,21 +22,21 @@ PAIR_LIMIT = 10_000  # points of two sub-cells compared one by one
 
 def fit_kmeans(df: DataFrame, k: int, n_init: int = 1, seed: int = 42, max_iter: int = 20):
     """The model of lowest cost among ``n_init`` seeded starts."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(df) for i in range(n_init)]
+    models = concurrently(df.sparkSession, lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(df), range(n_init))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def elbow(df: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFrame:
     """(k, cost): sum of squared distances to the centres; one cluster is the spread around the mean."""
-    rows = []
-    for k in ks:
+
+    def cost(k: int) -> tuple[int, float]:
         if k == 1:
             v = vector_to_array(Summarizer.variance(F.col("features")))
             spread = df.agg(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) * (F.count(F.lit(1)) - 1))
-            rows.append((1, float(spread.first()[0])))
-        else:
-            rows.append((int(k), float(fit_kmeans(df, k, seed=seed).summary.trainingCost)))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double")
+            return 1, float(spread.first()[0])
+        return int(k), float(fit_kmeans(df, k, seed=seed).summary.trainingCost)
+
+    return df.sparkSession.createDataFrame(concurrently(df.sparkSession, cost, list(ks)), "k int, cost double")
 
 
 def fit_hierarchical(df: DataFrame, k: int, seed: int = 42):

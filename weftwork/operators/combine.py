@@ -10,6 +10,7 @@ from weftwork.functions.frame import one_row
 from weftwork.functions.hashing import text_digest
 from weftwork.operators.clean import ensure_columns
 from weftwork.operators.scan import number_rows
+from weftwork.session import write_once
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], id_col: str, digest: Sequence[str] = ()) -> DataFrame:
@@ -99,20 +100,15 @@ def cap_categories(df: DataFrame, col: str, k: int, name: str | None = None, oth
 def fill_missing_groups(df: DataFrame, entity: str, period: str, values: Sequence[str], max_periods: int = 100_000) -> DataFrame:
     """Every (entity, period) pair, with 0 where a pair is absent.
 
-    The periods travel as one array that is exploded per entity; beyond ``max_periods`` as
-    several arrays of that size, each joined to the entities by its number.
+    The periods travel in arrays of ``max_periods``, each joined to the entities by its number and
+    exploded there.
     """
-    periods = df.select(period).distinct()
-    n = periods.count()
+    periods = number_rows(df.select(period).distinct(), [period], "_i")
+    part = F.floor(F.col("_i") / max_periods).cast("bigint")
+    arrays = write_once(periods.groupBy(part.alias("_c")).agg(F.collect_list(period).alias("_p")))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(max(arrays.count() - 1, 0)).cast("bigint"))
     entities = df.select(entity).distinct()
-    if n <= max_periods:
-        arrays = one_row(periods.agg(F.collect_list(period).alias("p")))
-        spine = entities.withColumn(period, F.explode(arrays["p"]))
-    else:
-        part = F.floor(F.col("_i") / max_periods).cast("bigint")
-        arrays = number_rows(periods, [period], "_i").groupBy(part.alias("_c")).agg(F.collect_list(period).alias("_p"))
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // max_periods).cast("bigint"))
-        spine = entities.withColumn("_c", F.explode(numbers)).join(arrays, "_c").select(entity, F.explode("_p").alias(period))
+    spine = entities.withColumn("_c", F.explode(numbers)).join(arrays, "_c").select(entity, F.explode("_p").alias(period))
     joined = spine.join(df, [entity, period], "left")
     return joined.withColumns({v: F.coalesce(F.col(v), F.lit(0).cast(df.schema[v].dataType)) for v in values})
 

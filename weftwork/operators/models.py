@@ -4,11 +4,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -27,7 +25,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import one_row, with_blocks
+from weftwork.functions.frame import concurrently, one_row, with_blocks
 from weftwork.operators import evaluate
 from weftwork.operators.neighbors import nearest_rows
 from weftwork.session import materialise, write_once
@@ -219,6 +217,24 @@ def knn_predict(train: DataFrame, queries: DataFrame, id_col: str, label: str, f
     return best.select(id_col, (-F.col("b.y")).cast("int").alias("predicted"))
 
 
+def search_knn(df: DataFrame, id_col: str, label: str, features: str, fold: str, ks: Sequence[int], weights: Sequence[str] = ("uniform",), p: int = 2) -> DataFrame:
+    """(k, weights, f1, std): F1 of class 1 over the folds, for each number of neighbours and kind of
+    vote; every fold is predicted from the others."""
+    data = write_once(df.select(id_col, fold, label, features))
+    out = None
+    for f in [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]:
+        train, held = data.filter(F.col(fold) != f), data.filter(F.col(fold) == f)
+        for k in ks:
+            for w in weights:
+                found = knn_predict(train, held, id_col, label, features, k, w, p).join(held.select(id_col, F.col(label).alias("_y")), id_col)
+                part = found.select(F.lit(int(k)).alias("k"), F.lit(w).alias("weights"), F.lit(f).alias("_f"), "_y", "predicted")
+                out = part if out is None else out.unionByName(part)
+    hit = F.sum(((F.col("_y") == 1) & (F.col("predicted") == 1)).cast("int"))
+    named = F.sum((F.col("_y") == 1).cast("int")) + F.sum((F.col("predicted") == 1).cast("int"))
+    each = out.groupBy("k", "weights", "_f").agg((2.0 * hit / F.greatest(named, F.lit(1))).alias("_s"))
+    return each.groupBy("k", "weights").agg(F.avg("_s").alias("f1"), F.stddev_pop("_s").alias("std"))
+
+
 # ---- AdaBoost ----------------------------------------------------------------------------
 
 
@@ -285,12 +301,8 @@ def fit_folds(data: DataFrame, fold: str, fits: Mapping[str, Callable[[DataFrame
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
     tasks = [(name, f) for name in fits for f in folds]
 
-    @inheritable_thread_target(data.sparkSession)
-    def one(task):
-        return fits[task[0]](data.filter(F.col(fold) != task[1]))
-
-    with ThreadPool(max(min(parallelism, len(tasks)), 1)) as pool:
-        return dict(zip(tasks, pool.map(one, tasks)))
+    fitted = concurrently(data.sparkSession, lambda task: fits[task[0]](data.filter(F.col(fold) != task[1])), tasks, parallelism)
+    return dict(zip(tasks, fitted))
 
 
 def held_out_scores(data: DataFrame, fold: str, id_col: str, fitted: Mapping) -> DataFrame:

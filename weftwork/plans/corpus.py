@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftwork.functions import text as T
 from weftwork.operators import clean, combine, encode, profile, split
+from weftwork.operators.quantiles import exact_quantiles
 from weftwork.operators.textfeat import text_features
 from weftwork.session import write_once
 
@@ -58,15 +59,23 @@ def quality_rules() -> dict:
     }
 
 
-def clean_features(features: DataFrame, id_col: str = "id", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(cleaned table, report): anomaly rules, then strip, dedup by text, constant columns out,
-    numeric columns clipped to their 1st and 99th percentile."""
+def clean_features(features: DataFrame, id_col: str = "id", label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cleaned table, rule report, summary): anomaly rules, then strip, dedup by text, constant
+    columns out, numeric columns clipped to their 1st and 99th percentile. The summary has (item,
+    column, value): rows after each step, duplicates removed, constants dropped, bounds of clipping."""
     kept, report = clean.apply_rules(features, quality_rules(), derived=True)
-    kept = clean.strip_min_chars(kept, "text", 1)
     # written once: dedup, constants and quantiles would each compute the features again
-    kept = combine.dedup_keep_first(write_once(kept), ["text"], id_col, digest=["text"])
-    kept = clean.drop_constant(kept, keep=[label, id_col, "text"])
-    return clean.clip_quantiles(kept, profile.numeric_columns(kept, drop=[label, id_col])), report
+    stripped = write_once(clean.strip_min_chars(kept, "text", 1))
+    unique = write_once(combine.dedup_keep_first(stripped, ["text"], id_col, digest=["text"]))
+    constants = profile.constant_columns(unique, [c for c in unique.columns if c not in (label, id_col, "text")])
+    varied = unique.drop(*constants)
+    bounds = exact_quantiles(varied, profile.numeric_columns(varied, drop=[label, id_col]), [0.01, 0.99])
+    before, after = stripped.count(), unique.count()
+    items = [("rows_after_strip", None, float(before)), ("rows_after_dedup", None, float(after)), ("duplicates_removed", None, float(before - after))]
+    items += [("constant_dropped", c, None) for c in constants]
+    items += [(name, c, b[i]) for c, b in bounds.items() for i, name in enumerate(("clip_low", "clip_high"))]
+    summary = features.sparkSession.createDataFrame(items, "item string, column string, value double")
+    return clean.clip_to(varied, bounds), report, summary
 
 
 def split_corpus(cleaned: DataFrame, label: str = "label", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
