@@ -7,7 +7,7 @@ import sys
 import numpy as np
 
 #: Chunks a worker keeps at most; beyond that its table starts anew.
-CHUNKS = 400_000
+CHUNKS = 1_000_000
 
 
 class ChunkTable:

@@ -26,7 +26,7 @@ from weftwork.session import shared_dir
 
 MAGIC = 0x52414E53
 PRECISION = 20
-LANES, SEGMENT, STEPS = 256, 64, 256
+LANES, SEGMENT, STEPS = 1024, 128, 256
 BLOCK = LANES * STEPS
 _LOW = np.uint64(1 << 31)
 _DOC = np.dtype([("id", "<i8"), ("seq", "<u4"), ("n", "<u4"), ("before", "<u8")])
@@ -200,8 +200,8 @@ def _counts(tokens: DataFrame) -> DataFrame:
 
         total = np.zeros(1 << 16, np.int64)
         for batch in it:
-            for ids in _unpack(batch):
-                mine = np.bincount(ids, minlength=len(total))
+            for group in grouped(list(_unpack(batch))):
+                mine = np.bincount(np.concatenate(group), minlength=len(total))
                 total = mine + np.append(total, np.zeros(len(mine) - len(total), np.int64))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "count"])
