@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -11,8 +12,9 @@ CHUNKS = 1_000_000
 
 
 class ChunkTable:
-    """Token ids of chunks of text, looked up if seen before. ``encode_many`` turns a list of new
-    chunks into a flat array of ids and the number of ids of each."""
+    """Token ids of chunks of text, looked up if seen before. ``encode_many`` encodes a list of new
+    chunks: it gives them back in an order of its own, with a flat array of ids and the number of ids
+    of each."""
 
     def __init__(self, encode_many):
         self.encode_many = encode_many
@@ -24,7 +26,7 @@ class ChunkTable:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        ids, sizes = self.encode_many(chunks)
+        chunks, ids, sizes = self.encode_many(chunks)
         n, m = len(self.index), len(chunks)
         while n + m > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -38,13 +40,15 @@ class ChunkTable:
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
-        chunks = [c for t in texts for c in t]
+        chunks = list(chain.from_iterable(texts))
         if len(self.index) > CHUNKS:
             self.clear()
-        new = list(set(chunks).difference(self.index))
-        if new:
-            self._learn(new)
-        rows = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new = [chunks[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            rows[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]

@@ -2,7 +2,8 @@
 
 A set of files is two Parquet tables below one path. ``frequencies`` holds the shared table: the
 count of every token id in the whole corpus, scaled to 2**PRECISION. ``blocks`` holds independent
-blocks in binary, each of at most ``BLOCK`` tokens of consecutive documents:
+blocks in binary, each of at most ``BLOCK`` tokens of consecutive documents (a longer document has
+blocks of its own):
 
     magic, lanes, tokens, documents, checkpoints, words (little-endian unsigned 32 bits each)
     documents x (id, number within the shard, tokens of it in this block, tokens of it before)
@@ -120,15 +121,23 @@ def unpack_block(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return coder.decode(n, lanes, offsets, states, np.frombuffer(data, "<u4", words, at + states.nbytes)), table
 
 
+#: Begins a chunk that has no space before it; no text holds this character.
+_START = "\ud800"
+
+
 def split_chunks(text: str) -> list[str]:
     """A text cut before each space that something other than white space follows. The pre-tokenizer
-    always begins a token there, so chunks are encoded one by one."""
+    always begins a token there, so chunks are encoded one by one. They are given without that space."""
     import re
 
     if re.search(r" (?=\s)| $", text):
-        return [c for c in re.split(r"(?= \S)", text) if c]
-    first, *rest = text.split(" ")
-    return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+        parts = [c for c in re.split(r"(?= \S)", text) if c]
+        return [c[1:] if re.match(r" \S", c) else _START + c for c in parts]
+    chunks = text.split(" ")
+    if chunks[0]:
+        chunks[0] = _START + chunks[0]
+        return chunks
+    return chunks[1:]
 
 
 class Tokens:
@@ -142,13 +151,33 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # a byte-level token has one character for each byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.table = ChunkTable(self._encode_many)
 
-    def _encode_many(self, chunks: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    def _each(self, chunks: list[str]):
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())), sizes
 
+    def _encode_many(self, chunks: list[str]):
+        """Chunks that begin with a space are encoded in one string, which costs the library less,
+        and told apart by the bytes of their tokens."""
+        first, rest = [c for c in chunks if c[0] == _START], [c for c in chunks if c[0] != _START]
+        ids, sizes = self._each([c[1:] for c in first])
+        if rest:
+            spaced = [" " + c for c in rest]
+            together = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(np.fromiter((len(c.encode()) for c in spaced), np.int64, len(spaced)))
+            reached = np.cumsum(self.bytes[together])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[at] == ends).all():
+                more, counts = together, np.diff(at + 1, prepend=0)
+            else:  # a token runs over a cut, which another tokenizer may do
+                more, counts = self._each(spaced)
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, counts])
+        return first + rest, ids, sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.encode([split_chunks(t) if t else [] for t in texts])
 
@@ -231,36 +260,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
         room = np.empty(BLOCK, np.uint32)
         filled, table, number, seq, start = 0, [], 0, 0, 0
 
-        def block():
+        def block(whole: bool):
             nonlocal filled, table, number, start
             data = pack_block(coder, room[:filled], np.array(table, _DOC))
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "start": pa.array([start]), "tokens": pa.array([filled], pa.int64()), "data": pa.array([data], pa.binary())})
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "start": pa.array([start]), "tokens": pa.array([filled], pa.int64()), "whole": pa.array([whole]), "data": pa.array([data], pa.binary())})
             number, start, filled, table = number + 1, start + filled, 0, []
             return row
 
         for batch in it:
             for doc, null, ids in zip(batch.column("id").fill_null(0).to_pylist(), batch.column("id").is_null().to_pylist(), _unpack(batch)):
                 done, key = 0, (1 << 31) + seq if null else seq
+                if filled and filled + len(ids) > BLOCK:
+                    yield block(True)
                 while done < len(ids):
-                    n = min(BLOCK - filled, len(ids) - done)
+                    n = min(BLOCK, len(ids) - done)
                     room[filled : filled + n] = ids[done : done + n]
                     table.append((doc, key, n, done))
                     filled, done = filled + n, done + n
-                    if filled == BLOCK:
-                        yield block()
+                    if len(ids) > BLOCK:  # a document in blocks of its own
+                        yield block(False)
                 seq += 1
         if filled:
-            yield block()
+            yield block(True)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = tokens.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "ids")
-    ordered.mapInArrow(batches, "shard int, block int, start bigint, tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(batches, "shard int, block int, start bigint, tokens bigint, whole boolean, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in the files: ``start`` counts the ids of all
     documents before it, ``ids`` are little-endian unsigned integers of 32 bits. Blocks are decoded
-    independently of each other; only documents that run over several blocks are put together."""
+    independently of each other; only documents of more than a block are put together."""
     table = spark.read.parquet(f"{path}/frequencies").toPandas()
     freq = np.zeros(int(table["token"].max()) + 1 if len(table) else 1, np.int64)
     freq[table["token"].to_numpy(np.int64)] = table["frequency"].to_numpy(np.int64)
@@ -288,17 +319,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         "at": pa.array(start + begins),
                         "before": pa.array(docs["before"].astype(np.int64)),
                         "n": pa.array(docs["n"].astype(np.int64)),
-                        "edge": pa.array((begins == 0) | (ends == len(ids))),
                         "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())], pa.binary()),
                     }
                 )
 
-    kinds = "shard int, seq bigint, id bigint, at bigint, before bigint, n bigint, edge boolean, ids binary"
-    parts = blocks.select("shard", "start", "data").mapInArrow(batches, kinds)
-    inside = parts.filter("not edge").select("shard", "id", "at", "n", "ids")
-    # a document at the edge of a block may go on in the next one
+    kinds = "shard int, seq bigint, id bigint, at bigint, before bigint, n bigint, ids binary"
+    decoded = lambda some: some.select("shard", "start", "data").mapInArrow(batches, kinds)
+    inside = decoded(blocks.filter("whole")).select("shard", "id", "at", "n", "ids")
     joined = (
-        parts.filter("edge")
+        decoded(blocks.filter("not whole"))
         .groupBy("shard", "seq")
         .agg(F.first("id").alias("id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("before", "ids"))).alias("p"))
         .select("shard", "id", "at", "n", F.expr("unhex(array_join(transform(p, x -> hex(x.ids)), ''))").alias("ids"))

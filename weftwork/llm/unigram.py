@@ -156,18 +156,19 @@ class Encoder:
 
     def _encode_many(self, chunks: list[str]):
         literal, marks = MARK.encode(), bytes([_LITERAL])
-        found = [self.viterbi(c.encode().replace(literal, marks).replace(b" ", literal)) for c in chunks]
+        found = [self.viterbi((" " + c).encode().replace(literal, marks).replace(b" ", literal)) for c in chunks]
         sizes = np.array([len(f) for f in found], np.int64)
-        return np.array([i for f in found for i in f], np.int32), sizes
+        return chunks, np.array([i for f in found for i in f], np.int32), sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """A text as chunks, each a run of spaces and what follows it; the first space is put there."""
+        """A text as chunks, each a run of spaces, less the first of them, and what follows it. Before
+        the first chunk, that space is the one put there."""
         if not text:
             return []
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return re.findall(r" *[^ ]+| +", " " + text)
-        return [" " + c for c in text.split(" ")]
+            return [c[1:] for c in re.findall(r" *[^ ]+| +", " " + text)]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
