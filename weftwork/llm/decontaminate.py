@@ -36,7 +36,7 @@ class Settings:
     #: Steps sampled for a key, and the share of matches that the repetitions shall find.
     sampled: int = 4
     recall: float = 0.99
-    max_repetitions: int = 64
+    max_repetitions: int = 256
     seed: int = 42
 
 
