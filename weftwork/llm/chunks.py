@@ -8,7 +8,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Chunks a worker keeps at most; beyond that its table starts anew.
-CHUNKS = 1_000_000
+CHUNKS = 800_000
 
 
 class ChunkTable:
