@@ -11,7 +11,7 @@ def test_csv_round_trip_with_line_breaks_and_quotes(spark, tmp_path):
     rows = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, None)]
     df = spark.createDataFrame(rows, "id int, text string")
     tables.write_table(df, str(tmp_path / "t"), "csv")
-    got = tables.read_table(spark, str(tmp_path / "t"), "id int, text string").orderBy("id").collect()
+    got = tables.read_table(spark, str(tmp_path / "t"), "id int, text string", multi_line=True).orderBy("id").collect()
     assert [tuple(r) for r in got] == rows
 
 

@@ -223,91 +223,3 @@ def test_large_samples_and_top_rows_are_cut_exactly(spark, monkeypatch):
     assert {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()} == few and len(few) == 300
     assert split.sample_n(df, 5000, "id", 9).count() == 1000
     assert sorted((r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()), reverse=True) == top
-    for r in got:
-        before = [v for g, i, v in rows if g == r["g"] and i < r["i"]]
-        assert (r["s"], r["n"], r["m"]) == (sum(before) + r["v"], len(before), max(before, default=None))
-    numbers = number_rows(df, [F.desc("i")], "k").collect()
-    assert all(r["k"] == 499 - r["i"] for r in numbers)
-
-
-def test_early_stop(spark):
-    runs = {"up": [1, 2, 3, 4], "flat": [5, 5, 5, 5, 5], "late": [1, 3, 2, 2, 4, 1, 1, 1]}
-    rows = [(k, i, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)]
-    df = spark.createDataFrame(rows, "run string, step int, v double")
-    stops = lambda p: {r["run"]: r["stop_step"] for r in groups.early_stop(df, "run", ["step"], "v", p).collect()}
-    assert stops(1) == {"up": None, "flat": 2, "late": 3}
-    assert stops(3) == {"up": None, "flat": 4, "late": 8}
-    assert stops(5) == {"up": None, "flat": None, "late": None}
-
-
-def test_concat_text_continues_in_chunks(spark):
-    df = spark.createDataFrame([("k", i, f"w{i}") for i in range(7)] + [("j", 0, None)], "k string, i int, text string")
-    got = {(r["k"], r["chunk"]): r["text"] for r in groups.concat_text(df, "k", "text", ["i"], chunk_bytes=6).collect()}
-    assert got == {("k", 0): "w0 w1 w2", ("k", 1): "w3 w4 w5", ("k", 2): "w6", ("j", 0): ""}
-
-
-@pytest.fixture(scope="module")
-def skewed(spark):
-    return spark.createDataFrame([(i, 1 if i % 100 else 0) for i in range(1000)], "id long, label int")
-
-
-def test_stratified_split_sizes(skewed):
-    got = split.stratified_split(skewed, "label", 0.2, "id", 1)
-    assert {(r["label"], r["split"]): r["count"] for r in got.groupBy("label", "split").count().collect()} == {
-        (0, "test"): 2, (0, "train"): 8, (1, "test"): 198, (1, "train"): 792}
-
-
-def test_folds_partition_rows_and_balance_classes(spark, skewed):
-    got = split.stratified_folds(skewed, "label", 5, "id", 1)
-    assert got.count() == 1000
-    sizes = {(r["label"], r["fold"]): r["count"] for r in got.groupBy("label", "fold").count().collect()}
-    assert all(sizes[(0, f)] == 2 and sizes[(1, f)] == 198 for f in range(5))
-    tiny = spark.createDataFrame([(i, i % 2 if i < 4 else 0) for i in range(9)], "id long, label int")
-    few = split.stratified_folds(tiny, "label", 5, "id", 1).groupBy("label", "fold").count().collect()
-    assert sum(r["count"] for r in few) == 9 and all(r["count"] <= 2 and 0 <= r["fold"] < 5 for r in few)
-
-
-@pytest.mark.parametrize("n_groups", [2, 3, 7])
-def test_group_folds(spark, n_groups):
-    df = spark.createDataFrame([(i, f"g{min(i % 20, n_groups - 1)}", i % 2) for i in range(200)], "id long, g string, label int")
-    for limit in (100, 1):
-        got = split.group_folds(df, "g", 5, 1, largest=limit)
-        assert got.count() == 200
-        assert got.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
-    assert split.group_folds(df, "g", 5, 1).select("fold").distinct().count() == min(5, n_groups)
-
-
-def test_one_group_falls_back(spark):
-    df = spark.createDataFrame([(i, "g", i % 2) for i in range(20)], "id long, g string, label int")
-    assert split.group_folds(df, "g", 4, 1, label="label", id_col="id").select("fold").distinct().count() == 4
-
-
-def test_split_fallback(spark, skewed):
-    assert split.split_with_fallback(skewed, "label", 0.2, "id", 1)[1] == "stratified"
-    assert split.split_with_fallback(skewed.filter("label = 1"), "label", 0.2, "id", 1)[1] == "single class"
-    out, reason = split.split_with_fallback(skewed, "absent", 0.2, "id", 1)
-    assert reason == "no label column" and 120 < out.filter("split = 'test'").count() < 280
-    with pytest.raises(ValueError):
-        split.flag_split(skewed.withColumn("f", F.lit(1)), "f")
-
-
-def test_large_samples_and_top_rows_are_cut_exactly(spark, monkeypatch):
-    from weftwork.operators import scan
-
-    df = spark.createDataFrame([(i, i * 37 % 1000) for i in range(1000)], "id long, v long")
-    few = {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()}
-    top = [r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()]
-    monkeypatch.setattr(split, "TAKE_ROWS", 0)
-    monkeypatch.setattr(scan, "TAKE_ROWS", 0)
-    assert {r["id"] for r in split.sample_n(df, 300, "id", 9).collect()} == few and len(few) == 300
-    assert split.sample_n(df, 5000, "id", 9).count() == 1000
-    assert sorted((r["v"] for r in scan.top_rows(df, [F.desc("v")], 30).collect()), reverse=True) == top
-
-
-def test_join_small_beyond_its_limit_is_an_ordinary_join(spark):
-    from weftwork.functions.frame import join_small
-
-    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "id int, k int")
-    small = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    for limit in (100, 2):
-        assert join_small(df, small, "k", max_rows=limit).agg(F.sum("n")).first()[0] == 500
