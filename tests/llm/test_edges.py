@@ -213,6 +213,17 @@ def test_pages(spark):
     assert extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_self_closed_and_unclosed_elements():
+    from weftwork.llm.wrappers import main_text
+
+    for icon in ('<svg class="i"/>', "<math/>", '<object data="x" />', "<iframe src='y'/>"):
+        assert main_text(f"<div><p>one {icon}two</p><p>three</p><svg><title>t</title></svg></div>", "") == "one two three"
+    for name in ("svg", "math", "object", "select", "iframe", "noscript", "template"):
+        assert main_text(f"<div><p>one</p><span><{name}><i>in</span><p>two</p><{name}>in</{name}></div>", "") == "one two"
+        assert main_text(f"<p>one<{name}><p>two", "") == "one two"  # nothing ends it
+    assert main_text("<p>one</p><object data=a/>in</object><script>x<p>y", "") == "one"
+
+
 def test_wrapper_alignment():
     from weftwork.llm.wrappers import as_expression, fold, stream_of
 
