@@ -224,6 +224,17 @@ def test_self_closed_and_unclosed_elements():
     assert main_text("<p>one</p><object data=a/>in</object><script>x<p>y", "") == "one"
 
 
+def test_template_slots(spark):
+    """What most pages of a host have word for word is no main text, whatever its class; copies count once."""
+    page = '<body><div class="q1"><p>Our menu of today and all the other days of the week</p></div><div class="q2"><h1>Title</h1><p>{}</p><p>{}</p></div></body>'
+    own = [f"story {i} is long enough to hold most of the text there is on this page, number {i}" for i in range(4)]
+    pages = [(i, f"http://t.org/{i}", page.format(own[i], "shared by two" if i < 2 else "")) for i in range(4)]
+    pages += [(10 + i, f"http://c.org/{i}", page.format("one story", "")) for i in range(5)]  # copies
+    rows = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert [rows[i] for i in range(4)] == ["Title " + own[i] + (" shared by two" if i < 2 else "") for i in range(4)]
+    assert all("one story" in rows[10 + i] for i in range(5))
+
+
 def test_wrapper_alignment():
     from weftwork.llm.wrappers import as_expression, fold, stream_of
 
