@@ -235,6 +235,17 @@ def test_template_slots(spark):
     assert all("one story" in rows[10 + i] for i in range(5))
 
 
+def test_teasers_in_articles(spark):
+    """Article elements replace the page only where they hold most of its text, by host and by page."""
+    story = "the story of page {0}, which is told at some length, so that it outweighs what the cards beside it say {0}"
+    cards = '<div class="cards"><article>card {0}</article><article>more {0}</article></div>'
+    pages = [(i, f"http://t.org/{i}", f'<body><div class="x"><p>{story}</p></div>{cards}</body>'.format(i)) for i in range(4)]
+    pages += [(10 + i, f"http://a.org/{i}", f"<body><article><p>{story}</p></article></body>".format(10 + i)) for i in range(9)]
+    pages += [(19, "http://a.org/x", f"<body><div><p>{story}</p></div>{cards}</body>".format(19))]
+    rows = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(story.format(i) in rows[i] for i in [*range(4), *range(10, 20)])
+
+
 def test_wrapper_alignment():
     from weftwork.llm.wrappers import as_expression, fold, stream_of
 
