@@ -271,6 +271,16 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id bigint, url string, html string"), URL_RULES).count() == 0
 
 
+def _judged_hosts(spark, links):
+    pages = [(i, f"http://{host}/", "".join(f'<a href="http://{h}/p">l</a>' for h in to)) for i, (host, to) in enumerate(links)]
+    return {r.host: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), URL_RULES).collect()}
+
+
+def test_blocked_hosts_that_are_only_linked(spark):
+    got = _judged_hosts(spark, [("a.com", ["spam.net"]), ("b.com", ["good.org"]), ("d.com", ["x.example.com"])])
+    assert got == {"a.com": "block", "b.com": "allow", "d.com": "allow"}
+
+
 def test_propagation_against_power_iteration(spark):
     import numpy as np
 

@@ -2,9 +2,10 @@
 
 Rules seed a graph of hosts: a host is trusted by the share of its pages that a rule allows, and
 distrusted by the share that a rule for whole hosts blocks (one that blocks a folder says nothing of
-the rest). Trust follows links (personalised PageRank from the
-trusted hosts), distrust runs against them (from the blocked hosts to those that link to them). A
-host is blocked if its distrust exceeds its trust by ``threshold`` of what a wholly blocked host has.
+the rest); a host that pages only link to is judged by the rules for whole hosts. Trust follows links
+(personalised PageRank from the trusted hosts), distrust runs against them (from the blocked hosts to
+those that link to them). A host is blocked if its distrust exceeds its trust by
+``threshold`` of what a wholly blocked host has.
 Edges join hosts, weighted by the pages that link; pages of one host count as one source.
 """
 
@@ -90,10 +91,15 @@ def judge_urls(
     host, path = host_and_path("__url")
     named = named.withColumns({"host": host, "path": path})
     judged = named.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    whole = [h + p for verdict, h, p in rules if verdict == "block" and p in ("", "/")]
+    whole = [rule for rule in rules if rule[2] in ("", "/")]
+    blocks = [h + p for verdict, h, p in whole if verdict == "block"]
     share = lambda on: F.avg(F.when(on, 1.0).otherwise(0.0))
-    seeds = judged.filter("host <> ''").groupBy("host").agg(share(F.col("fit.verdict") == "allow").alias("trust"), share(F.col("fit.rule").isin(whole)).alias("distrust"))
-    ranks = propagate(seeds, write_once(host_edges(named.select("host", "html"))), damping)
+    crawled = write_once(judged.filter("host <> ''").groupBy("host").agg(share(F.col("fit.verdict") == "allow").alias("trust"), share(F.col("fit.rule").isin(blocks)).alias("distrust")))
+    edges = write_once(host_edges(named.select("host", "html")))
+    linked = edges.select(F.col("dst").alias("host")).distinct().join(crawled, "host", "left_anti").withColumn("fit", rule_for(F.col("host"), F.lit("/"), whole))
+    is_judged = lambda verdict: (F.col("fit.verdict") == verdict).cast("double")
+    seeds = crawled.union(linked.filter("fit is not null").select("host", is_judged("allow"), is_judged("block")))
+    ranks = propagate(seeds, edges, damping)
     # only the blocked hosts are joined; written first, so that the pages of a large host are split
     blocked = write_once(ranks.filter(F.col("distrust") - F.col("trust") >= threshold * (1 - damping)).select("host", F.lit("block").alias("method")))
     return (
