@@ -281,6 +281,15 @@ def test_blocked_hosts_that_are_only_linked(spark):
     assert got == {"a.com": "block", "b.com": "allow", "d.com": "allow"}
 
 
+def test_distrust_of_many_linkers(spark):
+    """The verdict of a host does not hang on how many others link to the blocked host, or on what that links to."""
+    bad = [f"b{i}.net" for i in range(10)]
+    links = [*((f"h{i}.com", bad) for i in range(30)), *((f"one{i}.com", ["bad.net"]) for i in range(5)), *((f"few{i}.com", ["bad.net", "p.com", "q.com"]) for i in range(3))]
+    for crawled in ([], [("bad.net", ["b0.net"]), ("b0.net", ["bad.net"])]):
+        got = _judged_hosts(spark, links + crawled)
+        assert all(got[h] == ("allow" if h.startswith("few") else "block") for h in got)
+
+
 def test_propagation_against_power_iteration(spark):
     import numpy as np
 

@@ -4,7 +4,8 @@ Rules seed a graph of hosts: a host is trusted by the share of its pages that a
 distrusted by the share that a rule for whole hosts blocks (one that blocks a folder says nothing of
 the rest); a host that pages only link to is judged by the rules for whole hosts. Trust follows links
 (personalised PageRank from the trusted hosts), distrust runs against them (from the blocked hosts to
-those that link to them). A host is blocked if its distrust exceeds its trust by
+those that link to them), by the share of a host's own links: how many others link there, and what a
+blocked host links to, makes no difference. A host is blocked if its distrust exceeds its trust by
 ``threshold`` of what a wholly blocked host has.
 Edges join hosts, weighted by the pages that link; pages of one host count as one source.
 """
@@ -49,12 +50,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.7, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.7, rounds: int = 20, tolerance: float = 1e-4, by_links: bool = False) -> DataFrame:
     """(host, trust, distrust) from (host, trust, distrust) seeds. Each round is one join per
-    direction and a sum; it is written to the shared folder, so that no round is computed twice."""
+    direction and a sum; it is written to the shared folder, so that no round is computed twice.
+
+    Distrust is dealt out over the hosts that link to a host; with ``by_links`` a host gets that of the
+    hosts it links to by the share of its links, as far as it is not distrusted by its own seed."""
     seeds = materialise(seeds)
     out_sum, in_sum = edges.groupBy("src").agg(F.sum("w").alias("o")), edges.groupBy("dst").agg(F.sum("w").alias("i"))
     shares = materialise(edges.join(out_sum, "src").join(in_sum, "dst").select("src", "dst", (F.col("w") / F.col("o")).alias("forth"), (F.col("w") / F.col("i")).alias("back")))
+    if by_links:
+        own = seeds.select(F.col("host").alias("src"), F.col("distrust").alias("own"))
+        shares = materialise(shares.join(own, "src", "left").select("src", "dst", "forth", (F.col("forth") * (1 - F.coalesce("own", F.lit(0.0)))).alias("back")))
     base = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
     ranks = base
     if shares.isEmpty():
@@ -99,7 +106,7 @@ def judge_urls(
     linked = edges.select(F.col("dst").alias("host")).distinct().join(crawled, "host", "left_anti").withColumn("fit", rule_for(F.col("host"), F.lit("/"), whole))
     is_judged = lambda verdict: (F.col("fit.verdict") == verdict).cast("double")
     seeds = crawled.union(linked.filter("fit is not null").select("host", is_judged("allow"), is_judged("block")))
-    ranks = propagate(seeds, edges, damping)
+    ranks = propagate(seeds, edges, damping, by_links=True)
     # only the blocked hosts are joined; written first, so that the pages of a large host are split
     blocked = write_once(ranks.filter(F.col("distrust") - F.col("trust") >= threshold * (1 - damping)).select("host", F.lit("block").alias("method")))
     return (
