@@ -204,6 +204,19 @@ def test_licenses(spark, docs, none):
     assert license_matches(docs).count() == 0 and license_matches(none).count() == 0
 
 
+def test_licenses_with_inserted_words(spark):
+    texts = {
+        1: "x Licensed under the terms of the Apache License, Version 2.0 y", 2: "It was released by us in 2010 under the well known MIT License.",
+        3: "Licensed under CC BY 4.0", 4: "Released under the BSD License.", 5: "This work is licensed under the GNU General Public License, version 2",
+        6: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        7: "This work is licensed under the GNU Lesser General Public License, version 3", 8: "Released under the MIT License. Released under the MIT License.",
+        9: "This work is licensed under the terms of the GNU General Public License, version 3",
+    }
+    rows = license_matches(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    got = sorted((r.doc_id, r.license, r.coverage, r.first_word) for r in rows)
+    assert got == [(1, "Apache-2.0", 1.0, 1), (2, "MIT", 1.0, 2), (6, "CC-BY-SA-4.0", 1.0, 0), (8, "MIT", 1.0, 0), (8, "MIT", 1.0, 5), (9, "GPL-3.0", 1.0, 0)]
+
+
 def test_pages(spark):
     side = '<body><div id="top"><ul><li><a href="/x">x</a></li></ul></div><div id="content"><h1>T &amp; U</h1><div class="post"><p>a{0} <b>bo</b>ld  and\n more &nbsp;text, long enough to be the main part of it all<p>second{0}</div><div class="comments"><p>a comment</div></div><div class="sidebar">z</div><form>f</form><script>"</p>"</script></body>'
     pages = [(i, f"http://s.org/{i}", side.format(i)) for i in range(5)] + [(9, None, None), (10, "nohost", ""), (11, "http://s.org/x", "<p>only this"), (12, "http://q.org", "<")]

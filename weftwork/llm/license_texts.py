@@ -35,3 +35,17 @@ STATEMENTS = {
     "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
     "by any means.",
 }
+
+#: Words of a short statement that name its license; without one of them it may be another's.
+TELLING = {
+    "Apache-2.0": "apache 2",
+    "MIT": "mit",
+    "GPL-3.0": "gnu general public 3",
+    "CC-BY-NC-4.0": "cc by nc 4",
+    "CC-BY-4.0": "creative commons attribution 4",
+    "CC-BY-SA-4.0": "creative commons attribution sharealike 4",
+    "GPL-2.0-or-later": "gnu 2",
+    "GPL-3.0-or-later": "gnu 3",
+}
+#: Words that make another license of a statement that lacks them.
+FOREIGN = frozenset("sharealike noncommercial noderivatives noderivs sa nc nd lesser library affero".split())
