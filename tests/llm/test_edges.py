@@ -118,6 +118,29 @@ def test_recall_of_lsh():
     assert hit / len(items) >= 0.95
 
 
+def test_all_kinds_of_edits_are_found():
+    """Items with as many edits of one kind as allowed, followed by words of the document, are all found."""
+    import random
+
+    from weftwork.llm.decontaminate import Settings, build_index, find_items, least_edits, least_edits_by_bits
+
+    rng, number = random.Random(4), 0
+    items = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(20 + i % 100))) for i in range(300)]
+    index = build_index(items, Settings())
+    for kind in ("deleted", "inserted", "changed"):
+        for number, (_, text) in enumerate(items):
+            words = text.split()
+            k = index.edits[number]
+            for at in sorted(rng.sample(range(1, len(words) - 1), k), reverse=True):
+                words[at : at + (kind != "inserted")] = [] if kind == "deleted" else [f"n{rng.getrandbits(40)}"]
+            around = [f"d{rng.getrandbits(40)}" for _ in range(60)]
+            assert [f[:2] for f in find_items(" ".join(around[:30] + words + around[30:]), index)] == [(number, k)]
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 70))] for _ in range(2))
+        bits = {w: sum(1 << i for i, x in enumerate(a) if x == w) for w in a}
+        assert least_edits_by_bits(bits, len(a), b) == least_edits(a, b, len(a))
+
+
 def test_sentencepiece(docs, none, vocabulary):
     e = encode(docs.select("doc_id", "text"), vocabulary, carry=["doc_id", "text"])
     back = decode(e, vocabulary, carry=["doc_id", "text"]).collect()

@@ -1,30 +1,23 @@
 """Benchmark decontamination by edit distance over words.
 
 A document is contaminated by a benchmark item of n words if some stretch of it is within
-floor((1 - similarity) * n) word edits of the whole item. Candidates come from item-sized windows:
-the CGK embedding sends a random walker along the window (at each step it writes the word it stands
-on and moves on or stays, by a random bit of the step and the word), so that few edits become few
-differing steps; keys of sampled steps are then looked up among the items' keys, in as many
-independent repetitions as the target recall asks for. What is found is verified by exact edit
-distance.
+floor((1 - similarity) * n) word edits of the whole item.
 
 Windows are laid where they can match at all: k edits leave at least one of 2k + 1 word pairs of an
 item intact, so each item names its 2k + 1 longest pairs, and a window is laid for every place where
-the document has one of them. This loses nothing. All other work is on such windows.
+the document has one of them, with k words more on both sides. Every window is verified by exact
+edit distance, all words of the item in one number, a step for each word of the window. So nothing
+is lost, whatever the kind of the edits, where an item has 2k + 1 pairs (from similarity 0.7 on).
 """
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-
-_MASK = (1 << 64) - 1
 #: Characters of benchmark text in one block of items; each block is one pass over the documents.
 BLOCK_CHARS = 16_000_000
 
@@ -33,46 +26,12 @@ BLOCK_CHARS = 16_000_000
 class Settings:
     similarity: float = 0.8
     min_words: int = 5
-    #: Steps sampled for a key, and the share of matches that the repetitions shall find.
-    sampled: int = 4
-    recall: float = 0.99
-    max_repetitions: int = 256
-    seed: int = 42
 
 
 def split_words(text: str | None) -> list[str]:
     return re.findall(r"\w+", text.lower()) if text else []
 
 
-class Walk:
-    """One repetition: the random bits of its steps and the steps its keys sample, for items of n words."""
-
-    def __init__(self, n: int, repetition: int, s: Settings):
-        rng = random.Random(f"{s.seed} {n} {repetition}")
-        steps = 3 * n
-        self.sampled = sorted(rng.sample(range(steps), min(s.sampled, steps)))
-        self.bits = [rng.getrandbits(64) | 1 for _ in range(self.sampled[-1] + 1)]
-
-    def key(self, hashes: list[int]) -> int:
-        """The key of a window, given the hashes of its words; past its end the walker writes 0."""
-        at, n, key, wanted = 0, len(hashes), 17, iter(self.sampled)
-        following = next(wanted)
-        for step, odd in enumerate(self.bits):
-            h = hashes[at] if at < n else 0
-            if step == following:
-                key = (key * 0x9E3779B97F4A7C15 + h + 1) & _MASK
-                following = next(wanted, -1)
-            if h and (h * odd & _MASK) >> 63:
-                at += 1
-        return key
-
-
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) | 1
-
-
 def least_edits(item: list[str], words: list[str], most: int) -> tuple[int, int]:
     """The least number of word edits that turn ``item`` into some stretch of ``words``, and where the
     best stretch ends; gives up with ``most + 1`` once that is exceeded."""
@@ -87,6 +46,27 @@ def least_edits(item: list[str], words: list[str], most: int) -> tuple[int, int]
     return (best, end) if best <= most else (most + 1, 0)
 
 
+def least_edits_by_bits(places: dict[str, int], n: int, words: list[str]) -> tuple[int, int]:
+    """As ``least_edits`` without a limit, for an item of n words of which ``places`` has the bits where
+    each stands: the differences down a column of the table are kept in two numbers."""
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, now, best, end = full, 0, n, n, 0
+    for j, w in enumerate(words, 1):
+        equal = places.get(w, 0)
+        v = equal | down
+        h = ((equal & up) + up ^ up) | equal
+        rises, falls = down | ~(h | up) & full, up & h
+        if rises & top:
+            now += 1
+        elif falls & top:
+            now -= 1
+            if now < best:
+                best, end = now, j
+        rises, falls = rises << 1 & full, falls << 1 & full
+        up, down = falls | ~(v | rises) & full, rises & v
+    return best, end
+
+
 @dataclass
 class ItemIndex:
     """What the workers need of a block of items."""
@@ -96,31 +76,12 @@ class ItemIndex:
     words: list[list[str]] = field(default_factory=list)
     edits: list[int] = field(default_factory=list)
     pairs: dict[str, dict[str, list[tuple[int, int]]]] = field(default_factory=dict)
-    walks: dict[int, list[Walk]] = field(default_factory=dict)
-    buckets: dict[tuple[int, int, int], set[int]] = field(default_factory=dict)  # (words, repetition, key) -> items
     name: str = ""
 
 
-def repetitions(n: int, edits: int, s: Settings, trials: int = 64) -> int:
-    """Repetitions for windows of n words to be found with the target recall at ``edits`` edits:
-    the chance of one repetition is measured on random words with random edits."""
-    rng = random.Random(f"{s.seed} {n} {edits}")
-    hits = 0
-    for t in range(trials):
-        a = [rng.getrandbits(63) | 1 for _ in range(n)]
-        b = list(a)
-        for _ in range(edits):
-            at, kind = rng.randrange(len(b)), rng.randrange(3)
-            b[at : at + (kind != 0)] = [] if kind == 1 else [rng.getrandbits(63) | 1]
-        walk = Walk(n, -1 - t, s)
-        hits += walk.key(a) == walk.key((b + [0] * n)[:n])
-    chance = max(hits, 0.5) / trials
-    return min(s.max_repetitions, max(1, math.ceil(math.log(1 - s.recall) / math.log(max(1e-9, 1 - chance)))) if chance < 1 else 1)
-
-
 def build_index(items: list[tuple[object, str | None]], s: Settings, name: str = "") -> ItemIndex:
     """Items of fewer than ``min_words`` words are left out: they are found in any text."""
-    index, needed = ItemIndex(s, name=name), {}
+    index = ItemIndex(s, name=name)
     for item_id, text in items:
         words = split_words(text)
         if len(words) < s.min_words:
@@ -132,46 +93,41 @@ def build_index(items: list[tuple[object, str | None]], s: Settings, name: str =
         places = sorted(range(len(words) - 1), key=lambda i: (-len(words[i]) - len(words[i + 1]), i))[: 2 * k + 1]
         for i in places:
             index.pairs.setdefault(words[i], {}).setdefault(words[i + 1], []).append((number, i))
-        n = len(words)
-        if n not in index.walks:
-            index.walks[n] = [Walk(n, r, s) for r in range(repetitions(n, k, s))]
-        hashes = [_hash(w) for w in words]
-        for r, walk in enumerate(index.walks[n]):
-            index.buckets.setdefault((n, r, walk.key(hashes)), set()).add(number)
     return index
 
 
 def find_items(text: str | None, index: ItemIndex) -> list[tuple[int, int, int, int]]:
-    """(item number, edits, first word, words) of the items in a text, each at its first match."""
+    """(item number, edits, first word, words) of the items in a text, each where it takes the least
+    edits, the first of such places."""
     words = split_words(text)
-    pairs, found, tried = index.pairs, {}, set()
-    windows: dict[tuple[int, int], None] = {}
+    pairs, found = index.pairs, []
+    windows: dict[int, dict[int, None]] = {}
     for i, w in enumerate(words):
         if w in pairs and i + 1 < len(words):
             for number, offset in pairs[w].get(words[i + 1], ()):
-                windows[(max(0, i - offset), number)] = None
-    for start, number in windows:
-        n = len(index.words[number])
-        if number in found:
-            continue
-        window = words[start : start + n]
-        seen = (number, tuple(window))
-        if seen in tried:  # the same words again
-            continue
-        tried.add(seen)
-        hashes = [_hash(w) for w in window]
-        for r, walk in enumerate(index.walks[n]):
-            for candidate in index.buckets.get((n, r, walk.key(hashes)), ()):
-                if candidate in found:
-                    continue
-                k = index.edits[candidate]
-                first = max(0, start - k)
-                edits, end = least_edits(index.words[candidate], words[first : start + n + k], k)
-                if edits <= k:
-                    found[candidate] = (candidate, edits, max(0, first + end - n), n)
-            if number in found:
-                break
-    return list(found.values())
+                windows.setdefault(number, {})[max(0, i - offset)] = None
+    for number, starts in windows.items():
+        item, k = index.words[number], index.edits[number]
+        n, places, best, tried = len(item), {}, None, set()
+        for i, w in enumerate(item):
+            places[w] = places.get(w, 0) | 1 << i
+        for start in sorted(starts):
+            first = max(0, start - k)
+            window = words[first : start + n + k]
+            if sum(w in places for w in window) < n - k:
+                continue
+            seen = tuple(window)
+            if seen in tried:  # the same words again
+                continue
+            tried.add(seen)
+            edits, end = least_edits_by_bits(places, n, window)
+            if edits <= k and (best is None or edits < best[1]):
+                best = (number, edits, max(0, first + end - n), n)
+                if not edits:
+                    break
+        if best:
+            found.append(best)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", settings: Settings | None = None) -> DataFrame:
