@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in stages that are written and read again.
 
 Toxic documents go, then exact copies, near copies and documents that hold benchmark items; what is
-left is encoded. Each stage takes (spark, docs, sf_dir) and works on all rows of the one before.
+left is encoded, and decoded again to see that it gives the text back. Each stage takes (spark,
+docs, sf_dir) and works on all rows of the one before.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = encode(docs, load_vocabulary(vocabulary_path()), carry=["doc_id", "lang", "source"])
-    return pieces.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids")
+    pieces = encode(docs, load_vocabulary(vocabulary_path()), carry=["doc_id", "lang", "source"], verify=True)
+    return pieces.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [

@@ -90,6 +90,26 @@ def test_toxicity(spark, docs, none):
     assert drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_sample_passes_over_what_does_not_fit(spark):
+    from weftwork.llm.toxicity import Settings, labelled_sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+
+    def sample(giant):
+        texts = [(i, "x" * 5000 if f"doc {i}" == giant else f"doc {i}") for i in range(40)]
+        return labelled_sample(spark.createDataFrame(texts, "doc_id bigint, text string"), labels, settings=Settings(sample_chars=3000))
+
+    texts, toxic = sample(None)
+    assert set(toxic) == {0, 1} and len(texts) > 20
+    assert sample(texts[0]) == (texts[1:], toxic[1:])
+
+
+def test_last_stage_decodes(spark, docs, root):
+    name, stage = corpus_pipeline.STAGES[-1]
+    rows = stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), root).collect()
+    assert len(rows) == len(TEXTS) and all(r.round_trip for r in rows)
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame(BENCH, "item_id bigint, text string")
     leak = spark.createDataFrame([(30, "x ONE two three, four five six seven eight nine ten. y"), (31, "one two five six seven eight nine ten"), (32, "one two three four")], "doc_id bigint, text string")

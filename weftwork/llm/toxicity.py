@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass
@@ -238,7 +238,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None):
     """Texts and labels of at most ``toxic_docs`` + ``clean_docs`` documents and ``sample_chars``
-    characters, drawn by a hash of the id from the labelled rows that are not held out."""
+    characters, drawn by a hash of the id from the labelled rows that are not held out. Each class has
+    its share of the characters; a document that does not fit is passed over."""
     s = settings or Settings()
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__lid")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
@@ -246,16 +247,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     picked = drawn.filter("__toxic = 1").orderBy("__draw", "__lid").limit(s.toxic_docs).union(drawn.filter("__toxic = 0").orderBy("__draw", "__lid").limit(s.clean_docs))
     rows = docs.select(F.col(id_col).alias("__lid"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(picked), "__lid")
     limit = s.toxic_docs + s.clean_docs
-    sizes = rows.select("__draw", F.length("__text").alias("__n")).orderBy("__draw", "__n").limit(limit).collect()
-    total, last = 0, None
-    for r in sizes:
-        total += r["__n"]
-        if total > s.sample_chars:
-            break
-        last = r["__draw"]
-    if last is None:
+    sizes = rows.select("__toxic", "__draw", F.length("__text").alias("__n"))
+    left, fitting = {}, {}
+    for toxic, docs_of in ((1, s.toxic_docs), (0, s.clean_docs)):
+        left[toxic] = s.sample_chars * docs_of // limit
+        for r in sizes.filter(F.col("__toxic") == toxic).orderBy("__draw", "__n").limit(docs_of).collect():
+            if r["__n"] <= left[toxic]:
+                left[toxic] -= r["__n"]
+                fitting[toxic, r["__draw"], r["__n"]] = fitting.get((toxic, r["__draw"], r["__n"]), 0) + 1
+    if not fitting:
         return [], []
-    got = sorted((r["__draw"], r["__text"], r["__toxic"]) for r in rows.filter(F.col("__draw") <= F.lit(last)).limit(limit).collect())
+    wanted = docs.sparkSession.createDataFrame([(*k, n) for k, n in fitting.items()], "__toxic int, __draw bigint, __n int, __most int")
+    same = Window.partitionBy("__toxic", "__draw", "__n").orderBy("__text")  # rows of one id and length
+    fits = rows.withColumn("__n", F.length("__text")).join(F.broadcast(wanted), ["__toxic", "__draw", "__n"])
+    chosen = fits.withColumn("__k", F.row_number().over(same)).filter("__k <= __most").select("__draw", "__text", "__toxic")
+    got = sorted((r["__draw"], r["__text"], r["__toxic"]) for r in chosen.collect())
     return [g[1] for g in got], [g[2] for g in got]
 
 
