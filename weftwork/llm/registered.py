@@ -10,6 +10,7 @@ from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
 from weftwork.llm.license_scan import license_matches
 from weftwork.llm.line_dedup import line_dedup
+from weftwork.llm.prefix_trie import prefix_trie, turn_digests, with_heads
 from weftwork.llm.simhash import simhash_components
 from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
 from weftwork.llm.toxicity import toxicity
@@ -118,3 +119,44 @@ def op10(spark, root):
 @query("op5_html_text")
 def op5(spark, root):
     return extract_pages(table(spark, root, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    "op13_prefix_trie",
+    """
+WITH RECURSIVE src AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h,
+    max(pos) AS own
+  FROM src GROUP BY conv_id),
+heads AS (SELECT c.conv_id, s.pos, s.role, s.text FROM conv c JOIN src s ON s.conv_id = c.conv_id - c.conv_id % 100 AND s.pos <= c.h),
+built AS (
+  SELECT * FROM heads
+  UNION ALL SELECT s.conv_id, s.pos - c.h + least(c.h, coalesce(b.own, 0)), s.role, s.text
+  FROM src s JOIN conv c USING (conv_id) LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 100 WHERE s.pos > c.h),
+len AS (SELECT conv_id, coalesce(max(pos), 0) AS n FROM conv LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+pre AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS k, '' AS up, '' AS text, n FROM len
+  UNION ALL
+  SELECT pre.conv_id, d + 1, sha256(pre.k || '|' || length(b.role) || ':' || b.role || b.text), pre.k, b.text, n
+  FROM pre JOIN built b ON b.conv_id = pre.conv_id AND b.pos = d + 1),
+node AS (
+  SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * length(any_value(text)) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+  FROM pre GROUP BY d, k),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+tree AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+sums AS (
+  SELECT d, k, up, (n_children = 0)::BIGINT AS leaf, saved, d AS at, k AS who, up AS next FROM tree
+  UNION ALL SELECT s.d, s.k, s.up, leaf, s.saved, t.d, t.k, t.up FROM sums s JOIN tree t ON t.d = s.at - 1 AND t.k = s.next WHERE s.at > 0)
+SELECT t.conv_id, t.d AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, sum(s.leaf)::BIGINT AS n_leaves, sum(s.saved)::BIGINT AS saved_tokens, t.ends_sha256
+FROM tree t JOIN sums s ON s.at = t.d AND s.who = t.k LEFT JOIN node p ON t.d > 0 AND p.d = t.d - 1 AND p.k = t.up
+GROUP BY ALL""",
+)
+def op13(spark, root):
+    turns, convs = with_heads(turn_digests(table(spark, root, "conversations")))
+    return prefix_trie(turns, convs)
