@@ -12,12 +12,13 @@ from weftwork.llm.license_scan import license_matches
 from weftwork.llm.line_dedup import line_dedup
 from weftwork.llm.prefix_trie import prefix_trie, turn_digests, with_heads
 from weftwork.llm.simhash import simhash_components
+from weftwork.llm.spelling import spelling_variants, word_counts
 from weftwork.llm.token_files import read_tokens, token_folder, write_tokens
 from weftwork.llm.toxicity import toxicity
 from weftwork.llm.unigram import encode, load_vocabulary
 from weftwork.llm.url_filter import judge_urls
 from weftwork.llm.wrappers import extract_pages
-from weftwork.session import table
+from weftwork.session import table, write_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +161,8 @@ GROUP BY ALL""",
 def op13(spark, root):
     turns, convs = with_heads(turn_digests(table(spark, root, "conversations")))
     return prefix_trie(turns, convs)
+
+
+@query("op11_spelling")
+def op11(spark, root):
+    return spelling_variants(write_once(word_counts(table(spark, root, "documents"), min_chars=7, min_count=2, slip=31)), factor=10)
