@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftwork.llm.credentials import fit_formats, secret_spans
 from weftwork.llm.decontaminate import contamination
 from weftwork.llm.exact_dedup import exact_dedup
 from weftwork.llm.license_scan import license_matches
@@ -166,3 +167,13 @@ def op13(spark, root):
 @query("op11_spelling")
 def op11(spark, root):
     return spelling_variants(write_once(word_counts(table(spark, root, "documents"), min_chars=7, min_count=2, slip=31)), factor=10)
+
+
+@query("op12_secret_scan")
+def op12(spark, root):
+    docs = table(spark, root, "documents")
+    found = secret_spans(docs, fit_formats(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "grammar")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
