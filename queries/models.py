@@ -6,13 +6,16 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from queries.registry import SEED, query, r, rounded, sr, t, texts
+from queries.terms import PLAIN, WB_GRAMS
 from weftwork.functions import text as T
-from weftwork.operators import clusters, combine, models, split
+from weftwork.operators import clusters, combine, models, split, terms
 from weftwork.operators.encode import vector
 from weftwork.operators.textfeat import text_features
+from weftwork.operators.vectorize import TermVectorizer
 from weftwork.session import write_once
 
 DIMS = 64
+STACKED = ["logistic", "tree", "text"]
 
 
 def ten_classes(spark, root):
@@ -83,6 +86,20 @@ def k05_hinge(spark, root):
     return scored(models.fit_linear(d, "hinge", 1e-3, max_iter=30), d)
 
 
+@query("k05_linear_hinge_l1")
+def k05_hinge_l1(spark, root):
+    d = two_classes(spark, root)
+    return scored(models.fit_linear(d, "hinge", 1e-3, "l1", max_iter=15), d)
+
+
+@query("k05_sgd_grid")
+def k05_sgd(spark, root):
+    """Settings of a text model by fold AUC: the grid is fitted in the same passes, fold by fold."""
+    data = labelled_counts(spark, root)
+    chosen = models.fit_folds(data, "fold", {"sgd": models.text_sgd(max_iter=12, vocabulary=20_000)})
+    return rounded(models.held_out_scores(data, "fold", "doc_id", chosen), "p")
+
+
 def _knn_sql(k: int, gap: str, weight: str) -> str:
     return f"""
 WITH x AS (SELECT vec_id, label, [v::DOUBLE FOR v IN embedding] AS v FROM embeddings),
@@ -218,39 +235,68 @@ def k17(spark, root):
     return rounded(models.oof_predictions(labelled_features(spark, root), "fold", "doc_id", _base_models()), "p")
 
 
-def labelled_grams(spark, root):
-    """Character n-grams of the labelled texts, with their folds, written once."""
+def char_counts(text):
+    """The column of character n-grams whose counts the text models take."""
+    return T.word_char_ngrams(T.strip_accents(F.lower(F.trim(F.coalesce(text, F.lit(""))))), 3, 5)
+
+
+def labelled_counts(spark, root):
+    """Counts of the character n-grams of the labelled texts, with their folds, written once."""
     labels = split.stratified_folds(t(spark, root, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "label", 3, "doc_id", SEED)
-    clean = F.lower(F.trim(F.coalesce("text", F.lit(""))))
     d = texts(spark, root).join(labels, "doc_id")
-    return write_once(d.select("doc_id", "fold", "label", T.word_char_ngrams(T.strip_accents(clean), 3, 5).alias("grams")))
+    return write_once(terms.run_lengths(d, ["doc_id", "fold", "label"], char_counts(F.col("text"))), by=["fold"])
 
 
 @query("k17_text_oof")
 def k17_text(spark, root):
-    data = labelled_grams(spark, root)
+    data = labelled_counts(spark, root)
     fitted = models.fit_folds(data, "fold", {"text": lambda train: models.fit_text_logistic(train, max_iter=20)})
     return rounded(models.held_out_scores(data, "fold", "doc_id", fitted), "p")
 
 
+@query("k17_fold_tfidf", f"""
+WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('{SEED}|' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+c AS (SELECT d.doc_id, {PLAIN} AS text FROM documents d JOIN l ON l.doc_id = d.doc_id WHERE i > floor(n / 3.0)::BIGINT),
+p AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(text, '{T.NON_SPACE}')) || ' ' AS p FROM c),
+g AS (SELECT doc_id, term, count(*) AS n FROM ({WB_GRAMS}) GROUP BY 1, 2),
+s AS (SELECT term, count(*) AS df, sum(n) AS cf FROM g GROUP BY 1 HAVING count(*) >= 2),
+k AS (SELECT term, ln((1 + (SELECT count(*) FROM c)) / (1.0::DOUBLE + df)) + 1 AS idf FROM s ORDER BY cf DESC, term LIMIT 5000),
+v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place, idf FROM k),
+w AS (SELECT doc_id, place, (1 + ln(n)) * idf AS w FROM g JOIN v ON g.term = v.term)
+SELECT doc_id, place, {sr('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS tfidf FROM w""")
+def k17_tfidf(spark, root):
+    """The vectors a fold's text model is fitted on, in long form."""
+    train = labelled_counts(spark, root).filter("fold <> 0")
+    model = TermVectorizer(maxFeatures=5000, minDF=2).fit(train)
+    entries = F.unwrap_udt("tfidf")
+    pairs = F.explode(F.arrays_zip(entries["indices"].alias("place"), entries["values"].alias("tfidf")))
+    out = model.transform(train).select("doc_id", pairs.alias("e")).select("doc_id", F.col("e.place").cast("bigint").alias("place"), "e.tfidf")
+    return rounded(out, "tfidf")
+
+
 def _stack(spark, root):
+    """Numeric base models and a text model on one set of folds, then the meta-model."""
     d = labelled_features(spark, root)
     oof = models.oof_predictions(d, "fold", "doc_id", _base_models())
-    wide = combine.stack_predictions(oof, "doc_id", "model", "p", ["logistic", "tree"]).join(d.select("doc_id", "fold", "label"), "doc_id")
-    return wide, models.fit_stack(wide, ["logistic", "tree"], "label", [0.1, 1.0], "fold")
+    counts = terms.run_lengths(texts(spark, root).join(d.select("doc_id", "fold", "label"), "doc_id"), ["doc_id", "fold", "label"], char_counts(F.col("text")))
+    counts = write_once(counts, by=["fold"])
+    text = models.fit_folds(counts, "fold", {"text": lambda train: models.fit_text_logistic(train, vocabulary=20_000, max_iter=10)})
+    oof = oof.unionByName(models.held_out_scores(counts, "fold", "doc_id", text))
+    wide = combine.stack_predictions(oof, "doc_id", "model", "p", STACKED).join(d.select("doc_id", "fold", "label"), "doc_id")
+    return wide, models.fit_stack(wide, STACKED, "label", [0.1, 1.0], "fold")
 
 
 @query("k16_stack")
 def k16(spark, root):
     wide, cv = _stack(spark, root)
-    data = wide.withColumn("features", vector(F.array("logistic", "tree")))
+    data = wide.withColumn("features", vector(F.array(*STACKED)))
     return rounded(models.score(cv.bestModel, data, "doc_id"), "p")
 
 
 @query("l17_coefficients")
 def l17(spark, root):
     wide, cv = _stack(spark, root)
-    return rounded(models.coefficients(cv.bestModel, ["logistic", "tree"], wide), "coefficient", digits=4)
+    return rounded(models.coefficients(cv.bestModel, STACKED, wide), "coefficient", digits=4)
 
 
 @query("l18_permutation_importance")

@@ -6,9 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from weftwork.operators import clusters, encode, evaluate, models, neighbors, resample, terms
+from weftwork.operators.sgd import SGDLinear, SGDLinearModel, fit_sgd_grid, loss_and_slope
+from weftwork.operators.vectorize import TermVectorizer
 
 
 def test_group_ngrams_equal_those_of_the_joined_text(spark):
@@ -231,13 +235,18 @@ def test_many_clusters_give_the_same_silhouettes_and_centres(blobs, monkeypatch)
     assert {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()} == near
 
 
-def test_text_models_know_their_own_folds_only(spark):
-    rows = [(i, i % 2, float(i % 2), ["a", "b" if i % 2 else "c", f"own{i % 2}"] * 2) for i in range(40)]
-    rows = [(i, i % 4 // 2, y, g + [f"fold{i % 4 // 2}"]) for i, _, y, g in rows]
-    data = spark.createDataFrame(rows, "id long, fold int, label double, grams array<string>")
-    fitted = models.fit_folds(data, "fold", {"text": models.fit_text_logistic})
+def fold_counts(spark):
+    rows = [(i, i // 2 % 2, float(i % 2), [("a", 2), ("b" if i % 2 else "c", 2), (f"fold{i // 2 % 2}", 1)]) for i in range(40)]
+    return spark.createDataFrame(rows, "id long, fold int, label double, counts array<struct<term:string,n:bigint>>")
+
+
+@pytest.mark.parametrize("kind", ["logistic", "sgd"])
+def test_text_models_know_their_own_folds_only(spark, kind):
+    data = fold_counts(spark)
+    fits = {"text": models.fit_text_logistic if kind == "logistic" else models.text_sgd(max_iter=10)}
+    fitted = models.fit_folds(data, "fold", fits)
     for (_, fold), model in fitted.items():
-        assert f"fold{1 - fold}" in model.stages[0].vocabulary and f"fold{fold}" not in model.stages[0].vocabulary
+        assert f"fold{1 - fold}" in model.stages[0].terms and f"fold{fold}" not in model.stages[0].terms
     scores = models.held_out_scores(data, "fold", "id", fitted).collect()
     assert len(scores) == 40 and all((r["p"] > 0.5) == (r["label"] == 1) for r in scores)
 
@@ -246,7 +255,68 @@ def test_unknown_metrics_and_penalties_are_refused(spark):
     with pytest.raises(ValueError):
         models._evaluator("f2")
     with pytest.raises(ValueError):
-        models.fit_linear(None, "hinge", penalty="l1")
+        models.fit_linear(None, "hinge", penalty="l3")
+    with pytest.raises(ValueError):
+        fit_sgd_grid(None, [{"loss": "squared"}])
+
+
+def test_vectorizer_equals_the_long_table(spark, root, tmp_path):
+    docs = spark.read.parquet(f"{root}/documents.parquet").limit(60)
+    long = {(r["doc_id"], r["term"]): r["tfidf"] for r in terms.char_tfidf(docs, "doc_id", "text", max_features=700).collect()}
+    from weftwork.functions import text as T
+
+    grams = T.word_char_ngrams(T.strip_accents(F.lower(F.coalesce("text", F.lit("")))), 3, 5)
+    counts = terms.run_lengths(docs, ["doc_id"], grams)
+    model = TermVectorizer(maxFeatures=700).fit(counts)
+    PipelineModel([model]).write().overwrite().save(f"file://{tmp_path}/model")
+    again = PipelineModel.load(f"file://{tmp_path}/model")
+    assert again.stages[0].terms == model.terms and again.stages[0].extractParamMap().values()
+    found = {}
+    for r in again.transform(counts.unionByName(spark.createDataFrame([(-1, None), (-2, [("zzzzz", 3)])], counts.schema))).collect():
+        assert len(r["tfidf"]) == 700
+        found |= {(r["doc_id"], model.terms[i]): v for i, v in zip(r["tfidf"].indices, r["tfidf"].values)}
+    assert found.keys() == long.keys() and all(abs(found[k] - v) < 1e-9 for k, v in long.items())
+
+
+def objective(x, y, w, b, loss, alpha, ratio):
+    z = y * (x @ w + b)
+    cost = np.maximum(0, 1 - z) if loss == "hinge" else np.logaddexp(0, -z)
+    return cost.mean() + alpha * (ratio * np.abs(w).sum() + (1 - ratio) / 2 * (w**2).sum())
+
+
+def test_sgd_agrees_with_the_convex_optimum(spark):
+    """No point near the result is better by more than the tolerance, and subgradient descent with
+    many more steps on one machine does no better either."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (1200, 5))
+    y = np.where(x @ np.array([2.0, -1.0, 0.5, 0.0, 0.0]) + 0.3 + rng.normal(0, 1, 1200) > 0, 1.0, -1.0)
+    vectors = [Vectors.dense(v) if i % 2 else Vectors.sparse(5, range(5), v) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(v, float(t > 0)) for v, t in zip(vectors, y)], ["features", "label"]).repartition(3)
+    grid = [{"loss": loss, "penalty": p, "alpha": 0.02, "eta0": 0.5} for loss in ("log", "hinge") for p in ("l2", "l1", "elasticnet")]
+    for setting, model in zip(grid, fit_sgd_grid(df, grid, max_iter=60, tol=1e-5)):
+        ratio = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}[setting["penalty"]]
+        args = (setting["loss"], 0.02, ratio)
+        best = np.inf
+        w, b = np.zeros(5), 0.0
+        for step in range(4000):  # plain full-batch subgradient descent
+            _, slope = loss_and_slope(setting["loss"], x @ w + b, y)
+            rate = 1.0 / (1 + step) ** 0.6
+            w -= rate * (x.T @ slope / len(y) + 0.02 * (ratio * np.sign(w) + (1 - ratio) * w))
+            b -= rate * slope.mean()
+            best = min(best, objective(x, y, w, b, *args))
+        mine = objective(x, y, model.coefficients, model.intercept, *args)
+        assert mine < best + 2e-3, (setting, mine, best)
+        if setting["penalty"] == "l1":
+            assert np.abs(model.coefficients[3:]).max() < 0.05
+
+
+def test_sgd_weights_and_saved_model(spark, tmp_path):
+    df = spark.createDataFrame([(Vectors.dense(float(v)), float(v > 0), 1.0) for v in (-2, -1, 1, 2)] + [(Vectors.dense(5.0), 0.0, 0.0)], ["features", "label", "weight"])
+    model = SGDLinear(weightCol="weight", alpha=1e-3, eta0=0.5, maxIter=20).fit(df)
+    model.write().overwrite().save(f"file://{tmp_path}/sgd")
+    scored = SGDLinearModel.load(f"file://{tmp_path}/sgd").transform(df).collect()
+    assert [r["prediction"] for r in scored] == [0.0, 0.0, 1.0, 1.0, 1.0]  # the row of weight 0 taught nothing
+    assert all(abs(r["probability"][0] + r["probability"][1] - 1) < 1e-12 for r in scored)
 
 
 def test_nan_breaks_a_rule(spark):

@@ -121,3 +121,14 @@ def test_sentiment_sums_valences(spark):
     lex = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
     got = {r["id"]: r["sentiment_score"] for r in sentiment(df, "id", "text", lex).collect()}
     assert got[1] == pytest.approx(4 / math.sqrt(16 + 15)) and got[2] == 0.0 and got[3] == pytest.approx(-1 / 4)
+
+
+def test_strip_accents_of_every_character(spark):
+    import unicodedata
+
+    def plain(s):
+        return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+
+    chars = [chr(c) for c in range(1, 0x3000)] + ["e\u0301\u0323x", "\u0b94\u00e9", "\U0001112e", "", "plain"]
+    rows = spark.createDataFrame(list(enumerate(chars)), "i int, c string").select("c", T.strip_accents(F.col("c")).alias("p")).collect()
+    assert [r["c"] for r in rows if r["p"] != plain(r["c"])] == []

@@ -47,7 +47,12 @@ def strip_punct(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, wl.ACCENTED, wl.UNACCENTED)
+    """Characters decomposed as Unicode defines it, without combining marks."""
+    out = F.translate(c, wl.ACCENTED, wl.UNACCENTED)
+    longer = out
+    for char, plain in wl.ACCENTED_LONGER.items():  # some fifty characters of a few scripts
+        longer = F.replace(longer, F.lit(char), F.lit(plain))
+    return F.when(out.rlike(f"[{''.join(wl.ACCENTED_LONGER)}]"), longer).otherwise(out)
 
 
 def word_count_ws(c: Column) -> Column:

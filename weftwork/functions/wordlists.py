@@ -36,9 +36,26 @@ SUFFIXES = {
                 "os", "as", "es", "o", "a", "e", "s"],
 }
 
-# Letters with an accent and the plain letters they map to, position by position.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each becomes; the longer ones): characters by their canonical decomposition
+    without combining marks. Marks alone become nothing; their characters are the last of the first
+    text, beyond the length of the second. Hangul syllables are left whole."""
+    import unicodedata
+
+    letters, gone, longer = {}, [], {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]:
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
+        if not plain:
+            gone.append(char)
+        elif len(plain) > 1:
+            longer[char] = plain
+        elif plain != char:
+            letters[char] = plain
+    return "".join([*letters, *gone]), "".join(letters.values()), longer
+
+
+ACCENTED, UNACCENTED, ACCENTED_LONGER = _accents()
 
 
 def _jar_folders():

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, PolynomialExpansion, StandardScaler
+from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftwork.functions.frame import concurrently, one_row, with_blocks
 from weftwork.operators import evaluate
 from weftwork.operators.neighbors import nearest_rows
+from weftwork.operators.sgd import fit_sgd_grid
+from weftwork.operators.vectorize import TermVectorizer
 from weftwork.session import materialise, write_once
 
 MAX_CLASSES = 10_000  # in one block
@@ -87,14 +89,17 @@ def fit_rbf_svm(df: DataFrame, dims: int, gamma: float, n_features: int = 128, C
 
 
 def fit_linear(df: DataFrame, loss: str = "hinge", alpha: float = 1e-4, penalty: str = "l2", max_iter: int = 100):
-    """Linear model with hinge or log loss; ``alpha`` is the penalty per mean loss. ``penalty``: l2,
-    or with log loss l1 and elasticnet (half of each)."""
-    mixes = {"l2": 0.0} if loss == "hinge" else {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}
+    """Linear model with hinge or log loss and l2, l1 or elasticnet penalty (half of each); ``alpha``
+    is the penalty per mean loss. Hinge loss with a share of l1 is fitted by gradient descent."""
+    mixes = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}
     if loss not in ("hinge", "log") or penalty not in mixes:
         raise ValueError(f"no {loss} loss with {penalty} penalty")
-    if loss == "hinge":
+    if loss == "log":
+        return LogisticRegression(regParam=alpha, elasticNetParam=mixes[penalty], maxIter=max_iter).fit(df)
+    if penalty == "l2":
         return LinearSVC(regParam=alpha, maxIter=max_iter).fit(df)
-    return LogisticRegression(regParam=alpha, elasticNetParam=mixes[penalty], maxIter=max_iter).fit(df)
+    setting = {"loss": loss, "penalty": penalty, "alpha": alpha, "l1_ratio": mixes[penalty]}
+    return fit_sgd_grid(write_once(df.select("features", "label")), [setting], max_iter=max_iter)[0]
 
 
 def fit_tree(df: DataFrame, max_depth: int = 5, min_leaf: int = 1, seed: int = 42):
@@ -124,28 +129,55 @@ def fit_mlp(df: DataFrame, layers: Sequence[int], seed: int = 42, max_iter: int
     return MultilayerPerceptronClassifier(layers=list(layers), seed=seed, maxIter=max_iter).fit(df)
 
 
-def text_logistic(grams: str = "grams", vocabulary: int = 50_000, min_df: int = 2, C: float = 1.0, rows: int = 1, max_iter: int = 50) -> Pipeline:
-    """TF-IDF vectors of the terms in ``grams`` (array of string), then a weighted logistic model.
-    Terms, their numbers and idf are fitted with the rest, so a fold's model knows its training rows only."""
-    return Pipeline(
-        stages=[
-            CountVectorizer(inputCol=grams, outputCol="_tf", vocabSize=vocabulary, minDF=min_df),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="features"),
-            LogisticRegression(weightCol="weight", regParam=1.0 / (C * max(rows, 1)), maxIter=max_iter),
-        ]
-    )
-
-
 def balanced(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """Adds weights by which both classes of a 0/1 label count alike."""
     share = one_row(df.agg(F.avg(F.col(label).cast("double")).alias("p")))["p"]
     return df.withColumn(name, F.lit(0.5) / F.greatest(F.when(F.col(label) == 1, share).otherwise(1 - share), F.lit(1e-12)))
 
 
-def fit_text_logistic(train: DataFrame, grams: str = "grams", vocabulary: int = 50_000, min_df: int = 2, C: float = 1.0, max_iter: int = 50):
-    """A fitted ``text_logistic`` with balanced classes."""
-    return text_logistic(grams, vocabulary, min_df, C, train.count(), max_iter).fit(balanced(train))
+# ---- models of texts ---------------------------------------------------------------------
+
+
+def fit_text_logistic(train: DataFrame, counts: str = "counts", vocabulary: int = 50_000, min_df: int = 2, C: float = 1.0, max_iter: int = 50) -> PipelineModel:
+    """TF-IDF vectors of the term counts of each row, then a logistic model with balanced classes.
+    Terms and idf are fitted with the rest, so a fold's model knows its training rows only."""
+    train = balanced(train)
+    vectors = TermVectorizer(inputCol=counts, outputCol="_tfidf", maxFeatures=vocabulary, minDF=min_df).fit(train)
+    data = write_once(vectors.transform(train.select(counts, "label", "weight")).drop(counts))
+    logistic = LogisticRegression(featuresCol="_tfidf", weightCol="weight", regParam=1.0 / (C * max(data.count(), 1)), maxIter=max_iter)
+    return PipelineModel([vectors, logistic.fit(data)])
+
+
+#: The settings the text model is chosen from.
+SGD_GRID = [{"alpha": 1e-4, "eta0": 0.1}, {"alpha": 3e-4, "eta0": 0.05}, {"alpha": 1e-5, "eta0": 0.2}]
+
+
+def by_held_out(fit: Callable[[DataFrame, DataFrame], object]) -> Callable:
+    """Marks a fit that chooses among settings by the rows it does not train on."""
+    fit.by_held_out = True
+    return fit
+
+
+def text_sgd(counts: str = "counts", grid: Sequence[Mapping] = SGD_GRID, vocabulary: int = 50_000, min_df: int = 2, max_iter: int = 60, loss: str = "log", seed: int = 42) -> Callable:
+    """fit(train, held): TF-IDF vectors fitted on the training rows, a linear model for every setting
+    by the same passes of gradient descent, and of these the one with the highest AUC on ``held``
+    (ties: the first). Classes are balanced."""
+
+    def fit(train: DataFrame, held: DataFrame) -> PipelineModel:
+        train = balanced(train)
+        vectors = TermVectorizer(inputCol=counts, outputCol="_tfidf", maxFeatures=vocabulary, minDF=min_df).fit(train)
+        data = write_once(vectors.transform(train.select(counts, "label", "weight")).drop(counts))
+        found = fit_sgd_grid(data, [{"loss": loss} | dict(g) for g in grid], "_tfidf", weight="weight", max_iter=max_iter, seed=seed)
+        unseen = vectors.transform(held.select(counts, "label")).drop(counts)
+        for i, model in enumerate(found):
+            unseen = model.margin(unseen, f"_m{i}")
+        settings = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_m{i}").alias("m")) for i in range(len(found))]))
+        scored = write_once(unseen.select("label", settings.alias("s")).select("label", "s.i", "s.m"))
+        auc = {r["i"]: r["auc"] for r in evaluate.roc_auc(scored, "m", "label", ["i"]).collect()}
+        best = max(range(len(found)), key=lambda i: (auc.get(i) or 0.0, -i))
+        return PipelineModel([vectors, found[best]])
+
+    return by_held_out(fit)
 
 
 def score(model, df: DataFrame, id_col: str, name: str = "p", keep: Sequence[str] = ()) -> DataFrame:
@@ -297,16 +329,22 @@ def mean_over_models(preds: DataFrame, id_col: str, p: str) -> DataFrame:
 
 
 def fit_folds(data: DataFrame, fold: str, fits: Mapping[str, Callable[[DataFrame], object]], parallelism: int = 4) -> dict:
-    """{(name, fold): model fitted on the other folds}; several fits run as concurrent Spark jobs."""
+    """{(name, fold): model fitted on the other folds}; several fits run as concurrent Spark jobs. A
+    fit marked ``by_held_out`` gets the fold's own rows too."""
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
     tasks = [(name, f) for name in fits for f in folds]
 
-    fitted = concurrently(data.sparkSession, lambda task: fits[task[0]](data.filter(F.col(fold) != task[1])), tasks, parallelism)
-    return dict(zip(tasks, fitted))
+    def one(task):
+        name, f = task
+        train, held = data.filter(F.col(fold) != f), data.filter(F.col(fold) == f)
+        return fits[name](train, held) if getattr(fits[name], "by_held_out", False) else fits[name](train)
+
+    return dict(zip(tasks, concurrently(data.sparkSession, one, tasks, parallelism)))
 
 
 def held_out_scores(data: DataFrame, fold: str, id_col: str, fitted: Mapping) -> DataFrame:
-    """(id, model, fold, label, p): each fold scored by the models that did not see it."""
+    """(id, model, fold, label, p): each fold scored by the models that did not see it. If ``data`` is
+    written by fold (``write_once(..., by=[fold])``), a model reads its fold alone."""
     out = None
     for (name, f), model in fitted.items():
         held = data.filter(F.col(fold) == f)
@@ -321,7 +359,7 @@ def oof_predictions(df: DataFrame, fold: str, id_col: str, fits: Mapping[str, Ca
 
     The features are computed once and written, since every fold reads them again.
     """
-    data = write_once(df.select(id_col, fold, "features", "label"))
+    data = write_once(df.select(id_col, fold, "features", "label"), by=[fold])
     return held_out_scores(data, fold, id_col, fit_folds(data, fold, fits))
 
 

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,9 +74,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_once(df: DataFrame) -> DataFrame:
+def write_once(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """As ``materialise``, but as a columnar table: for wide results that several later jobs
-    read, each only a few columns of."""
+    read, each only a few columns of. ``by``: few-valued columns by which the files are laid out, so
+    that a filter on them reads only its own."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
