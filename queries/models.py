@@ -227,7 +227,28 @@ def _base_models():
 @query("k19_knn_grid")
 def k19_knn(spark, root):
     d = t(spark, root, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("int").alias("fold"))
-    return rounded(models.search_knn(d, "vec_id", "y", "embedding", "fold", [3, 7]), "f1", "std")
+    return rounded(models.search_knn(d, "vec_id", "y", "embedding", "fold", [3, 7]).drop("p"), "f1", "std")
+
+
+@query("k19_knn_grid_scaled", """
+WITH b AS (SELECT vec_id, label % 2 AS y, (vec_id % 3)::INT AS fold, [v::DOUBLE FOR v IN embedding] AS v FROM embeddings),
+u AS (SELECT vec_id, fold, unnest(v) AS v, unnest(range(1, 65)) AS i FROM b),
+m AS (SELECT f.fold, i, avg(v) AS m, stddev_pop(v) AS s FROM u, (SELECT DISTINCT fold FROM b) f WHERE u.fold <> f.fold GROUP BY 1, 2),
+x AS (SELECT m.fold AS run, u.fold, vec_id, list((v - m) / s ORDER BY m.i) AS v FROM u JOIN m ON m.i = u.i GROUP BY 1, 2, 3),
+d AS (SELECT q.run, q.vec_id, n.vec_id AS nid, list_distance(q.v, n.v) AS d2, list_sum(list_transform(list_zip(q.v, n.v), lambda z: abs(z[1] - z[2]))) AS d1
+  FROM x q JOIN x n ON q.run = n.run AND q.fold = q.run AND n.fold <> n.run),
+e AS (SELECT vec_id, nid, 2 AS p, d2 AS d FROM d UNION ALL SELECT vec_id, nid, 1, d1 FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY p, vec_id ORDER BY d, nid) AS r FROM e QUALIFY r <= 5),
+z AS (SELECT *, min(d) OVER (PARTITION BY p, vec_id) = 0 AS zero FROM k),
+g AS (SELECT p, z.vec_id, k, weights, n.y, round(sum(CASE WHEN weights = 'uniform' THEN 1.0 WHEN zero THEN (d = 0)::INT ELSE 1 / d END), 9) AS s
+  FROM z JOIN b n ON n.vec_id = nid, (VALUES (3), (5)) ks(k), (VALUES ('uniform'), ('distance')) ws(weights) WHERE r <= k GROUP BY 1, 2, 3, 4, 5),
+v AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY p, vec_id, k, weights ORDER BY s DESC, y) = 1),
+f AS (SELECT v.p, v.k, v.weights, b.fold, 2.0 * count(*) FILTER (b.y = 1 AND v.y = 1) / greatest(count(*) FILTER (b.y = 1) + count(*) FILTER (v.y = 1), 1) AS f1
+  FROM v JOIN b ON b.vec_id = v.vec_id GROUP BY 1, 2, 3, 4)
+SELECT k::INTEGER AS k, weights, p::INTEGER AS p, round(avg(f1)::DOUBLE, 6) + 0.0 AS f1, round(stddev_pop(f1)::DOUBLE, 6) + 0.0 AS std FROM f GROUP BY 1, 2, 3""")
+def k19_knn_scaled(spark, root):
+    d = t(spark, root, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"))
+    return rounded(models.search_knn(d, "vec_id", "y", "embedding", "fold", [3, 5], ["uniform", "distance"], [1, 2], scale=True), "f1", "std")
 
 
 @query("k17_oof_predictions")
@@ -353,6 +374,24 @@ def k24(spark, root):
     return clusters.dbscan(d, "vec_id", ["x", "y"], 0.03, 8)
 
 
+@query("k24_dbscan_all_columns", """
+WITH RECURSIVE u AS (SELECT vec_id, unnest([v::DOUBLE FOR v IN embedding]) AS v, unnest(range(1, 65)) AS i FROM embeddings),
+m AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM u GROUP BY i),
+p AS (SELECT vec_id AS id, list((v - m) / s ORDER BY m.i) AS x FROM u JOIN m ON u.i = m.i GROUP BY 1),
+near AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_distance(a.x, b.x) <= 9.5),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 6),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT b AS id, min(a) AS comp FROM reach GROUP BY b),
+num AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS cluster FROM (SELECT DISTINCT comp FROM comp)),
+lab AS (SELECT near.a AS id, min(comp) AS comp FROM near JOIN comp ON near.b = comp.id GROUP BY near.a)
+SELECT p.id AS vec_id, coalesce(cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN num ON lab.comp = num.comp""")
+def k24_all(spark, root):
+    """All 64 dimensions, standardised."""
+    scaled, = models.standardised(t(spark, root, "embeddings").select("vec_id", "embedding"), [], "embedding")
+    return clusters.dbscan(scaled, "vec_id", "embedding", 9.5, 6)
+
+
 @query("k25_assign_nearest", f"""
 WITH u AS (SELECT label, unnest([v::DOUBLE FOR v IN embedding]) AS v, unnest(range(1, 65)) AS i, vec_id FROM embeddings),
 m AS (SELECT label, i, avg(v) AS m FROM u GROUP BY 1, 2),

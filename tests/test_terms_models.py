@@ -113,6 +113,42 @@ def test_nearest_rows_with_many_copies(spark, p, exclude):
             assert mine == want
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "int"])
+def test_nearest_rows_with_ids_of_any_type(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (80, 4))
+    x[40:60] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>").repartition(3)
+    name = {"string": F.format_string("row-%04d", 500 - F.col("i")), "date": F.date_add(F.lit("2020-01-01").cast("date"), -F.col("i")), "int": -F.col("i")}[kind]
+    df = df.withColumn("id", name)
+    names = {r["i"]: r["id"] for r in df.collect()}
+    back = {v: k for k, v in names.items()}
+    got = {}
+    for r in neighbors.nearest_rows(df, df, "id", "x", 3, exclude_self=True, block_rows=8).collect():
+        got.setdefault(back[r["id"]], []).append((r["rank"], back[r["neighbour"]]))
+    for i in range(80):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = sorted((j for j in range(80) if j != i), key=lambda j: (d[j], names[j]))[:3]
+        assert [j for _, j in sorted(got[i])] == want
+
+
+def test_a_hot_cell_is_many_keys(spark, monkeypatch):
+    """Nine of ten points lie close together: no comparison takes more than two blocks of rows."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1e-3, (900, 3)), rng.normal(0, 5, (100, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    points = df.select(F.col("id").alias("key"), "x", F.lit(1).cast("bigint").alias("n"))
+    placed, leaves = neighbors.index_points(points, block_rows=32)
+    sizes = [r["count"] for r in placed.groupBy("leaf", "block").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 64 and len(leaves.pivots) > 20
+    got = {}
+    for r in neighbors.nearest_rows(df, df, "id", "x", 4, block_rows=32).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(0, 1000, 37):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert [j for _, j in sorted(got[i])] == sorted(range(1000), key=lambda j: (d[j], j))[:4]
+
+
 def brute_dbscan(x, eps, m):
     n = len(x)
     near = [[j for j in range(n) if ((x[i] - x[j]) ** 2).sum() <= eps * eps] for i in range(n)]
@@ -145,6 +181,25 @@ def test_dbscan_equals_brute_force(spark, dims, eps, m):
     assert [got[i] for i in range(len(x))] == brute_dbscan(x, eps, m)
 
 
+@pytest.mark.parametrize("dims,eps,m,seed", [(5, 0.9, 4, 1), (64, 6.0, 5, 2), (6, 3.0, 6, 3)])
+def test_dbscan_in_many_dimensions_equals_brute_force(spark, dims, eps, m, seed):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.normal(0, 0.5, (90, dims)), rng.normal(1.5, 0.5, (70, dims)), rng.uniform(-3, 5, (40, dims)), rng.normal(4, 1e-4, (60, dims))])
+    x = np.vstack([x, np.repeat(x[:1], 60, axis=0)])
+    line = np.zeros((30, dims))
+    line[:, 0] = -8 - 0.9 * eps * np.arange(30)  # a chain of points
+    x = np.vstack([x, line, line + 0.1 * eps / dims, line - 0.1 * eps / dims])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(f"{i:05d}", x[j].tolist()) for i, j in enumerate(order)], "id string, v array<double>").repartition(4)
+    want = brute_dbscan(x[order], eps, m)
+    rows, _ = neighbors.numbered(df.select("id", F.col("v").alias("x")), "id")
+    rows = rows.select(F.col("key").alias("id"), "x")
+    found = {r["id"]: r["cluster"] for r in clusters._dbscan_cells(rows, eps, m, block_rows=16).collect()}
+    assert [found[i] for i in range(len(x))] == want and len(set(want)) > 3
+    named = {r["id"]: r["cluster"] for r in clusters.dbscan(df, "id", "v", eps, m).collect()}
+    assert [named[f"{i:05d}"] for i in range(len(x))] == want
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "node long")

@@ -1,4 +1,4 @@
-"""Clustering: k-means, bisecting k-means, nearest centre, DBSCAN on a grid."""
+"""Clustering: k-means, bisecting k-means, nearest centre, DBSCAN on a grid or on metric cells."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.functions.frame import concurrently, with_blocks
+from weftwork.operators.neighbors import BLOCK_ROWS, index_points, meet, numbered, visit
 from weftwork.operators.scan import number_rows
 from weftwork.session import materialise, write_once
 
@@ -80,7 +82,7 @@ def _sq_gap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over undirected ``edges`` (a, b).
 
     Labels are taken from neighbours and then from the label's own label, so the number of
@@ -88,7 +90,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(nodes.select("node", F.col("node").alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         offer = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("offer"))
         step = labels.join(offer, labels.node == offer.a, "left").select(
             "node", F.least("comp", F.coalesce("offer", "comp")).alias("next"), F.col("comp").alias("was")
@@ -101,7 +103,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         labels = new.select("node", "comp")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _touching_cells(core: DataFrame, offsets: Sequence[tuple[int, ...]], side: float, eps_sq: float, dims: int) -> DataFrame:
@@ -158,23 +159,38 @@ def _touching_cells(core: DataFrame, offsets: Sequence[tuple[int, ...]], side: f
         found = found.unionByName(judged.filter("sure").select("a", "b")).distinct()
 
 
-def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, min_samples: int) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, cols: Sequence[str] | str, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster): density clusters, -1 for noise; a row's own copy counts as its neighbour.
 
-    Equal points are merged first. Cells have eps as diagonal, so points of one cell are
-    neighbours and a cell of ``min_samples`` points is all core: pairs are only looked at for
-    points of sparse cells. Whether two core cells touch is decided on the boxes of their
-    sub-cells, and on points only where the boxes leave it open. Clusters are numbered by their
-    smallest core id; a border row joins the smallest cluster that reaches it.
+    ``cols``: columns, or one array column. Clusters are numbered by their smallest core id; a border
+    row joins the smallest cluster that reaches it. Ids are of any type with an order. Up to four
+    columns, space is cut into a grid; more, or an array, are clustered on cells around pivots.
     """
-    dims = len(cols)
-    if dims > 4:
-        raise ValueError("the grid is meant for at most four columns; project first")
+    x = F.col(cols).cast("array<double>") if isinstance(cols, str) else F.array(*[F.col(c).cast("double") for c in cols])
+    rows, name = numbered(df.select(id_col, x.alias("x")), id_col)
+    rows = rows.select(F.col("key").alias("id"), "x")
+    on_grid = not isinstance(cols, str) and len(cols) <= 4
+    found = _dbscan_grid(rows, len(cols), eps, min_samples) if on_grid else _dbscan_cells(rows, eps, min_samples)
+    return name(found, "id").select(F.col("id").alias(id_col), "cluster")
+
+
+def _renumbered(rows: DataFrame, points: DataFrame, labelled: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, cluster) of every row: the component of its point as a number from 0, or -1."""
+    numbers = number_rows(comps.select("comp").distinct(), ["comp"], "cluster")
+    by_point = points.select("id", "x").join(labelled, "id", "left").join(numbers, "comp", "left")
+    by_point = by_point.select(F.col("x"), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
+    return rows.join(by_point, "x").select("id", "cluster")
+
+
+def _dbscan_grid(rows: DataFrame, dims: int, eps: float, min_samples: int) -> DataFrame:
+    """On rows (id, x). Equal points are merged first. Cells have eps as diagonal, so points of one cell
+    are neighbours and a cell of ``min_samples`` points is all core: pairs are only looked at for points
+    of sparse cells. Whether two core cells touch is decided on the boxes of their sub-cells, and on
+    points only where the boxes leave it open."""
     side = eps / math.sqrt(dims)
     offsets = _offsets(dims)
     eps_sq = float(eps) * float(eps)
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     points = rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     points = points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
     points = materialise(points)
@@ -196,13 +212,132 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, min_samp
     edges = _touching_cells(core.join(cells, "cell").select("node", "cell", "x"), offsets, side, eps_sq, dims)
     comps = connected_components(cells.select("node"), edges)
     placed = materialise(cells.join(comps, "node").select("cell", "comp"))
-    numbers = number_rows(placed.select("comp").distinct(), ["comp"], "cluster")
-
     core_label = core.join(placed, "cell").select("id", "x", "cell", "comp")
     border = cored.filter(~F.col("core")).select("id", "x", F.explode(_shifted("cell", offsets)).alias("cell"))
     reach = core_label.select("cell", F.col("x").alias("y"), "comp")
     edge_label = border.join(reach, "cell").filter(_sq_gap(F.col("x"), F.col("y")) <= eps_sq).groupBy("id").agg(F.min("comp").alias("comp"))
     labelled = core_label.select("id", "comp").unionByName(edge_label)
-    by_point = cored.select("id", "x").join(labelled, "id", "left").join(numbers, "comp", "left")
-    by_point = by_point.select(F.col("x"), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
-    return rows.join(by_point, "x").select(F.col("id").alias(id_col), "cluster")
+    return _renumbered(rows, cored, labelled, placed)
+
+
+# ---- DBSCAN in any number of dimensions --------------------------------------------------
+
+
+def _links(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest with the same components as the pairs of nodes ``near`` marks: every node that
+    has a pair, to the least node it reaches."""
+    rows, cols = near.any(1), near.any(0)
+    near, a, b = near[rows][:, cols], a[rows], b[cols]
+    if not near.size:
+        return a, a
+    top = np.iinfo(np.int64).max
+    left, right = a.copy(), b.copy()
+    while True:
+        new_right = np.minimum(right, np.where(near, left[:, None], top).min(0))
+        new_left = np.minimum(left, np.where(near, new_right[None, :], top).min(1))
+        if (new_left == left).all() and (new_right == right).all():
+            return np.concatenate([a, b]), np.concatenate([left, right])
+        left, right = new_left, new_right
+
+
+def _dbscan_cells(rows: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """On rows (id, x). Equal points are merged first and assigned to the leaves of a pivot index. A point
+    meets the leaves that reach within eps of it (its border copies); a leaf that lies within eps as a
+    whole is counted without looking at its points. A leaf no wider than eps with ``min_samples`` points
+    is all core and one node. Core points that meet link their nodes, a block pair giving a forest and
+    never all pairs; the components of the nodes are the clusters, merged over the shared points."""
+    points = rows.groupBy("x").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("n"))
+    points, leaves = index_points(write_once(points), 2, block_rows, fine=eps / 2)
+    dense = (2 * leaves.radius <= eps * (1 - 1e-9)) & (leaves.count >= min_samples)
+    spark = rows.sparkSession
+    flags = spark.createDataFrame([(i, bool(v)) for i, v in enumerate(dense)], "leaf int, dense boolean")
+    points = materialise(points.join(F.broadcast(flags), "leaf"))  # one row per leaf
+    near_pairs = lambda a, b: _near(a, b, eps)
+
+    def sure(d, arrays, here):
+        whole = (d + here.radius <= eps) & (here.count > 0)
+        q = np.flatnonzero(whole.any(1))
+        return q, np.zeros(len(q), np.int32), (whole * here.count)[q].sum(1).astype(np.int64)
+
+    # counts of points that no dense leaf makes core
+    asked = points.filter("not dense").select("key", "x")
+    certain = visit(asked, leaves, ["key"], sure, "around bigint").select("key", "around")
+    certain = materialise(certain)
+    open_ = materialise(asked.join(certain.filter(F.col("around") >= min_samples), "key", "left_anti"))
+
+    def undecided(d, arrays, here):
+        q, leaf = np.nonzero((d - here.radius <= eps) & (d + here.radius > eps) & (here.count > 0))
+        return q, leaf
+
+    def count(a, ours, b, theirs):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(ours["key"]), pa.array(near_pairs(a, b) @ theirs["n"])], names=["key", "around"])
+
+    counted = meet(visit(open_, leaves, ["key"], undecided), points, leaves, ["key"], ["n"], count, "key bigint, around bigint", block_rows)
+    core_keys = certain.unionByName(counted).groupBy("key").agg(F.sum("around").alias("around")).filter(F.col("around") >= min_samples).select("key")
+    core_keys = core_keys.unionByName(points.filter("dense").select("key"))
+    core = points.join(core_keys, "key").withColumnRenamed("leaf", "home")
+    named = core.groupBy("home").agg(F.min("key").alias("least"))
+    core = materialise(core.join(F.broadcast(named), "home").withColumn("node", F.when(F.col("dense"), F.col("least")).otherwise(F.col("key"))))
+    node_of = {r["home"]: r["least"] for r in named.filter(F.col("home").isin([int(i) for i in np.flatnonzero(dense)])).collect()} if dense.any() else {}
+    nodes = np.array([node_of.get(i, -1) for i in range(len(dense))], np.int64)  # of dense leaves
+
+    # links: each pair of leaves is met from the later one
+    def touching(d, arrays, here):
+        home = arrays["home"][:, None]
+        later = np.arange(len(here.count))[None, :] <= home
+        homes, at = np.unique(home[:, 0], return_inverse=True)
+        gap = np.sqrt(np.maximum((here.pivots[homes] ** 2).sum(1)[:, None] + (here.pivots**2).sum(1)[None, :] - 2 * here.pivots[homes] @ here.pivots.T, 0))
+        joined = (dense[homes][:, None] & dense[None, :] & (gap + here.radius[homes][:, None] + here.radius[None, :] <= eps))[at]
+        own = dense[None, :] & (np.arange(len(here.count))[None, :] == home)
+        q, leaf = np.nonzero(later & ~own & (d - here.radius <= eps) & (here.count > 0))
+        known = np.where(dense[leaf] & (joined[q, leaf] | (d[q, leaf] + here.radius[leaf] <= eps)), nodes[leaf], -1)
+        return q, leaf, known
+
+    cored = core.select("key", "x", "home", "node")
+    met = materialise(visit(cored, leaves, ["key", "home", "node"], touching, "known bigint"))
+
+    def link(a, ours, b, theirs):
+        import pyarrow as pa
+
+        u, v = _links(near_pairs(a, b), ours["node"], theirs["node"])
+        differ = u != v
+        return pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], names=["a", "b"])
+
+    members = core.select(F.col("home").alias("leaf"), "block", "x", "key", "node")
+    found = meet(met.filter("known < 0"), members, leaves, ["node"], ["node"], link, "a bigint, b bigint", block_rows)
+    edges = found.unionByName(met.filter("known >= 0").select(F.col("node").alias("a"), F.col("known").alias("b"))).filter("a <> b").distinct()
+    comps = materialise(connected_components(core.select("node").distinct(), materialise(edges)))
+    placed = core.join(comps, "node").select(F.col("key").alias("id"), F.col("home").alias("leaf"), "block", "x", "comp")
+    placed = materialise(placed)
+
+    # border points
+    border = points.join(core.select("key"), "key", "left_anti").select("key", "x")
+
+    def reaching(d, arrays, here):
+        return np.nonzero((d - here.radius <= eps) & (here.count > 0))
+
+    def smallest(a, ours, b, theirs):
+        import pyarrow as pa
+
+        near = near_pairs(a, b)
+        some = near.any(1)
+        comp = np.where(near[some], theirs["comp"][None, :], np.iinfo(np.int64).max).min(1) if some.any() else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ours["key"][some]), pa.array(comp)], names=["id", "comp"])
+
+    reached = meet(visit(border, leaves, ["key"], reaching), placed, leaves, ["key"], ["comp"], smallest, "id bigint, comp bigint", block_rows)
+    labelled = placed.select("id", "comp").unionByName(reached.groupBy("id").agg(F.min("comp").alias("comp")))
+    return _renumbered(rows, points.select(F.col("key").alias("id"), "x"), labelled, comps)
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Whether rows of the two matrices are within eps, decided by the plain sum of squares where the
+    matrix form is in doubt."""
+    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
+    limit = float(eps) * float(eps)
+    out = sq <= limit
+    doubt = 1e-9 * (1.0 + (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
+    q, c = np.nonzero(np.abs(sq - limit) <= doubt)
+    out[q, c] = ((a[q] - b[c]) ** 2).sum(1) <= limit
+    return out

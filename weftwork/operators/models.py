@@ -228,43 +228,69 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
 # ---- k nearest neighbours ----------------------------------------------------------------
 
 
+def knn_votes(near: DataFrame, train: DataFrame, id_col: str, label: str, settings: Sequence[tuple[int, str]]) -> DataFrame:
+    """(id, k, weights, predicted) for every (k, kind of vote) from one search (ties: smallest class).
+
+    With ``distance`` votes count 1/d; rows at distance 0 then decide alone.
+    """
+    labels = train.select(F.col(id_col).alias("neighbour"), F.col(label).alias("_y"))
+    zero = F.min("distance").over(Window.partitionBy(id_col)) == 0  # the rows of one query
+    votes = near.withColumn("_z", zero).join(labels, "neighbour")
+    close = F.when(F.col("_z"), (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
+    cast = F.array(*[
+        F.when(F.col("rank") <= k, F.struct(F.lit(int(k)).alias("k"), F.lit(w).alias("weights"), (close if w == "distance" else F.lit(1.0)).alias("w"))) for k, w in settings
+    ])
+    votes = votes.select(id_col, "_y", F.explode(cast).alias("_v")).filter("_v is not null")
+    tally = votes.groupBy(id_col, "_v.k", "_v.weights", "_y").agg(F.round(F.sum("_v.w"), 9).alias("_s"))
+    best = tally.groupBy(id_col, "k", "weights").agg(F.max(F.struct("_s", (-F.col("_y")).alias("y"))).alias("b"))
+    return best.select(id_col, "k", "weights", (-F.col("b.y")).cast("int").alias("predicted"))
+
+
 def knn_predict(train: DataFrame, queries: DataFrame, id_col: str, label: str, features: str, k: int = 5, weights: str = "uniform", p: int = 2,
                 exclude_self: bool = False) -> DataFrame:
-    """(id, predicted) by vote of the k nearest training rows (ties: smallest class).
+    """(id, predicted) by vote of the k nearest training rows, see ``knn_votes``.
 
-    With ``weights='distance'`` votes count 1/d; rows at distance 0 then decide alone.
     ``exclude_self`` leaves a query's own row out, for scoring the training rows themselves.
     """
     near = nearest_rows(queries, train, id_col, features, k, p, exclude_self)
-    labels = train.select(F.col(id_col).alias("neighbour"), F.col(label).alias("_y"))
-    votes = near.join(labels, "neighbour")
-    if weights == "distance":
-        zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(id_col))  # k rows per query
-        votes = votes.withColumn("_z", zero)
-        w = F.when(F.col("_z") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
-    else:
-        w = F.lit(1.0)
-    tally = votes.withColumn("_w", w).groupBy(id_col, "_y").agg(F.round(F.sum("_w"), 9).alias("_s"))
-    best = tally.groupBy(id_col).agg(F.max(F.struct("_s", (-F.col("_y")).alias("y"))).alias("b"))
-    return best.select(id_col, (-F.col("b.y")).cast("int").alias("predicted"))
+    return knn_votes(near, train, id_col, label, [(k, weights)]).select(id_col, "predicted")
 
 
-def search_knn(df: DataFrame, id_col: str, label: str, features: str, fold: str, ks: Sequence[int], weights: Sequence[str] = ("uniform",), p: int = 2) -> DataFrame:
-    """(k, weights, f1, std): F1 of class 1 over the folds, for each number of neighbours and kind of
-    vote; every fold is predicted from the others."""
-    data = write_once(df.select(id_col, fold, label, features))
-    out = None
-    for f in [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]:
+def standardised(train: DataFrame, others: Sequence[DataFrame], features: str) -> list[DataFrame]:
+    """``train`` and the others with an array column scaled by the means and population deviations
+    of ``train``; constant places become 0."""
+    v = array_to_vector(F.col(features).cast("array<double>"))
+    row = train.agg(vector_to_array(Summarizer.mean(v)).alias("m"), vector_to_array(Summarizer.variance(v)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    shrink = max(row["n"] - 1, 0) / max(row["n"], 1)
+    scale = [(float(m), float(np.sqrt(s * shrink)) or 1.0) for m, s in zip(row["m"], row["s"])]
+    place = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in scale])
+    scaled = F.zip_with(F.col(features).cast("array<double>"), place, lambda x, c: (x - c["m"]) / c["s"])
+    return [d.withColumn(features, scaled) for d in (train, *others)]
+
+
+def search_knn(df: DataFrame, id_col: str, label: str, features: str, fold: str, ks: Sequence[int], weights: Sequence[str] = ("uniform",), p: Sequence[int] = (2,), scale: bool = False) -> DataFrame:
+    """(k, weights, p, f1, std): F1 of class 1 over the folds for each number of neighbours, kind of vote
+    and distance; every fold is predicted from the others, by one search for the largest number.
+    ``scale``: features are standardised by the training rows of each fold."""
+    data = write_once(df.select(id_col, fold, label, features), by=[fold])
+    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
+    settings = [(k, w) for k in ks for w in weights]
+
+    def one(task):
+        f, dist = task
         train, held = data.filter(F.col(fold) != f), data.filter(F.col(fold) == f)
-        for k in ks:
-            for w in weights:
-                found = knn_predict(train, held, id_col, label, features, k, w, p).join(held.select(id_col, F.col(label).alias("_y")), id_col)
-                part = found.select(F.lit(int(k)).alias("k"), F.lit(w).alias("weights"), F.lit(f).alias("_f"), "_y", "predicted")
-                out = part if out is None else out.unionByName(part)
-    hit = F.sum(((F.col("_y") == 1) & (F.col("predicted") == 1)).cast("int"))
-    named = F.sum((F.col("_y") == 1).cast("int")) + F.sum((F.col("predicted") == 1).cast("int"))
-    each = out.groupBy("k", "weights", "_f").agg((2.0 * hit / F.greatest(named, F.lit(1))).alias("_s"))
-    return each.groupBy("k", "weights").agg(F.avg("_s").alias("f1"), F.stddev_pop("_s").alias("std"))
+        if scale:
+            train, held = (write_once(d) for d in standardised(train, [held], features))
+        near = write_once(nearest_rows(held, train, id_col, features, max(ks), dist))
+        found = knn_votes(near, train, id_col, label, settings).join(held.select(id_col, F.col(label).alias("_y")), id_col)
+        hit = F.sum(((F.col("_y") == 1) & (F.col("predicted") == 1)).cast("int"))
+        named = F.sum((F.col("_y") == 1).cast("int")) + F.sum((F.col("predicted") == 1).cast("int"))
+        each = found.groupBy("k", "weights").agg((2.0 * hit / F.greatest(named, F.lit(1))).alias("s"))
+        return [(r["k"], r["weights"], dist, r["s"]) for r in each.collect()]  # a row for each setting
+
+    scores = concurrently(df.sparkSession, one, [(f, d) for d in p for f in folds], 2)
+    out = df.sparkSession.createDataFrame([r for part in scores for r in part], "k int, weights string, p int, s double")
+    return out.groupBy("k", "weights", "p").agg(F.avg("s").alias("f1"), F.stddev_pop("s").alias("std"))
 
 
 # ---- AdaBoost ----------------------------------------------------------------------------
