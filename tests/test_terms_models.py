@@ -283,13 +283,38 @@ def test_many_clusters_give_the_same_silhouettes_and_centres(blobs, monkeypatch)
     few = {r["id"]: r["silhouette"] for r in evaluate.silhouette_rows(df, "id", "c", "x").collect()}
     centres = evaluate.cluster_sums(df, "c", "x").select("cluster", F.transform("s", lambda v: v / F.col("n")).alias("centre"))
     near = {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()}
+    worst = evaluate.davies_bouldin(df, "c", "x").first()[0]
     monkeypatch.setattr(evaluate, "MAX_CLUSTERS", 1)
     monkeypatch.setattr(clusters, "MAX_CENTRES", 1)
+    assert evaluate.davies_bouldin(df, "c", "x").first()[0] == pytest.approx(worst)
     many = {r["id"]: r["silhouette"] for r in evaluate.silhouette_rows(df, "id", "c", "x").collect()}
     assert many == pytest.approx(few, abs=1e-9) and len(many) == 41
     assert {r["id"]: (r["cluster"], round(r["distance"], 9)) for r in clusters.assign_nearest(df, centres, "id", "x").collect()} == near
 
 
+def test_no_plan_holds_two_blocks(spark):
+    """300 centres of 20 numbers in blocks bounded by rows and by bytes, against numpy."""
+    from weftwork.functions import frame
+
+    rng = np.random.default_rng(4)
+    x, m = rng.normal(0, 1, (50, 20)), rng.normal(0, 1, (300, 20))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cluster int, centre array<double>")
+    plans = []
+
+    def step(block, first):
+        plans.append(first)
+        gaps = F.transform(block, lambda c: F.aggregate(F.zip_with("x", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        return {"d": F.array_min(gaps) if first else F.least("d", F.array_min(gaps)), "met": (F.lit(0) if first else F.col("met")) + F.size(block)}
+
+    out = frame.over_blocks(rows, centres, "cluster", step, 120)
+    assert plans == [True, False, False]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list") <= 2  # the last block alone
+    found = {r["id"]: (r["d"], r["met"]) for r in out.collect()}
+    want = ((x[:, None] - m[None]) ** 2).sum(2).min(1)
+    assert all(abs(found[i][0] - want[i]) < 1e-9 and found[i][1] == 300 for i in range(50))
+
+
 def fold_counts(spark):
     rows = [(i, i // 2 % 2, float(i % 2), [("a", 2), ("b" if i % 2 else "c", 2), (f"fold{i // 2 % 2}", 1)]) for i in range(40)]
     return spark.createDataFrame(rows, "id long, fold int, label double, counts array<struct<term:string,n:bigint>>")

@@ -7,7 +7,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ArrayType, NumericType
+
+from weftwork.session import write_once
 
 
 def one_row(df: DataFrame) -> Column:
@@ -25,13 +27,29 @@ def numeric_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def with_blocks(rows: DataFrame, df: DataFrame, key: str, block: int) -> tuple[DataFrame, list[Column]]:
-    """``rows`` with all of ``df`` as array columns, in blocks of some ``block`` rows, so that none
-    sends more than that to a task; and those columns. ``key`` deals ``df`` out."""
-    blocks = -(-df.count() // block) or 1
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 8_000_000
+
+
+def over_blocks(rows: DataFrame, df: DataFrame, key: str, step: Callable[[Column, bool], dict[str, Column]], block_rows: int | None = None) -> DataFrame:
+    """``rows`` with what ``step`` gives for all of ``df``, a block at a time: it gets a block as an array
+    of structs and whether this is the first one, and returns columns, which later blocks refine.
+
+    A block has some BLOCK_ROWS rows and BLOCK_BYTES bytes; ``key`` deals ``df`` out. No plan holds two
+    blocks: between them ``rows`` are written with the columns carried so far.
+    """
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.size(c)).alias(c) for c in arrays]).first()
+    width = 8 * (len(df.columns) + sum(sizes[c] or 0 for c in arrays))
+    each = max(1, min(block_rows or BLOCK_ROWS, BLOCK_BYTES // width))
+    blocks = -(-sizes["n"] // each) or 1
     part = F.pmod(F.xxhash64(key), F.lit(blocks))
-    arrays = {f"_block{i}": one_row(df.filter(part == i).agg(F.collect_list(F.struct(*df.columns)).alias("c")))["c"] for i in range(blocks)}
-    return rows.withColumns(arrays), [F.col(name) for name in arrays]
+    for i in range(blocks):
+        if i:
+            rows = write_once(rows)
+        one = one_row(df.filter(part == i).agg(F.collect_list(F.struct(*df.columns)).alias("c")))["c"]
+        rows = rows.withColumn("_block", one)
+        rows = rows.withColumns(step(F.col("_block"), not i)).drop("_block")
+    return rows
 
 
 def concurrently(spark: SparkSession, one: Callable, items: Sequence, parallelism: int = 4) -> list:

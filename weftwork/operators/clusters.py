@@ -12,12 +12,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftwork.functions.frame import concurrently, with_blocks
+from weftwork.functions.frame import concurrently, over_blocks
 from weftwork.operators.neighbors import BLOCK_ROWS, index_points, meet, numbered, visit
 from weftwork.operators.scan import number_rows
 from weftwork.session import materialise, write_once
 
-MAX_CENTRES = 10_000
+MAX_CENTRES = 10_000  # in one block
 FIRST_SPLIT = 8  # sub-cells per cell side
 PAIR_LIMIT = 10_000  # points of two sub-cells compared one by one
 
@@ -49,14 +49,17 @@ def fit_hierarchical(df: DataFrame, k: int, seed: int = 42):
 def assign_nearest(df: DataFrame, centres: DataFrame, id_col: str, features: str) -> DataFrame:
     """(id, cluster, distance) of the nearest centre (cluster, centre); ties to the smallest cluster.
 
-    Centres travel as arrays, in blocks of MAX_CENTRES.
+    Centres travel as arrays, in blocks of bounded size, a pass over the rows for each.
     """
     packed = write_once(centres.select("cluster", F.col("centre").cast("array<double>").alias("m")))
-    rows, blocks = with_blocks(df.select(id_col, F.col(features).cast("array<double>").alias("_x")), packed, "cluster", MAX_CENTRES)
+    rows = df.select(id_col, F.col(features).cast("array<double>").alias("_x"))
     gap = lambda m: F.aggregate(F.zip_with(F.col("_x"), m, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-    near = [F.array_min(F.transform(c, lambda c: F.struct(gap(c["m"]).alias("d"), c["cluster"].alias("cluster")))) for c in blocks]
-    best = near[0] if len(near) == 1 else F.least(*near)
-    return rows.withColumn("_b", best).select(id_col, F.col("_b.cluster").alias("cluster"), F.sqrt("_b.d").alias("distance"))
+
+    def step(block, first):
+        near = F.array_min(F.transform(block, lambda c: F.struct(gap(c["m"]).alias("d"), c["cluster"].alias("cluster"))))
+        return {"_b": near if first else F.least("_b", near)}
+
+    return over_blocks(rows, packed, "cluster", step, MAX_CENTRES).select(id_col, F.col("_b.cluster").alias("cluster"), F.sqrt("_b.d").alias("distance"))
 
 
 # ---- DBSCAN ------------------------------------------------------------------------------

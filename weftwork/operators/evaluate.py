@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import one_row, with_blocks
+from weftwork.functions.frame import one_row, over_blocks
 from weftwork.operators.encode import vector
 from weftwork.operators.groups import group_mode
 from weftwork.operators.scan import prefix_scan
@@ -172,17 +172,19 @@ def silhouette_rows(df: DataFrame, id_col: str, cluster: str, features: str) ->
     """Silhouette per row with squared Euclidean distances, linear in the number of rows.
 
     Mean squared distance to a cluster follows from its size, sum vector and sum of squared
-    norms, so no pair of rows is ever formed. Clusters travel as arrays, in blocks of MAX_CLUSTERS.
+    norms, so no pair of rows is ever formed. Clusters travel as arrays, in blocks
+    of bounded size, a pass over the rows for each.
     """
     rows = df.select(id_col, F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("_x"))
     rows = rows.withColumn("_q", F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))
-    rows, blocks = with_blocks(rows, write_once(cluster_sums(df, cluster, features)), "cluster", MAX_CLUSTERS)
     distance = lambda c: c["n"] * F.col("_q") + c["q"] - 2.0 * _dot(F.col("_x"), c["s"])
-    owns, others = [], []
-    for block in blocks:
-        owns.append(F.get(F.transform(F.filter(block, lambda c: c["cluster"] == F.col("cluster")), lambda c: F.struct(c["n"].alias("n"), distance(c).alias("d"))), F.lit(0)))
-        others.append(F.array_min(F.transform(F.filter(block, lambda c: c["cluster"] != F.col("cluster")), lambda c: distance(c) / c["n"])))
-    rows = rows.withColumns({"_own": F.coalesce(*owns), "_b": others[0] if len(others) == 1 else F.least(*others)})
+
+    def step(block, first):
+        own = F.get(F.transform(F.filter(block, lambda c: c["cluster"] == F.col("cluster")), lambda c: F.struct(c["n"].alias("n"), distance(c).alias("d"))), F.lit(0))
+        other = F.array_min(F.transform(F.filter(block, lambda c: c["cluster"] != F.col("cluster")), lambda c: distance(c) / c["n"]))
+        return {"_own": own if first else F.coalesce("_own", own), "_b": other if first else F.least("_b", other)}
+
+    rows = over_blocks(rows, write_once(cluster_sums(df, cluster, features)), "cluster", step, MAX_CLUSTERS)
     rows = rows.withColumns({"_n": F.col("_own.n"), "_a": F.col("_own.d") / F.greatest(F.col("_own.n") - 1, F.lit(1))})
     s = (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")
     return rows.select(id_col, "cluster", F.when((F.col("_n") > 1) & (F.greatest("_a", "_b") > 0), s).otherwise(F.lit(0.0)).alias("silhouette"))
@@ -200,17 +202,13 @@ def davies_bouldin(df: DataFrame, cluster: str, features: str) -> DataFrame:
         F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
     )
     scatter = write_once(rows.groupBy("cluster").agg(F.avg(gap(F.col("_x"), F.col("m"))).alias("scatter")).join(centres, "cluster"))
-    pairs, blocks = with_blocks(scatter, scatter, "cluster", MAX_CLUSTERS)
-    worst = [
-        F.array_max(
-            F.transform(
-                F.filter(block, lambda o: o["cluster"] != F.col("cluster")),
-                lambda o: (F.col("scatter") + o["scatter"]) / gap(F.col("m"), o["m"]),
-            )
-        )
-        for block in blocks
-    ]
-    return pairs.select((worst[0] if len(worst) == 1 else F.greatest(*worst)).alias("w")).agg(F.avg("w").alias("davies_bouldin"))
+
+    def step(block, first):
+        others = F.filter(block, lambda o: o["cluster"] != F.col("cluster"))
+        worst = F.array_max(F.transform(others, lambda o: (F.col("scatter") + o["scatter"]) / gap(F.col("m"), o["m"])))
+        return {"w": worst if first else F.greatest("w", worst)}
+
+    return over_blocks(scatter, scatter, "cluster", step, MAX_CLUSTERS).agg(F.avg("w").alias("davies_bouldin"))
 
 
 def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:

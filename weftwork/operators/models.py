@@ -25,7 +25,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftwork.functions.frame import concurrently, one_row, with_blocks
+from weftwork.functions.frame import concurrently, one_row, over_blocks
 from weftwork.operators import evaluate
 from weftwork.operators.neighbors import nearest_rows
 from weftwork.operators.sgd import fit_sgd_grid
@@ -212,7 +212,6 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
         F.transform("s", lambda x: x * (F.col("n") - 1) / F.col("n") + eps).alias("s"),
     )
     rows = queries.select(id_col, F.col(features).cast("array<double>").alias("_x"))
-    rows, blocks = with_blocks(rows, write_once(stats), "c", MAX_CLASSES)
 
     def log_density(k: Column) -> Column:
         parts = F.zip_with(
@@ -220,9 +219,12 @@ def gaussian_nb_predict(train: DataFrame, queries: DataFrame, id_col: str, label
         )
         return k["prior"] - 0.5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
-    tops = [F.array_max(F.transform(k, lambda k: F.struct(log_density(k).alias("l"), (-k["c"]).alias("c")))) for k in blocks]
-    best = tops[0] if len(tops) == 1 else F.greatest(*tops)
-    return rows.select(id_col, (-best["c"]).cast("int").alias("predicted"))
+    def step(block: Column, first: bool) -> dict[str, Column]:
+        top = F.array_max(F.transform(block, lambda k: F.struct(log_density(k).alias("l"), (-k["c"]).alias("c"))))
+        return {"_best": top if first else F.greatest("_best", top)}
+
+    scored = over_blocks(rows, write_once(stats), "c", step, MAX_CLASSES)
+    return scored.select(id_col, (-F.col("_best.c")).cast("int").alias("predicted"))
 
 
 # ---- k nearest neighbours ----------------------------------------------------------------
