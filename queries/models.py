@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queries.registry import SEED, query, r, rounded, sr, t, texts
 from queries.terms import PLAIN, WB_GRAMS
 from weftwork.functions import text as T
-from weftwork.operators import clusters, combine, models, split, terms
+from weftwork.operators import clusters, combine, models, split, terms, tuning
 from weftwork.operators.encode import vector
 from weftwork.operators.textfeat import text_features
 from weftwork.operators.vectorize import TermVectorizer
@@ -342,6 +342,13 @@ def k20(spark, root):
     return rounded(models.search_table(cv, d), "mean", "std")
 
 
+@query("k20_successive_halving")
+def k20_halving(spark, root):
+    d = two_classes(spark, root).withColumn("fold", (F.col("vec_id") % 2).cast("int"))
+    space = {"depth": (1, 4, "int"), "step": (0.05, 0.9, "log")}
+    return rounded(tuning.successive_halving(d, space, "fold", draws=6, first=2, most=6, seed=SEED).table(d), "mean", "std")
+
+
 @query("k21_kmeans")
 def k21(spark, root):
     d = ten_classes(spark, root)

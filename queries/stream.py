@@ -35,7 +35,6 @@ def m01(spark, root):
 def m02(spark, root):
     path = folder(spark, "rollup")
     summary = metrics.metric_rollup(replay(spark, root), "ts", "event_type", "value", "6 hours", late="1 day")
-    writer = summary.writeStream.outputMode("complete").option("checkpointLocation", folder(spark, "rollup-state"))
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(path)
+    metrics.rollup_sink(summary, path, folder(spark, "rollup-state")).awaitTermination()
+    out = metrics.rollup_view(spark, path, t(spark, root, "events"), "ts", "event_type", "value", "6 hours")
     return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), "mean", "min", "max", digits=9)
