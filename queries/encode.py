@@ -16,6 +16,15 @@ def j01(spark, root):
     return encode.one_hot(t(spark, root, "documents").select("doc_id", "lang"), "lang", "lang").drop("lang")
 
 
+@query("j01_one_hot_vector", """
+SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS place, 1.0::DOUBLE AS value, (SELECT count(DISTINCT o_custkey) FROM orders)::INTEGER AS size FROM orders""")
+def j01_vector(spark, root):
+    """A column of as many values as there are customers."""
+    d = encode.one_hot_vector(t(spark, root, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "customer")
+    v = F.unwrap_udt("customer")
+    return d.select("o_orderkey", v["indices"][0].cast("bigint").alias("place"), v["values"][0].alias("value"), v["size"].alias("size"))
+
+
 @query("j02_label_encode", """
 SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code, o_orderpriority AS back FROM orders""")
 def j02(spark, root):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queries.registry import SEED, query, r, rounded, sr, t, texts
 from queries.terms import PLAIN, WB_GRAMS
 from weftwork.functions import text as T
-from weftwork.operators import clusters, combine, models, split, terms, tuning
+from weftwork.operators import clusters, combine, hierarchy, kernels, models, split, terms, tuning
 from weftwork.operators.encode import vector
 from weftwork.operators.textfeat import text_features
 from weftwork.operators.vectorize import TermVectorizer
@@ -64,7 +64,15 @@ def k02_classes(spark, root):
 @query("k03_poly_svm")
 def k03(spark, root):
     d = two_classes(spark, root)
-    return scored(models.fit_poly_svm(d, 2, 1.0, 6, max_iter=20), d)
+    model, prepare = kernels.fit_kernel_svm(d, "vec_id", "poly", degree=3, coef0=1.0, landmarks=128, seed=SEED, max_iter=20)
+    return scored(model, prepare(d))
+
+
+@query("k04_rbf_svm_landmarks")
+def k04_landmarks(spark, root):
+    d = two_classes(spark, root)
+    model, prepare = kernels.fit_kernel_svm(d, "vec_id", "rbf", landmarks=128, seed=SEED, max_iter=20)
+    return scored(model, prepare(d))
 
 
 @query("k04_rbf_svm")
@@ -366,6 +374,18 @@ def k23(spark, root):
     return clusters.fit_hierarchical(d, 10, SEED).transform(d).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+@query("k23_ward")
+def k23_ward(spark, root):
+    d = t(spark, root, "embeddings")
+    return hierarchy.ward(d, "vec_id", "embedding").cut(10)
+
+
+@query("k23_dendrogram")
+def k23_dendrogram(spark, root):
+    d = t(spark, root, "embeddings")
+    return rounded(hierarchy.ward(d, "vec_id", "embedding").dendrogram(), "height", digits=4)
+
+
 @query("k24_dbscan", """
 WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 near AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.03::DOUBLE * 0.03::DOUBLE),

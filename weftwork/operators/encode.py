@@ -10,16 +10,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.operators.quantiles import number
 from weftwork.operators.scan import number_rows
+from weftwork.session import write_once
 
 MAX_COLUMNS = 10_000
 
 
+def one_hot_vector(df: DataFrame, col: str, name: str, codes: DataFrame | None = None) -> DataFrame:
+    """A vector column with a 1 at the place of the row's value, for any number of values: values are
+    numbered over ranges and joined, and no list of them is ever built. Null, and a value that is not in
+    ``codes``, gives a vector of zeros. The size is the number of codes."""
+    import numpy as np
+
+    from weftwork.operators.vectorize import sparse_column, with_column
+
+    codes = write_once(label_codes(df, col) if codes is None else codes)
+    size = codes.count()
+    placed = label_encode(df, col, "_code", codes)
+
+    def add(batch):
+        code = batch.column(batch.schema.get_field_index("_code")).fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(code >= 0)])
+        return sparse_column(size, starts, code[code >= 0], np.ones(int(starts[-1])))
+
+    return with_column(placed, name, add).select(*df.columns, name)
+
+
 def one_hot(df: DataFrame, col: str, prefix: str, values: Sequence | None = None) -> DataFrame:
-    """One boolean column ``prefix_value`` per value, in value order."""
+    """One boolean column ``prefix_value`` per value, in value order. A plan has room for MAX_COLUMNS of
+    them; ``one_hot_vector`` takes any number of values."""
     if values is None:
         rows = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(MAX_COLUMNS + 1).collect()
         if len(rows) > MAX_COLUMNS:
-            raise ValueError(f"{col} has more than {MAX_COLUMNS} values; cap them first")
+            raise ValueError(f"{col} has more than {MAX_COLUMNS} values; use one_hot_vector")
         values = sorted(r[0] for r in rows)
     return df.withColumns({f"{prefix}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in values})
 
