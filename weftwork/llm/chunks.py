@@ -6,9 +6,11 @@ import sys
 from itertools import chain, repeat
 
 import numpy as np
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Chunks a worker keeps at most; beyond that its table starts anew.
-CHUNKS = 800_000
+#: Chunks, and characters of chunks, that a worker keeps at most; beyond that its table starts anew.
+CHUNKS, CHARACTERS = 800_000, 16_000_000
 
 
 class ChunkTable:
@@ -22,6 +24,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.characters = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -37,11 +40,12 @@ class ChunkTable:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.index.update(zip(chunks, range(n, n + m)))
+        self.characters += sum(map(len, chunks))
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
         chunks = list(chain.from_iterable(texts))
-        if len(self.index) > CHUNKS:
+        if len(self.index) > CHUNKS or self.characters > CHARACTERS:
             self.clear()
         rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(rows < 0)
@@ -65,6 +69,29 @@ def per_worker(key: str, make):
     return state[key]
 
 
+def share(spark: SparkSession, thing) -> Broadcast:
+    """Broadcast an object of this package by value, so that workers need not find the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def open_shared(shared: Broadcast):
+    """The object of ``share``; a worker process unpacks it once and keeps the last one."""
+    import pickle
+
+    kept, data = per_worker("shared", dict), shared.value
+    if kept.get("data") != data:
+        kept.update(thing=pickle.loads(data), data=data)
+    return kept["thing"]
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids`` (one column), whatever the columns are called;
+    a null id is compared as a value."""
+    gone = ids.toDF("_gone").distinct().select(F.struct(F.col("_gone").alias("id")).alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.struct(F.col(f"`{id_col}`").alias("id")).alias("_id"))
+    return rows.join(gone, F.col("_id.id").eqNullSafe(F.col("_gone.id")), "left_anti").select("_row.*")
+
+
 def grouped(texts, words: int = 200_000):
     """Consecutive lists of texts with some ``words`` * 6 characters each, for steady memory."""
     group, size = [], 0

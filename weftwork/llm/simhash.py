@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftwork.llm.chunks import without
 from weftwork.llm.components import components
 from weftwork.session import write_once
 
@@ -165,5 +166,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id names their component, with all their columns; a component of
     null ids only stays."""
     found = simhash_components(docs, id_col, text_col, words, max_bits)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, id_col, found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col))

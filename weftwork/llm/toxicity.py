@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftwork.llm.chunks import open_shared, share
+
 
 @dataclass
 class Settings:
@@ -77,16 +79,19 @@ class Model:
 
 def document_scorer(model: Model):
     """A function from a text to its score; words already seen are looked up."""
-    s, known = model.settings, {}
+    s, known, held = model.settings, {}, [0]  # characters of the words kept
     low, high = s.grams
 
     def score(text: str | None) -> float:
         words = split_words(text)
         if not words:
             return model.prior
-        if len(known) > 400_000:
+        new = set(words).difference(known)
+        if len(known) > 400_000 or held[0] > 16_000_000:
             known.clear()
-        for w in set(words).difference(known):
+            held[0], new = 0, set(words)
+        held[0] += sum(map(len, new))
+        for w in new:
             known[w] = float(model.logits[word_buckets(w, s.buckets, low, high)].mean())
         values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         means = _window_sums(values, s.window)
@@ -267,11 +272,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score of each row's whole text; null and empty texts get the prior."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = document_scorer(shared.value)
+        scorer = document_scorer(open_shared(shared))
         for batch in texts:
             yield pd.Series([scorer(t) for t in batch], dtype="float64")
 
@@ -296,4 +301,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with all their columns."""
     model = fit_model(docs, labels, id_col, text_col, label_col, settings)
-    return docs.withColumn("__score", score_column(docs, model, text_col)).filter("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(score_column(docs, model, text_col) < 0.5)

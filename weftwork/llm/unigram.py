@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from weftwork.llm.chunks import ChunkTable, grouped, per_worker
+from weftwork.llm.chunks import ChunkTable, grouped, open_shared, per_worker, share
 
 MARK = "▁"
 #: Stands for a marker of the text itself while a chunk is encoded; no UTF-8 text has this byte.
@@ -196,13 +196,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """One row per row of ``docs``: id, ``ids`` (array of int), and the ``carry`` columns.
     Null and empty texts have no ids. Whole texts, whatever their length. ``verify`` decodes the ids
     again and adds ``round_trip``, whether they give the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
 
     def batches(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = per_worker(f"unigram {shared.value.path}", lambda: Encoder(shared.value))
-        decoder = per_worker(f"unigram decoder {shared.value.path}", lambda: Decoder(shared.value)) if verify else None
+        words = open_shared(shared)
+        encoder = per_worker(f"unigram {words.path}", lambda: Encoder(words))
+        decoder = per_worker(f"unigram decoder {words.path}", lambda: Decoder(words)) if verify else None
         for batch in it:
             rows = 0
             for group in grouped([b.decode("utf-8", "replace") if b else "" for b in batch.column(0).to_pylist()]):
@@ -226,12 +227,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, carry: list[str], ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: the ``carry`` columns and ``decoded``; no ids: empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(encoded.sparkSession, vocabulary)
 
     def batches(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        decoder = per_worker(f"unigram decoder {shared.value.path}", lambda: Decoder(shared.value))
+        words = open_shared(shared)
+        decoder = per_worker(f"unigram decoder {words.path}", lambda: Decoder(words))
         for batch in it:
             lists = batch.column(0)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
