@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns with clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,3 +372,39 @@ def test_stages_on_edges(spark, docs, root):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, kept, root).count() >= 0
         assert stage(spark, kept.filter("doc_id = -1"), root).count() == 0
+
+
+def test_filters_take_any_column_names(spark):
+    """Columns named like the filters' own, and like one another, stay what they are."""
+    from weftwork.llm.simhash import drop_near_copies
+    from weftwork.llm.toxicity import drop_toxic
+
+    rows = [(1, "one two three four five six seven", 0.1, "x"), (2, "one two three four five six seven", 0.2, "y"), (None, "something else altogether here", 0.3, "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __score double, __gone string").withColumns({n: F.lit(n) for n in ("_id", "_row", "_gone", "a.b", "__id", "__text", "fp")})
+    bench = spark.createDataFrame([(1, "five six seven eight nine ten eleven")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int")
+    near, clean, kind = drop_near_copies(df), drop_contaminated(df, bench), drop_toxic(df, labels)
+    assert near.columns == clean.columns == kind.columns == df.columns
+    assert sorted(r["__gone"] for r in near.collect()) == ["x", "z"]
+    assert clean.count() == 3 and sorted(r["__score"] for r in kind.collect()) == [0.1, 0.2, 0.3]
+
+
+def test_scripts_without_spaces(spark):
+    from weftwork.llm.decontaminate import short_items
+
+    item = "敏捷的棕色狐狸跳过了懒狗的背"
+    bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"前言{item}后记"), (2, f"x {item[:5]}白{item[6:]} y"), (3, "敏捷的狐狸")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.edits for r in contamination(docs, bench).collect()} == {(1, 1): 0, (2, 1): 1}
+    assert sorted(r.item_id for r in short_items(bench).collect()) == [2, 3]
+
+
+def test_tables_of_chunks_are_bounded_in_characters(monkeypatch):
+    from weftwork.llm import chunks
+
+    monkeypatch.setattr(chunks, "CHARACTERS", 1000)
+    table = chunks.ChunkTable(lambda new: (new, np.zeros(sum(map(len, new)), np.int32), np.array([len(c) for c in new])))
+    for i in range(50):
+        ids, sizes = table.encode([[f"{i:04d}" * 100], ["x"]])
+        assert sizes.tolist() == [400, 1] and len(ids) == 401
+        assert table.characters <= 1000 + 401

@@ -170,3 +170,17 @@ def test_pipeline(spark, root, docs):
             assert df.columns == columns
         before = {d: t for d, t in before.items() if d in kept}
     assert corpus_pipeline.run(spark, root).count() == len(before)
+
+
+def test_token_files_read_names_of_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from weftwork.llm.token_files import read_tokens, write_tokens
+
+    path = registered.tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|>  ", "x<|endoftext|><|endoftext|> y z", "plain <|endof text", None, "", "a" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    write_tokens(df, f"{tmp_path}/files", path, end_id=0)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read_tokens(spark, f"{tmp_path}/files").collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}

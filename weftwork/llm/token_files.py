@@ -150,7 +150,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # names of added tokens are matched before a text is cut, so a text with one stays whole
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a byte-level token has one character for each byte
         self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.table = ChunkTable(self._encode_many)
@@ -179,7 +180,10 @@ class Tokens:
         return first + rest, ids, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.encode([split_chunks(t) if t else [] for t in texts])
+        return self.table.encode([self._cut(t) if t else [] for t in texts])
+
+    def _cut(self, text: str) -> list[str]:
+        return [_START + text] if any(n in text for n in self.names) else split_chunks(text)
 
 
 def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
