@@ -10,9 +10,9 @@ import pyspark
 REPO = Path(__file__).resolve().parents[1]
 
 
-def run(code: str, cwd: Path, **env) -> str:
+def run(code: str, cwd: Path, timeout: int = 300, **env) -> str:
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | env
-    done = subprocess.run([sys.executable, "-c", code], cwd=cwd, env=clean, capture_output=True, text=True, timeout=300)
+    done = subprocess.run([sys.executable, "-c", code], cwd=cwd, env=clean, capture_output=True, text=True, timeout=timeout)
     assert done.returncode == 0, done.stderr[-2000:]
     return done.stdout
 
@@ -33,7 +33,8 @@ import sys
 sys.path.insert(0, {str(REPO)!r})
 import __spark_entry__ as e
 from weftwork.session import get_session
-spark = get_session("elsewhere", cores="2")
-print(e.queries()["k06_knn"](spark, {root!r}).count())
+spark = get_session("elsewhere", cores="4")
+for name in ("k06_knn", "k17_text_oof", "k24_dbscan_all_columns", "k23_ward", "k03_poly_svm", "k05_linear_hinge_l1", "j01_one_hot_vector"):
+    print(name, e.queries()[name](spark, {root!r}).count())
 """
-    assert int(run(code, tmp_path).split()[-1]) > 0
+    assert all(int(line.split()[1]) > 0 for line in run(code, tmp_path, timeout=900).splitlines()[-7:])
