@@ -95,9 +95,9 @@ dic AS (SELECT *, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FR
 
 
 def extremes(spark, root):
-    """(tokens of each document, written once; their counts; the number of documents)."""
-    d = write_once(kept_tokens(spark, root))
-    return d, terms.token_stats(d, "doc_id", F.col("tokens")), d.count()
+    """(token counts of each document, written once; their sums; the number of documents)."""
+    d = write_once(terms.run_lengths(kept_tokens(spark, root), ["doc_id"], F.col("tokens")))
+    return d, terms.token_stats(d, "doc_id", None), d.count()
 
 
 @query("i08_build_dictionary", f"WITH {DICT_SQL} SELECT token, df, cf, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM st")
@@ -115,7 +115,7 @@ def i09(spark, root):
 SELECT doc_id, token_id, n FROM dt JOIN dic ON dt.token = dic.token""")
 def i10(spark, root):
     d, stats, documents = extremes(spark, root)
-    bow = terms.doc2bow(d, "doc_id", F.col("tokens"), terms.kept_dictionary(stats, documents, 2, 0.8))
+    bow = terms.doc2bow(d, "doc_id", None, terms.kept_dictionary(stats, documents, 2, 0.8))
     return bow.select("doc_id", F.inline("bow"))
 
 
@@ -276,5 +276,5 @@ x AS (SELECT doc_id, b.token_id, n * idf AS w FROM b JOIN i ON b.token_id = i.to
 SELECT doc_id, token_id, {sr('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS tfidf FROM x""")
 def i19(spark, root):
     d, stats, documents = extremes(spark, root)
-    bow = terms.bag_of_words(d, "doc_id", F.col("tokens"), terms.kept_dictionary(stats, documents, 2, 0.8))
+    bow = terms.bag_of_words(d, "doc_id", None, terms.kept_dictionary(stats, documents, 2, 0.8))
     return rounded(terms.bow_tfidf(bow, documents, "doc_id"), "tfidf")

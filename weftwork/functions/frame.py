@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, NumericType
+from pyspark.sql.types import ArrayType, NumericType, StringType
 
 from weftwork.session import write_once
 
@@ -52,6 +52,18 @@ def over_blocks(rows: DataFrame, df: DataFrame, key: str, step: Callable[[Column
     return rows
 
 
+SMALL_BYTES = 16_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, written, and marked for broadcast if all its values take up SMALL_BYTES at most. A join on
+    a key that a large share of the other side has then moves nothing."""
+    df = write_once(df)
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if isinstance(f.dataType, StringType) else F.lit(16) for f in df.schema.fields), F.lit(0))
+    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def concurrently(spark: SparkSession, one: Callable, items: Sequence, parallelism: int = 4) -> list:
     """[one(item)] with several Spark jobs at a time."""
     with ThreadPool(max(min(parallelism, len(items)), 1)) as pool:

@@ -11,12 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.functions import text as T
-from weftwork.functions.frame import explode_rows, one_row
+from weftwork.functions.frame import broadcast_if_small, explode_rows, one_row
 from weftwork.operators.scan import number_rows, prefix_scan, top_rows
 from weftwork.session import write_once
 
-BROADCAST_TERMS = 500_000
-
 
 def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFrame:
     """(ids, counts: array of (term, n)) per row, counted inside the row without a shuffle."""
@@ -32,10 +30,11 @@ def run_lengths(df: DataFrame, id_cols: Sequence[str], tokens: Column) -> DataFr
     return rows.select(*id_cols, F.when(F.size("_at") > 0, counted).otherwise(none).alias("counts"))
 
 
-def document_terms(df: DataFrame, id_col: str, tokens: Column, once: bool = False) -> DataFrame:
-    """(id, term, n), one row of ``df`` being one document. ``once``: the counts of each row are
-    written and read again, for a result that several jobs or branches use."""
-    counted = run_lengths(df, [id_col], tokens)
+def document_terms(df: DataFrame, id_col: str, tokens: Column | None, once: bool = False) -> DataFrame:
+    """(id, term, n), one row of ``df`` being one document; without ``tokens``, ``df`` has the ``counts``
+    that ``run_lengths`` gives. ``once``: the counts of each row are written and read again, for a
+    result that several jobs or branches use."""
+    counted = df.select(id_col, "counts") if tokens is None else run_lengths(df, [id_col], tokens)
     rows = explode_rows(write_once(counted) if once else counted, [id_col], F.col("counts"), "c")
     return rows.select(id_col, "c.term", "c.n")
 
@@ -48,7 +47,7 @@ def group_terms(df: DataFrame, by: str, tokens: Column) -> DataFrame:
 # ---- dictionary and bag of words ---------------------------------------------------------
 
 
-def token_stats(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+def token_stats(df: DataFrame, id_col: str, tokens: Column | None) -> DataFrame:
     """(token, df, cf): documents holding the token and its total count; one shuffle on token."""
     return document_terms(df, id_col, tokens).groupBy(F.col("term").alias("token")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf")
@@ -74,17 +73,17 @@ def kept_dictionary(stats: DataFrame, documents: int, no_below: int = 2, no_abov
     return build_dictionary(_within(stats, documents, no_below, no_above)).filter(F.col("token_id") < keep_n)
 
 
-def doc2bow(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -> DataFrame:
+def doc2bow(df: DataFrame, id_col: str, tokens: Column | None, dictionary: DataFrame) -> DataFrame:
     """(id, bow: array of (token_id, n) by token_id) of documents with a dictionary token."""
     long = document_terms(df, id_col, tokens).withColumnRenamed("term", "token")
-    pairs = long.join(dictionary.select("token", "token_id"), "token")
+    pairs = long.join(broadcast_if_small(dictionary.select("token", "token_id")), "token")
     return pairs.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("token_id", "n"))).alias("bow"))
 
 
-def bag_of_words(df: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame) -> DataFrame:
+def bag_of_words(df: DataFrame, id_col: str, tokens: Column | None, dictionary: DataFrame) -> DataFrame:
     """The same in long form (id, token_id, n), for further aggregation."""
     long = document_terms(df, id_col, tokens).withColumnRenamed("term", "token")
-    return long.join(dictionary.select("token", "token_id"), "token").select(id_col, "token_id", "n")
+    return long.join(broadcast_if_small(dictionary.select("token", "token_id")), "token").select(id_col, "token_id", "n")
 
 
 # ---- frequencies and n-grams -------------------------------------------------------------
@@ -172,7 +171,7 @@ def transform_tfidf(terms: DataFrame, idf: DataFrame, id_col: str, sublinear: bo
     over the id, and nothing is computed twice. Group documents of any size use a join.
     """
     tf = F.lit(1.0) + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
-    raw = terms.join(idf, "term").select(id_col, "term", (tf * F.col("idf")).alias("_w"))
+    raw = terms.join(broadcast_if_small(idf), "term").select(id_col, "term", (tf * F.col("idf")).alias("_w"))
     if row_documents:
         norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
         return raw.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
@@ -185,15 +184,12 @@ def document_count(df: DataFrame, id_col: str) -> Column:
 
 
 def tfidf(
-    df: DataFrame, id_col: str, tokens: Column, min_df: int = 1, max_features: int | None = None, sublinear: bool = False, short_terms: bool = False
+    df: DataFrame, id_col: str, tokens: Column, min_df: int = 1, max_features: int | None = None, sublinear: bool = False
 ) -> DataFrame:
-    """TF-IDF where each row is a document. ``short_terms`` tells that terms are a few characters
-    long, so that ``max_features`` bounds the idf table in bytes too and it may be broadcast."""
+    """TF-IDF where each row is a document."""
     counts = document_terms(df, id_col, tokens, once=True)
     rows = one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = fit_idf(counts, rows, min_df, max_features)
-    if short_terms and max_features is not None and max_features <= BROADCAST_TERMS:
-        idf = F.broadcast(idf)  # at most max_features pairs of a short term and a number
     return transform_tfidf(counts, idf, id_col, sublinear, row_documents=True)
 
 
@@ -217,7 +213,7 @@ def char_tfidf(
     if strip_accents:
         c = T.strip_accents(c)
     grams = T.word_char_ngrams(c, lo, hi) if within_words else T.char_ngrams(c, lo, hi)
-    return tfidf(df, id_col, grams, min_df, max_features, sublinear, short_terms=hi <= 16)
+    return tfidf(df, id_col, grams, min_df, max_features, sublinear)
 
 
 def top_terms(weights: DataFrame, by: str, k: int) -> DataFrame:
@@ -230,6 +226,6 @@ def bow_tfidf(bow: DataFrame, documents: Column | int, id_col: str) -> DataFrame
     """TF-IDF on a bag of words (id, token_id, n): n * log2(N / df), unit length per document."""
     n = F.lit(documents) if isinstance(documents, int) else documents
     dfs = bow.groupBy("token_id").agg(F.count(F.lit(1)).alias("df"))
-    raw = bow.join(dfs, "token_id").select(id_col, "token_id", (F.col("n") * F.log2(n / F.col("df"))).alias("_w"))
+    raw = bow.join(broadcast_if_small(dfs), "token_id").select(id_col, "token_id", (F.col("n") * F.log2(n / F.col("df"))).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))  # one text's tokens
     return raw.filter(F.col("_w") > 0).select(id_col, "token_id", (F.col("_w") / norm).alias("tfidf"))
