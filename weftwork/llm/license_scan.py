@@ -195,7 +195,9 @@ def scan(words: list[str], templates: Mapping[str, list[str]], coverage: float,
 
 def license_matches(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per place where a document has a template: id, ``license``, ``coverage``,
-    ``first_word`` and ``n_words``. Null and empty texts, and empty templates, match nothing."""
+    ``first_word`` and ``n_words``. Null and empty texts, and empty templates, match nothing. Texts are read
+    whole, whatever their length. Rows that repeat an id or a text each give their own matches; a text that
+    has several templates, or one in several places, gives a row for each. Other columns are not looked at."""
     wanted = {k: split_words(v) for k, v in (STATEMENTS if templates is None else templates).items()}
     telling = telling_words(wanted, coverage)
     if templates is None:

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weftwork.functions.frame import one_row
 from weftwork.operators.scan import number_rows, prefix_scan
 from weftwork.session import materialise, write_once
 
@@ -216,9 +217,9 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: Sequence[str], block: int
     depth and the one before.
     """
     sums = [f"sum_{v}" for v in values]
-    root = nodes.filter("depth = 0").select(F.col("conv").alias("top_conv"))
-    live = nodes.select("conv", "depth", "up", "weight", *values, *[F.lit(0).cast("bigint").alias(s) for s in sums], F.lit(0).cast("bigint").alias("top_depth"))
-    live = live.join(F.broadcast(root), how="cross")  # one row
+    root = one_row(nodes.filter("depth = 0").agg(F.min("conv").alias("conv")))["conv"]
+    zero = F.lit(0).cast("bigint")
+    live = nodes.select("conv", "depth", "up", "weight", *values, *[zero.alias(s) for s in sums], zero.alias("top_depth"), root.alias("top_conv"))
     steps = paths.select(F.col("conv").alias("_conv"), F.col("depth").alias("_depth"), F.col("node").alias("_node"), F.col("up").alias("_up"))
     comp = ["top_conv", "top_depth"]
     small, done = [], []

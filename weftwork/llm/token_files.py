@@ -244,7 +244,10 @@ def _counts(tokens: DataFrame) -> DataFrame:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Write the token ids of all documents below ``path``, in ascending order of their ids (whole
-    numbers; rows without one come first). A range of ids is a shard; a task writes one shard."""
+    numbers; rows without one come first). A range of ids is a shard; a task writes one shard. Null and
+    empty texts are the end id alone. Rows that repeat an id are written one after the other, ordered by
+    their ids' number and bytes, so that repeated rows are alike in any order. A text of more than a block
+    is laid over blocks of its own. Other columns are not looked at."""
     spark = docs.sparkSession
     token_ids(docs, tokenizer_json, id_col, text_col, end_id).write.option("compression", "none").parquet(f"{path}/unsorted")
     tokens = spark.read.parquet(f"{path}/unsorted")

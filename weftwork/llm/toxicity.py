@@ -291,7 +291,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, ``held_out``, ``score`` and ``predicted`` (score >= 0.5).
 
     Only texts are scored; labels are learnt from rows that are not held out. Null labels are left
-    out, a document labelled twice is toxic if any label says so. Without labels every score is 0.
+    out, a document labelled twice is toxic if any label says so. Without labels every score is 0. Rows
+    that repeat an id or a text each have a row, and equal texts equal scores; null and empty texts have
+    that of no evidence. Texts are read whole. Other columns are not looked at.
     """
     model = fit_model(docs, labels, id_col, text_col, label_col, settings)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score_column(docs, model, text_col).alias("score"))

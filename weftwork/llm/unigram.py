@@ -194,8 +194,10 @@ class Decoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), verify: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` (array of int), and the ``carry`` columns.
-    Null and empty texts have no ids. Whole texts, whatever their length. ``verify`` decodes the ids
-    again and adds ``round_trip``, whether they give the text back."""
+    Null and empty texts have no ids. Whole texts, whatever their length. Rows that repeat an id or a text
+    are encoded one by one; of paths with the same score the one with the longer last piece wins, so that
+    equal texts have equal ids. Columns of ``docs`` that are not carried may have any name. ``verify``
+    decodes the ids again and adds ``round_trip``, whether they give the text back."""
     shared = share(docs.sparkSession, vocabulary)
 
     def batches(it: Iterator) -> Iterator:
