@@ -312,6 +312,23 @@ def test_article_text_that_looks_like_something_else(spark):
     assert [rows[10 + i] for i in range(4)] == [f"Title {i} {plain if i < 3 else ''} Version {i}, with some more words.".replace("  ", " ") for i in range(4)]
 
 
+def test_places_of_the_wrapper_tell_constants_from_text(spark):
+    """The same words in elements of the same names are template at one place and text at another; the
+    wrapper, not the path, tells the places apart."""
+    from weftwork.llm.wrappers import fold, places_in, stream_of, token_code
+
+    page = "<body><div class=q1><ul><li>News</li><li>Sport</li></ul></div><div class=q2><h1>T{0}</h1><p>story {0} is long enough to hold most of the text that there is on page {0}</p>{1}</div></body>"
+    sources = [page.format(i, "<ul><li>Sport</li><li>own</li></ul>" if i == 0 else "") for i in range(5)]
+    rows = {r.page_id: r.text for r in extract_pages(spark.createDataFrame([(i, f"http://w.org/{i}", s) for i, s in enumerate(sources)], "page_id bigint, url string, html string")).collect()}
+    story = "story {0} is long enough to hold most of the text that there is on page {0}"
+    assert rows == {i: f"T{i} " + story.format(i) + (" Sport own" if i == 0 else "") for i in range(5)}
+    streams = [stream_of(s) for s in sources]
+    wrapper = [token_code(t) for t, _ in fold([[[t, False] for t in streams[1][0]], [[t, False] for t in streams[0][0]]])]
+    first, second = places_in(streams[0], wrapper), places_in(streams[1], wrapper)
+    assert first[:4] == second[:4] and len(first) == 6 and first[4] == first[5] > first[3]
+    assert max(first) < len(wrapper)
+
+
 def test_teasers_in_articles(spark):
     """Article elements replace the page only where they hold most of its text, by host and by page."""
     story = "the story of page {0}, which is told at some length, so that it outweighs what the cards beside it say {0}"
