@@ -329,6 +329,35 @@ def test_places_of_the_wrapper_tell_constants_from_text(spark):
     assert max(first) < len(wrapper)
 
 
+def test_alignment_and_hosts_without_a_template(spark, monkeypatch):
+    import random
+
+    from weftwork.llm import wrappers
+
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        pairs = wrappers.common(np.array([ord(x) for x in a]), np.array([ord(x) for x in b]))
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        both = [t for t, _ in wrappers.align([[x, False] for x in a], [[x, False] for x in b])]
+        for w in (a, b):  # the wrapper has every stream in it
+            it = iter(both)
+            assert all(x in it for x in w)
+    monkeypatch.setattr(wrappers, "LONGEST", 12)
+    page = "<body><div class=q1><p>Our menu of today</p></div><div><h1>T{0}</h1><p>story {0} is long enough to hold most of the text there is</p></div></body>"
+    pages = [(i, f"http://l.org/{i}", page.format(i)) for i in range(4)] + [(9, "http://l.org/9", "".join(f"<h{n}>x</h{n}><table><tr><td>y" for n in range(2, 6)))]
+    rows = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert [rows[i] for i in range(4)] == [f"T{i} story {i} is long enough to hold most of the text there is" for i in range(4)]
+
+
 def test_teasers_in_articles(spark):
     """Article elements replace the page only where they hold most of its text, by host and by page."""
     story = "the story of page {0}, which is told at some length, so that it outweighs what the cards beside it say {0}"
