@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from weftwork import session
 from weftwork.operators import clusters, encode, evaluate, models, neighbors, resample, terms
 from weftwork.operators.sgd import SGDLinear, SGDLinearModel, fit_sgd_grid, loss_and_slope
 from weftwork.operators.vectorize import TermVectorizer
@@ -132,6 +133,48 @@ def test_nearest_rows_with_ids_of_any_type(spark, kind):
         assert [j for _, j in sorted(got[i])] == want
 
 
+def kept_rows(monkeypatch, *modules):
+    """The rows of every table of vectors that these modules write between steps."""
+    seen = []
+
+    def count(df):
+        out = session.materialise(df)
+        if "x" in df.columns:
+            seen.append(out.count())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "materialise", count)
+    return seen
+
+
+def test_no_table_has_a_row_for_each_query_and_leaf(spark, monkeypatch):
+    """In many dimensions a query meets most leaves: that must not be written down."""
+    x = np.random.default_rng(4).normal(0, 1, (400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    seen = kept_rows(monkeypatch, neighbors)
+    near = neighbors.nearest_rows(df, df, "id", "x", 2, block_rows=8).filter("rank = 2").collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * 400)
+    assert {r["id"]: r["neighbour"] for r in near} == dict(enumerate(d.argmin(1).tolist()))
+    assert seen and max(seen) <= 2 * 400
+
+
+def test_dbscan_writes_no_row_for_each_point_and_leaf(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(0, 1, (400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    seen = kept_rows(monkeypatch, neighbors, clusters)
+    found = {r["id"]: r["cluster"] for r in clusters._dbscan_cells(df, 2.2, 6, block_rows=8).collect()}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 2.2
+    core = near.sum(1) >= 6
+    comp = np.where(core, np.arange(400), 10**6)
+    while (new := np.where(core, np.where(near & core[None, :], comp[None, :], 10**6).min(1), 10**6)).tolist() != comp.tolist():
+        comp = new
+    least = np.where(near & core[None, :], comp[None, :], 10**6).min(1)
+    numbers = {c: i for i, c in enumerate(sorted(set(least) - {10**6}))}
+    assert found == {i: numbers.get(c, -1) for i, c in enumerate(least)}
+    assert seen and max(seen) <= 2 * 400
+
+
 def test_a_hot_cell_is_many_keys(spark, monkeypatch):
     """Nine of ten points lie close together: no comparison takes more than two blocks of rows."""
     rng = np.random.default_rng(2)

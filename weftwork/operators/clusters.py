@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftwork.functions.frame import concurrently, over_blocks
-from weftwork.operators.neighbors import BLOCK_ROWS, index_points, meet, numbered, visit
+from weftwork.operators.neighbors import BLOCK_ROWS, in_space, index_points, meet, numbered, pack, visit, wanting
 from weftwork.operators.scan import number_rows
 from weftwork.session import materialise, write_once
 
@@ -243,12 +243,27 @@ def _links(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         left, right = new_left, new_right
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in order, the least node each reaches) over edges between numbered nodes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        a_root, b_root = label[a], label[b]
+        low = np.minimum(a_root, b_root)
+        np.minimum.at(label, a_root, low)
+        np.minimum.at(label, b_root, low)
+        while ((hop := label[label]) != label).any():
+            label = hop
+    return nodes, nodes[label]
+
+
 def _dbscan_cells(rows: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """On rows (id, x). Equal points are merged first and assigned to the leaves of a pivot index. A point
-    meets the leaves that reach within eps of it (its border copies); a leaf that lies within eps as a
-    whole is counted without looking at its points. A leaf no wider than eps with ``min_samples`` points
-    is all core and one node. Core points that meet link their nodes, a block pair giving a forest and
-    never all pairs; the components of the nodes are the clusters, merged over the shared points."""
+    meets the leaves that reach within eps of it; one that leaves within eps as a whole make core is not
+    compared with their points. A leaf no wider than eps with ``min_samples`` points is all core and one
+    node. Core points that meet link their nodes, a task giving a forest and never all pairs; the
+    components of the nodes are the clusters."""
     points = rows.groupBy("x").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("n"))
     points, leaves = index_points(write_once(points), 2, block_rows, fine=eps / 2)
     dense = (2 * leaves.radius <= eps * (1 - 1e-9)) & (leaves.count >= min_samples)
@@ -263,21 +278,38 @@ def _dbscan_cells(rows: DataFrame, eps: float, min_samples: int, block_rows: int
         return q, np.zeros(len(q), np.int32), (whole * here.count)[q].sum(1).astype(np.int64)
 
     # counts of points that no dense leaf makes core
-    asked = points.filter("not dense").select("key", "x")
-    certain = visit(asked, leaves, ["key"], sure, "around bigint").select("key", "around")
+    asked = points.filter("not dense").select("key", "x", "leaf")
+    certain = visit(asked.select("key", "x"), leaves, ["key"], sure, "around bigint").select("key", "around")
     certain = materialise(certain)
     open_ = materialise(asked.join(certain.filter(F.col("around") >= min_samples), "key", "left_anti"))
 
-    def undecided(d, arrays, here):
-        q, leaf = np.nonzero((d - here.radius <= eps) & (d + here.radius > eps) & (here.count > 0))
-        return q, leaf
+    order = in_space(leaves.pivots)
+    rank = np.argsort(order)
+    there = pack(points, ["key", "n"], leaves, order, block_rows)
+
+    def within(d, arrays, here):
+        return d - here.radius <= eps
 
-    def count(a, ours, b, theirs):
-        import pyarrow as pa
+    class Count:
+        """Points within eps of each query."""
+
+        x = None
+
+        def ask(self, x, ours):
+            found, self.x, self.key, self.n = self.end(), x, ours["key"], np.zeros(len(x), np.int64)
+            return found
 
-        return pa.RecordBatch.from_arrays([pa.array(ours["key"]), pa.array(near_pairs(a, b) @ theirs["n"])], names=["key", "around"])
+        def meet(self, b, theirs):
+            self.n += near_pairs(self.x, b) @ theirs["n"]
 
-    counted = meet(visit(open_, leaves, ["key"], undecided), points, leaves, ["key"], ["n"], count, "key bigint, around bigint", block_rows)
+        def end(self):
+            import pyarrow as pa
+
+            return None if self.x is None else pa.RecordBatch.from_arrays([pa.array(self.key), pa.array(self.n)], names=["key", "around"])
+
+    unsure = pack(open_, ["key"], leaves, order, block_rows, there.parts)
+    counted = meet(wanting(unsure, ["key"], leaves, there, within), there, ["key"], ["n"], Count, "key bigint, around bigint")
+    certain = certain.filter(F.col("around") >= min_samples)  # the others have been counted whole
     core_keys = certain.unionByName(counted).groupBy("key").agg(F.sum("around").alias("around")).filter(F.col("around") >= min_samples).select("key")
     core_keys = core_keys.unionByName(points.filter("dense").select("key"))
     core = points.join(core_keys, "key").withColumnRenamed("leaf", "home")
@@ -286,50 +318,95 @@ def _dbscan_cells(rows: DataFrame, eps: float, min_samples: int, block_rows: int
     node_of = {r["home"]: r["least"] for r in named.filter(F.col("home").isin([int(i) for i in np.flatnonzero(dense)])).collect()} if dense.any() else {}
     nodes = np.array([node_of.get(i, -1) for i in range(len(dense))], np.int64)  # of dense leaves
 
-    # links: each pair of leaves is met from the later one
-    def touching(d, arrays, here):
-        home = arrays["home"][:, None]
-        later = np.arange(len(here.count))[None, :] <= home
-        homes, at = np.unique(home[:, 0], return_inverse=True)
+    # links: each pair of leaves is met from the later one; leaves that lie within reach as a whole are
+    # linked without looking at their points
+    def sure_links(d, arrays, here):
+        if not dense.any():
+            return np.zeros(d.shape, bool)
+        homes, at = np.unique(arrays["home"], return_inverse=True)
         gap = np.sqrt(np.maximum((here.pivots[homes] ** 2).sum(1)[:, None] + (here.pivots**2).sum(1)[None, :] - 2 * here.pivots[homes] @ here.pivots.T, 0))
         joined = (dense[homes][:, None] & dense[None, :] & (gap + here.radius[homes][:, None] + here.radius[None, :] <= eps))[at]
-        own = dense[None, :] & (np.arange(len(here.count))[None, :] == home)
-        q, leaf = np.nonzero(later & ~own & (d - here.radius <= eps) & (here.count > 0))
-        known = np.where(dense[leaf] & (joined[q, leaf] | (d[q, leaf] + here.radius[leaf] <= eps)), nodes[leaf], -1)
-        return q, leaf, known
+        return (dense[None, :] & (here.count > 0)[None, :]) & (joined | (d + here.radius <= eps))
 
-    cored = core.select("key", "x", "home", "node")
-    met = materialise(visit(cored, leaves, ["key", "home", "node"], touching, "known bigint"))
-
-    def link(a, ours, b, theirs):
-        import pyarrow as pa
-
-        u, v = _links(near_pairs(a, b), ours["node"], theirs["node"])
-        differ = u != v
-        return pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], names=["a", "b"])
-
-    members = core.select(F.col("home").alias("leaf"), "block", "x", "key", "node")
-    found = meet(met.filter("known < 0"), members, leaves, ["node"], ["node"], link, "a bigint, b bigint", block_rows)
-    edges = found.unionByName(met.filter("known >= 0").select(F.col("node").alias("a"), F.col("known").alias("b"))).filter("a <> b").distinct()
+    def touching(d, arrays, here):
+        home = arrays["home"][:, None]
+        own = dense[None, :] & (np.arange(len(here.count))[None, :] == home)
+        return (rank[None, :] <= rank[home]) & ~own & (d - here.radius <= eps) & ~sure_links(d, arrays, here)
+
+    def linked(d, arrays, here):
+        sure = sure_links(d, arrays, here)
+        a, b = _links(sure[:, dense], arrays["node"], nodes[dense])
+        return np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b
+
+    class Link:
+        """A forest that links the nodes of all points within eps that a task has met."""
+
+        def __init__(self):
+            self.nodes, self.least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def ask(self, x, ours):
+            self.x, self.node = x, ours["node"]
+
+        def reached(self, node):
+            if not len(self.nodes):
+                return node
+            i = np.minimum(np.searchsorted(self.nodes, node), len(self.nodes) - 1)
+            return np.where(self.nodes[i] == node, self.least[i], node)
+
+        def meet(self, b, theirs):
+            mine, other = self.reached(self.node), self.reached(theirs["node"])
+            if mine.min() == mine.max() == other.min() == other.max():
+                return  # one component already
+            u, v = _links(near_pairs(self.x, b), mine, other)
+            if (u != v).any():
+                self.nodes, self.least = forest(np.concatenate([self.nodes, u]), np.concatenate([self.least, v]))
+
+        def end(self):
+            import pyarrow as pa
+
+            return pa.RecordBatch.from_arrays([pa.array(self.nodes), pa.array(self.least)], names=["a", "b"])
+
+    cored = core.select(F.col("home").alias("leaf"), "x", "key", "home", "node")
+    members = pack(cored, ["key", "home", "node"], leaves, order, block_rows)
+    seekers = pack(cored, ["home", "node"], leaves, order, block_rows, members.parts)
+    edges = meet(wanting(seekers, ["home", "node"], leaves, members, touching), members, ["home", "node"], ["node"], Link, "a bigint, b bigint")
+    if dense.any():
+        known = visit(core.select("x", "home", "node"), leaves, ["home", "node"], linked, "a bigint, b bigint")
+        edges = edges.unionByName(known.select("a", "b"))
+    edges = edges.filter("a <> b").distinct()
     comps = materialise(connected_components(core.select("node").distinct(), materialise(edges)))
-    placed = core.join(comps, "node").select(F.col("key").alias("id"), F.col("home").alias("leaf"), "block", "x", "comp")
+    placed = core.join(comps, "node").select(F.col("key").alias("id"), F.col("home").alias("leaf"), "x", "comp")
     placed = materialise(placed)
 
     # border points
-    border = points.join(core.select("key"), "key", "left_anti").select("key", "x")
+    border = points.join(core.select("key"), "key", "left_anti").select("leaf", "x", "key")
+
+    class Smallest:
+        """The smallest component that reaches each query."""
+
+        x = None
+
+        def ask(self, x, ours):
+            found, self.x, self.key, self.comp = self.end(), x, ours["key"], np.full(len(x), np.iinfo(np.int64).max)
+            return found
 
-    def reaching(d, arrays, here):
-        return np.nonzero((d - here.radius <= eps) & (here.count > 0))
+        def meet(self, b, theirs):
+            near = near_pairs(self.x, b)
+            some = np.flatnonzero(near.any(1))
+            if len(some):
+                self.comp[some] = np.minimum(self.comp[some], np.where(near[some], theirs["comp"][None, :], np.iinfo(np.int64).max).min(1))
 
-    def smallest(a, ours, b, theirs):
-        import pyarrow as pa
+        def end(self):
+            import pyarrow as pa
 
-        near = near_pairs(a, b)
-        some = near.any(1)
-        comp = np.where(near[some], theirs["comp"][None, :], np.iinfo(np.int64).max).min(1) if some.any() else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ours["key"][some]), pa.array(comp)], names=["id", "comp"])
+            if self.x is None:
+                return None
+            some = self.comp < np.iinfo(np.int64).max
+            return pa.RecordBatch.from_arrays([pa.array(self.key[some]), pa.array(self.comp[some])], names=["id", "comp"])
 
-    reached = meet(visit(border, leaves, ["key"], reaching), placed, leaves, ["key"], ["comp"], smallest, "id bigint, comp bigint", block_rows)
+    clustered = pack(placed, ["comp"], leaves, order, block_rows)
+    outside = pack(border, ["key"], leaves, order, block_rows, clustered.parts)
+    reached = meet(wanting(outside, ["key"], leaves, clustered, within), clustered, ["key"], ["comp"], Smallest, "id bigint, comp bigint")
     labelled = placed.select("id", "comp").unionByName(reached.groupBy("id").agg(F.min("comp").alias("comp")))
     return _renumbered(rows, points.select(F.col("key").alias("id"), "x"), labelled, comps)
 
