@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from weftwork import session
+from weftwork.functions import text as T
 from weftwork.operators import clusters, encode, evaluate, models, neighbors, resample, terms
 from weftwork.operators.sgd import SGDLinear, SGDLinearModel, fit_sgd_grid, loss_and_slope
 from weftwork.operators.vectorize import TermVectorizer
@@ -133,6 +134,22 @@ def test_nearest_rows_with_ids_of_any_type(spark, kind):
         assert [j for _, j in sorted(got[i])] == want
 
 
+@pytest.mark.parametrize("within_words", [True, False])
+def test_grams_are_counted_and_weighed_where_the_text_is(spark, within_words):
+    rows = [(0, "Été d'été  été\t a"), (1, None), (2, ""), (3, "a b\u00a0ab " * 40), (4, "x" * 50 + " \n\n x"), (None, "été ab"), (4, "ab ab")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    tokens = T.word_char_ngrams(low, 2, 4) if within_words else T.char_ngrams(low, 2, 4)
+    listed = lambda d: sorted((repr(r["id"]), sorted((c["term"], c["n"]) for c in r["counts"])) for r in d.collect())
+    assert listed(terms.gram_counts(df, ["id"], low, 2, 4, within_words)) == listed(terms.run_lengths(df, ["id"], tokens))
+    docs = df.filter("id is not null").dropDuplicates(["id"])
+    cut = terms.char_tfidf(docs, "id", "text", 2, 4, within_words, max_features=10_000, strip_accents=False)
+    whole = terms.char_tfidf(docs, "id", "text", 2, 4, within_words, strip_accents=False)
+    weights = lambda d: {(r["id"], r["term"]): pytest.approx(r["tfidf"]) for r in d.collect()}
+    assert weights(cut) == weights(whole)
+    assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()  # no document is gathered again
+
+
 def kept_rows(monkeypatch, *modules):
     """The rows of every table of vectors that these modules write between steps."""
     seen = []
