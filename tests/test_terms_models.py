@@ -148,6 +148,9 @@ def test_grams_are_counted_and_weighed_where_the_text_is(spark, within_words):
     weights = lambda d: {(r["id"], r["term"]): pytest.approx(r["tfidf"]) for r in d.collect()}
     assert weights(cut) == weights(whole)
     assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()  # no document is gathered again
+    twice = df.filter("text <> 'ab ab'").unionByName(df)  # rows of one id have one length, also without an id
+    sums = terms.char_tfidf(twice, "id", "text", 2, 4, within_words, max_features=10_000, strip_accents=False).groupBy("id").agg(F.sum(F.col("tfidf") ** 2).alias("s"))
+    assert {r["id"]: round(r["s"], 9) for r in sums.collect()}.items() >= {0: 1.0, 3: 1.0, 4: 1.0, None: 1.0}.items()
 
 
 def kept_rows(monkeypatch, *modules):
