@@ -35,6 +35,7 @@ def combine_corpora(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def feature_table(corpus: DataFrame, top_languages: int = 12, top_sources: int = 20, top_models: int = 20) -> DataFrame:
     """Text features, length, noise flag and one-hot flags of the capped categories."""
+    corpus = write_once(corpus)  # each of the small aggregations below would clean and deduplicate it again
     out = text_features(corpus)
     for col, prefix, k in (("language", "lang", top_languages), ("source", "src", top_sources), ("multi_label", "model", top_models)):
         # the kept values come from the narrow corpus, not from the features
