@@ -9,7 +9,8 @@ import numpy as np
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Chunks, and characters of chunks, that a worker keeps at most; beyond that its table starts anew.
+#: Chunks, and characters of chunks, that a worker keeps at most; beyond that its table starts anew with
+#: those it has met again, unless they are more than half of that.
 CHUNKS, CHARACTERS = 800_000, 16_000_000
 
 
@@ -27,12 +28,30 @@ class ChunkTable:
         self.characters = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)  # chunks met since they were learnt
+
+    def renew(self) -> None:
+        """Forget the chunks that were not met again: most are met once, and others would be encoded anew."""
+        again = self.again.tolist()
+        kept = [(c, i) for c, i in self.index.items() if again[i]]
+        characters = sum(len(c) for c, _ in kept)
+        if 2 * len(kept) > CHUNKS or 2 * characters > CHARACTERS:
+            return self.clear()
+        rows = np.array([i for _, i in kept], np.int64)
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.clear()
+        self._add([c for c, _ in kept], ids, sizes)
 
     def _learn(self, chunks: list[str]) -> None:
-        chunks, ids, sizes = self.encode_many(chunks)
+        self._add(*self.encode_many(chunks))
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.index), len(chunks)
         while n + m > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.again = np.concatenate([self.again, np.zeros(len(self.again), bool)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.size[n : n + m] = sizes
@@ -46,9 +65,10 @@ class ChunkTable:
         """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
         chunks = list(chain.from_iterable(texts))
         if len(self.index) > CHUNKS or self.characters > CHARACTERS:
-            self.clear()
+            self.renew()
         rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(rows < 0)
+        self.again[rows[rows >= 0]] = True
         if len(unknown):
             new = [chunks[i] for i in unknown.tolist()]
             self._learn(list(dict.fromkeys(new)))
