@@ -3,9 +3,11 @@
 A page is a stream of tokens: tags and texts. Adjacent repetitions become repeated groups, so that pages
 of one template mostly have equal streams. The distinct streams of a host are folded, one after the
 other, into a wrapper, a regular expression without unions: streams are aligned, what both have stays,
-what only one has becomes an optional group. Hosts with many distinct streams are folded in parts, and
-the parts' wrappers in turn. Every stream then runs through its host's wrapper, so that each text of a
-page stands at a place of it, alone or in a group.
+what only one has becomes an optional group. A token that at most half of a host's pages have is no place
+of a constant, so it is left out of the wrapper, which grows with a page and not with the pages. Hosts
+with many distinct streams are folded in rounds: streams that the wrapper so far has in order need no
+folding. Every stream then runs through its host's wrapper, so that each text of a page stands at a place
+of it, alone or in a group, or at one that few pages have.
 
 Texts at one place are compared over a host's distinct pages, in Spark: a text that most of them have word
 for word is a constant of the wrapper, any other a text slot. Constants are template and left out, but
@@ -28,7 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftwork.llm.url_filter import host_and_path
 from weftwork.session import write_once
@@ -58,9 +60,11 @@ MARKED = frozenset(
 #: Words that say nothing beside a marked one: "share buttons" are marked, a "share price" is not.
 PLAIN = frozenset("area bar block body box btn button buttons container content count group head heading icon icons inner item items label left link links list main outer panel post posts right section small text title top bottom wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Tokens of a host's wrapper at most, and what stands for that of a host whose pages would need more:
-#: their texts are told apart by slot alone.
-LONGEST, NONE = 4_096, "null"
+#: Tokens of streams after which a round of folding ends for a host, to go on with the streams that are
+#: still to be folded. They are folded in one order, so that the wrapper does not depend on the rounds.
+LONGEST = 65_536
+#: The place of texts in a token that few pages have.
+RARE = -1
 #: The share of the text outside links that a main region holds.
 SHARE = 0.8
 #: Elements of running text. Lines straight in them are text of the region they stand in.
@@ -265,14 +269,19 @@ def token_code(token: str) -> int:
 
 
 def places_in(stream: tuple[list[str], list[int]], wrapper: Sequence[int] | None) -> list[int]:
-    """The place in the wrapper (token codes) of each text of a stream, the first way it fits; 0 without
-    a wrapper. A wrapper has all tokens of its streams in order."""
+    """The place in the wrapper (token codes) of each text of a stream, the first way it fits, RARE in
+    tokens that the wrapper does not have; 0 without a wrapper. A wrapper has all other tokens of its
+    streams in order."""
     tokens, texts = stream
     if wrapper is None:
         return [0] * sum(texts)
-    out, at = [], 0
+    wrapper = np.asarray(wrapper).tolist()
+    out, at, known = [], 0, set(wrapper)
     for token, n in zip(tokens, texts):
         code = token_code(token)
+        if code not in known:
+            out.extend([RARE] * n)
+            continue
         while at < len(wrapper) and wrapper[at] != code:
             at += 1
         out.extend([at] * n)
@@ -321,13 +330,10 @@ def align(a: list[list], b: list[list]) -> list[list]:
 
 
 def fold(streams: Iterable[list[list]]) -> list[list] | None:
-    """The wrapper of many: the most frequent first, in the order given. None if it has more than
-    LONGEST tokens, as where pages have no common template."""
+    """The wrapper of many: the most frequent first, in the order given."""
     wrapper = None
     for s in streams:
         wrapper = s if wrapper is None else align(wrapper, s)
-        if len(wrapper) > LONGEST:
-            return None
     return wrapper
 
 
@@ -397,8 +403,8 @@ def _lines_of(events: list[tuple[str, tuple, bool, str]]) -> list[Line]:
 
 def line_key(line: Line, place: int) -> int:
     """A place of the wrapper, slot and text as one number; 0 for a title, which belongs to the main text
-    even if all pages share it."""
-    if line.path and re.match(r"h1(\[|$)", line.path[-1]):
+    even if all pages share it, and for a text at a place that few pages have."""
+    if place == RARE or line.path and re.match(r"h1(\[|$)", line.path[-1]):
         return 0
     return _key(place, xxhash.xxh64_intdigest(">".join(line.path) + "\0" + line.text, 11))
 
@@ -500,26 +506,75 @@ def _read(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, f"host string, page bigint, stream string, texts array<int>, lines {kind}")
 
 
+def _frequent(streams: DataFrame, share: float) -> DataFrame:
+    """The distinct streams (host, stream, n) with only those tokens that more than ``share`` of the host's
+    pages have. Of them there are fewer than tokens of a page, divided by ``share``."""
+
+    @F.pandas_udf("array<int>")
+    def codes(streams: pd.Series) -> pd.Series:
+        return pd.Series([sorted({token_code(t) for t, _ in json.loads(s)}) for s in streams], dtype=object)
+
+    @F.pandas_udf("string")
+    def kept(streams: pd.Series, frequent: pd.Series) -> pd.Series:
+        some = [frozenset() if f is None else frozenset(f.tolist()) for f in frequent]
+        return pd.Series([json.dumps([x for x in json.loads(s) if token_code(x[0]) in f]) for s, f in zip(streams, some)], dtype=object)
+
+    pages = streams.groupBy("host").agg(F.sum("n").alias("pages"))
+    counted = streams.select("host", "n", F.explode(codes("stream")).alias("token")).groupBy("host", "token").agg(F.sum("n").alias("n"))
+    frequent = counted.join(pages, "host").filter(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("token").alias("frequent"))
+    return streams.join(write_once(frequent), "host", "left").select("host", kept("stream", "frequent").alias("stream"), "n").groupBy("host", "stream").agg(F.sum("n").alias("n"))
+
+
 def _folded(streams: DataFrame, part: int) -> DataFrame:
-    """(host, wrapper) from the distinct streams (host, stream, n) of hosts, NONE where a host has none."""
+    """(host, wrapper) from the distinct streams (host, stream, n) of hosts, the most frequent first."""
+    so_far = (1 << 63) - 1  # in the place of a wrapper's count: it comes first
 
     def fold_part(group: pd.DataFrame) -> pd.DataFrame:
         order = group.sort_values(["n", "stream"], ascending=[False, True])
-        wrapper = fold(json.loads(s) for s in order["stream"]) if (order["stream"] != NONE).all() else None
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": [json.dumps(wrapper)], "n": [int(group["n"].sum())]})
-
+        taken, tokens = [], 0
+        for s, n in zip(order["stream"], order["n"]):
+            if tokens > LONGEST:
+                break
+            taken.append(json.loads(s))
+            tokens += len(taken[-1]) if n < so_far else 0
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": [json.dumps(fold(taken))], "whole": [len(taken) == len(order)]})
+
+    @F.pandas_udf("boolean")
+    def fits(streams: pd.Series, wrappers: pd.Series) -> pd.Series:
+        out, read, tokens = [], None, []
+        for s, w in zip(streams, wrappers):
+            if w != read:
+                read, tokens = w, [t for t, _ in json.loads(w)]
+            rest = iter(tokens)
+            out.append(all(t in rest for t, _ in json.loads(s)))
+        return pd.Series(out, dtype=bool)
+
+    left, wrappers, most = streams, None, _most(streams)
     while True:
-        most = streams.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        parts = -(-most // part) if most > part else 1
-        dealt = streams.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(parts)))
-        streams = write_once(dealt.groupBy("host", "part").applyInPandas(fold_part, "host string, stream string, n bigint"))
-        if parts == 1:
-            return streams.select("host", F.col("stream").alias("wrapper"))
+        taken = left
+        if most > part:
+            rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "stream"))
+            taken = left.withColumn("rank", rank).filter(F.col("rank") <= part).drop("rank")
+        if wrappers is not None:
+            taken = taken.unionByName(wrappers.select("host", "stream", F.lit(so_far).alias("n")))
+        wrappers = write_once(taken.groupBy("host").applyInPandas(fold_part, "host string, stream string, whole boolean"))
+        if most <= part and not wrappers.filter("not whole").head(1):
+            return wrappers.select("host", F.col("stream").alias("wrapper"))
+        known = wrappers.select(F.col("host").alias("_host"), F.col("stream").alias("_wrapper"))
+        both = left.join(known, F.col("host").eqNullSafe(F.col("_host")))
+        left = write_once(both.filter(~fits("stream", "_wrapper")).select("host", "stream", "n"))
+        most = _most(left)
+        if most == 0:
+            return wrappers.select("host", F.col("stream").alias("wrapper"))
+
+
+def _most(streams: DataFrame) -> int:
+    return streams.groupBy("host").count().agg(F.max("count")).first()[0] or 0
 
 
 def infer_wrappers(pages: DataFrame, part: int = 64) -> DataFrame:
-    """(host, wrapper) of each host; from (host, html). A task folds ``part`` distinct streams of a
-    host on average; their wrappers are folded in turn until each host has one."""
+    """(host, wrapper) of each host, of all tokens; from (host, html). A round folds ``part`` distinct
+    streams of a host at most."""
     return _folded(write_once(_read(pages).groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n"))), part)
 
 
@@ -532,7 +587,7 @@ def _placed(read: DataFrame, wrappers: DataFrame) -> DataFrame:
         out = []
         for stream, inside, number, digest, title, wrapper in zip(streams, texts, numbers, digests, titles, codes):
             places = places_in(([t for t, _ in json.loads(stream)], [int(n) for n in inside]), wrapper)
-            out.append([0 if t else _key(places[n], int(d) + (1 << 63)) for n, d, t in zip(number, digest, title)])
+            out.append([0 if t or places[n] == RARE else _key(places[n], int(d) + (1 << 63)) for n, d, t in zip(number, digest, title)])
         return pd.Series(out, dtype=object)
 
     both = read.join(wrappers, "host")
@@ -548,11 +603,12 @@ def infer_slots(pages: DataFrame, share: float = 0.5, least: int = 3, part: int
     read = write_once(_read(pages).dropDuplicates(["host", "page"]))
     named = F.coalesce("host", F.lit(""))  # pages without a host are one group
     read = read.withColumn("host", named)
-    wrappers = _folded(write_once(read.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n"))), part)
+    streams = write_once(read.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n")))
+    wrappers = _folded(write_once(_frequent(streams, share)), part)
 
     @F.pandas_udf("array<int>")
     def codes(wrappers: pd.Series) -> pd.Series:
-        return pd.Series([[token_code(t) for t, _ in json.loads(w)] if w != NONE else None for w in wrappers], dtype=object)
+        return pd.Series([[token_code(t) for t, _ in json.loads(w)] for w in wrappers], dtype=object)
 
     wrappers = write_once(wrappers.select("host", codes("wrapper").alias("codes")))
     read = write_once(_placed(read, wrappers))
