@@ -30,3 +30,39 @@ def test_a_table_of_frequent_chunks_starts_anew(monkeypatch):
     for _ in range(5):
         ids, sizes = table.encode([many, many])
         assert ids.tolist() == [*range(30)] * 2 and sizes.tolist() == [30, 30] and len(table.index) == 30
+
+
+def tokens():
+    import public_tokenizers
+
+    from weftwork.llm.token_files import Tokens
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return Tokens(f.read())
+
+
+def test_punctuation_and_line_ends_make_no_new_chunks():
+    """Each word, mark and line beginning is encoded by the library once, in whatever chunk it stands."""
+    made, asked = tokens(), []
+    encode_many = made.table.encode_many
+    made.table.encode_many = lambda new: (asked.extend(new), encode_many(new))[1]
+    words, marks = [a + b + "q" for a in "abcdefgh" for b in "klmnop"], [".", ",", "!", "?!", ";", "***", ".\n"]
+    texts = [" ".join(w + marks[(i + j) % 7] for j, w in enumerate(words)) + f" {words[i]}.\n{words[-i]} end" for i in range(40)]
+    ids, sizes = made.encode(texts)
+    assert np.split(ids, np.cumsum(sizes)[:-1])[7].tolist() == made.tokenizer.encode(texts[7]).ids
+    assert len(asked) == len(set(asked)) <= 3 * len(words) + len(marks) + 1
+
+
+def test_texts_cut_into_parts_are_encoded_as_a_whole():
+    import random
+
+    made, rng = tokens(), random.Random(7)
+    parts = [" ", "  ", "\n", "\n\n", ".", "'s", "'", "re", "a", "Word", "é", "×", "1", "²", "\t", "\r", "\x1c", "\x85", "\u180e", "_", "-", ",", "%", "<|endoftext|>", "e\u0301", "文。", "\u2003", "~", "[", '"', "s", "\0", "Ⅷ", "ɐ"]
+    texts = ["", " ", "\n", " a", "a "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [t.replace("  ", " ").replace("<|endoftext|>", "") for t in texts]
+    ids, sizes = made.encode(texts)
+    for got, whole in zip(np.split(ids, np.cumsum(sizes)[:-1]), made.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert got.tolist() == whole.ids
+    ids, sizes = made.encode([])
+    assert len(ids) == len(sizes) == 0
+    assert made.encode(["", ""])[1].tolist() == [0, 0]

@@ -49,7 +49,7 @@ class ChunkTable:
 
     def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.index), len(chunks)
-        while n + m > len(self.start):
+        while n + m >= len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
             self.again = np.concatenate([self.again, np.zeros(len(self.again), bool)])
         while self.used + len(ids) > len(self.flat):
@@ -58,11 +58,14 @@ class ChunkTable:
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.start[n + m] = self.used
         self.index.update(zip(chunks, range(n, n + m)))
         self.characters += sum(map(len, chunks))
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
+        import pyarrow as pa
+
         chunks = list(chain.from_iterable(texts))
         if len(self.index) > CHUNKS or self.characters > CHARACTERS:
             self.renew()
@@ -75,7 +78,8 @@ class ChunkTable:
             rows[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        known = pa.LargeListArray.from_arrays(self.start[: len(self.index) + 1], self.flat[: self.used])
+        ids = known.take(pa.array(rows)).flatten().to_numpy()
         cuts = np.cumsum([len(t) for t in texts])
         at = np.concatenate([[0], ends])[cuts] if len(texts) else np.zeros(0, np.int64)
         return ids, np.diff(at, prepend=0)

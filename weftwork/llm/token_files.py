@@ -130,7 +130,7 @@ def split_chunks(text: str) -> list[str]:
     always begins a token there, so chunks are encoded one by one. They are given without that space."""
     import re
 
-    if re.search(r" (?=\s)| $", text):
+    if re.search(r" \s| \Z", text):
         parts = [c for c in re.split(r"(?= \S)", text) if c]
         return [c[1:] if re.match(r" \S", c) else _START + c for c in parts]
     chunks = text.split(" ")
@@ -140,11 +140,21 @@ def split_chunks(text: str) -> list[str]:
     return chunks[1:]
 
 
+#: Where the usual pattern of a byte-level pre-tokenizer begins a token, whatever stands around: between a
+#: letter or digit and ASCII punctuation or a line's end, and between a single line's end and a letter or
+#: digit. Apostrophes may belong to letters on both sides.
+_ALNUM = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_INNER = " " + _START
+_MARK, _LINE = rf"(?s:[!-&(-/:-@\[-`{{-~\n](?<=[{_ALNUM}].))", rf"\n(?=[{_ALNUM}])(?<=[!-~{_START}]\n)"
+
+
 class Tokens:
     """Ids of texts, by a byte-level BPE of the tokenizers library."""
 
     def __init__(self, definition: str):
+        import json
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -155,6 +165,15 @@ class Tokens:
         # a byte-level token has one character for each byte
         self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.table = ChunkTable(self._encode_many)
+        rules = json.loads(definition)
+        before = rules.get("pre_tokenizer") or {}
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.parts = (re.compile(_MARK), re.compile(_LINE)) if usual and not rules.get("normalizer") else None
+        # words of ASCII letters are one token each to the pre-tokenizer, and only their space is written
+        # otherwise: the library encodes them faster if it cuts at that alone
+        self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0] if self.parts else ""
+        cut = {"type": "Split", "pattern": {"String": self.space}, "behavior": "MergedWithNext", "invert": False}
+        self.words = Tokenizer.from_str(json.dumps(rules | {"pre_tokenizer": cut, "added_tokens": []})) if self.parts else self.tokenizer
 
     def _each(self, chunks: list[str]):
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -164,31 +183,40 @@ class Tokens:
     def _encode_many(self, chunks: list[str]):
         """Chunks that begin with a space are encoded in one string, which costs the library less,
         and told apart by the bytes of their tokens."""
-        first, rest = [c for c in chunks if c[0] == _START], [c for c in chunks if c[0] != _START]
-        ids, sizes = self._each([c[1:] for c in first])
-        if rest:
-            spaced = [" " + c for c in rest]
-            together = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in spaced), np.int64, len(spaced)))
-            reached = np.cumsum(self.bytes[together])
-            at = np.searchsorted(reached, ends)
-            if len(reached) and reached[-1] == ends[-1] and (reached[at] == ends).all():
-                more, counts = together, np.diff(at + 1, prepend=0)
-            else:  # a token runs over a cut, which another tokenizer may do
-                more, counts = self._each(spaced)
-            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, counts])
-        return first + rest, ids, sizes
+        first, words, rest = [], [], []
+        for c in chunks:
+            (first if c[0] == _START else words if c.isascii() and c.isalpha() and self.parts else rest).append(c)
+        found = [self._each([c[1:] for c in first]), self._joined(self.words, self.space, words), self._joined(self.tokenizer, " ", rest)]
+        return first + words + rest, np.concatenate([ids for ids, _ in found]), np.concatenate([sizes for _, sizes in found])
+
+    def _joined(self, tokenizer, space: str, chunks: list[str]):
+        if not chunks:
+            return self._each([])
+        together = np.array(tokenizer.encode_batch_fast([space + space.join(chunks)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
+        reached = np.cumsum(self.bytes[together])
+        at = np.searchsorted(reached, ends)
+        if len(reached) and reached[-1] == ends[-1] and (reached[at] == ends).all():
+            return together, np.diff(at + 1, prepend=0)
+        return self._each([" " + c for c in chunks])  # a token runs over a cut, which another tokenizer may do
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.encode([self._cut(t) if t else [] for t in texts])
 
     def _cut(self, text: str) -> list[str]:
-        return [_START + text] if any(n in text for n in self.names) else split_chunks(text)
+        """The chunks of a text, words apart from marks and line ends, which would make new chunks of them."""
+        if any(n in text for n in self.names):
+            return [_START + text]
+        if self.parts:
+            mark, line = self.parts
+            text = line.sub("\n" + _INNER, mark.sub(_INNER + r"\g<0>", text))
+        return split_chunks(text)
 
 
-def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, counts: bool = False) -> DataFrame:
     """(id, n, ids): the token ids of each whole text and the end id; ids as compressed unsigned
-    integers of 16 bits, or 32 where the vocabulary needs them. Null counts as empty."""
+    integers of 16 bits, or 32 where the vocabulary needs them. Null counts as empty. ``counts``: a task
+    adds a row with an n of -1 that has, as ids of 64 bits, how often each token id is in its texts."""
     from pathlib import Path
 
     shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_json).read_text(encoding="utf-8"))
@@ -199,11 +227,15 @@ def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text
 
         tokens = per_worker(f"tokens {tokenizer_json}", lambda: Tokens(shared.value))
         kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        press = zstandard.ZstdCompressor(level=3)
+        press, total = zstandard.ZstdCompressor(level=3), np.zeros(end_id + 1, np.int64)
         for batch in it:
             row = 0
             for group in grouped([t.decode("utf-8", "replace") if t else "" for t in batch.column(1).to_pylist()]):
                 ids, sizes = tokens.encode(group)
+                if counts:
+                    mine = np.bincount(ids, minlength=len(total))
+                    total = mine + np.append(total, np.zeros(len(mine) - len(total), np.int64))
+                    total[end_id] += len(group)
                 ids, ends = ids.astype(kind), np.cumsum(sizes)
                 end = np.array([end_id], kind).tobytes()
                 packed = [press.compress(ids[b - n : b].tobytes() + end) for b, n in zip(ends.tolist(), sizes.tolist())]
@@ -212,6 +244,10 @@ def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text
                     names=["id", "n", "ids", "width"],
                 )
                 row += len(group)
+        if counts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([press.compress(total.astype("<i8").tobytes())], pa.binary()), pa.array([8], pa.int32())], names=["id", "n", "ids", "width"]
+            )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(batches, "id bigint, n bigint, ids binary, width int")
@@ -225,21 +261,18 @@ def _unpack(batch) -> Iterator[np.ndarray]:
         yield np.frombuffer(press.decompress(ids), f"<u{width}")
 
 
-def _counts(tokens: DataFrame) -> DataFrame:
-    """(token, count) over all documents."""
+def _counts(totals: DataFrame) -> DataFrame:
+    """(token, count) over all documents, from the tasks' counts."""
 
     def batches(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << 16, np.int64)
         for batch in it:
-            for group in grouped(list(_unpack(batch))):
-                mine = np.bincount(np.concatenate(group), minlength=len(total))
-                total = mine + np.append(total, np.zeros(len(mine) - len(total), np.int64))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "count"])
+            for total in _unpack(batch):
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], names=["token", "count"])
 
-    return tokens.select("ids", "width").mapInArrow(batches, "token bigint, count bigint").groupBy("token").agg(F.sum("count").alias("count"))
+    return totals.select("ids", "width").mapInArrow(batches, "token bigint, count bigint").groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -249,9 +282,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     their ids' number and bytes, so that repeated rows are alike in any order. A text of more than a block
     is laid over blocks of its own. Other columns are not looked at."""
     spark = docs.sparkSession
-    token_ids(docs, tokenizer_json, id_col, text_col, end_id).write.option("compression", "none").parquet(f"{path}/unsorted")
-    tokens = spark.read.parquet(f"{path}/unsorted")
-    counts = _counts(tokens).orderBy("token").toPandas()  # a row for each id of the vocabulary at most
+    token_ids(docs, tokenizer_json, id_col, text_col, end_id, counts=True).write.option("compression", "none").parquet(f"{path}/unsorted")
+    written = spark.read.parquet(f"{path}/unsorted")
+    tokens = written.filter("n >= 0")
+    counts = _counts(written.filter("n < 0")).orderBy("token").toPandas()  # a row for each id of the vocabulary at most
     raw = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)
     raw[counts["token"].to_numpy(np.int64)] = counts["count"].to_numpy(np.int64)
     freq = scaled(raw)
