@@ -15,8 +15,8 @@ CHUNKS, CHARACTERS = 800_000, 16_000_000
 
 
 class ChunkTable:
-    """Token ids of chunks of text, looked up if seen before. ``encode_many`` encodes a list of new
-    chunks: it gives them back in an order of its own, with a flat array of ids and the number of ids
+    """Token ids of chunks of text (strings or their bytes), looked up if seen before. ``encode_many``
+    encodes a list of new chunks: it gives them back in an order of its own, with a flat array of ids and the number of ids
     of each."""
 
     def __init__(self, encode_many):
@@ -24,7 +24,7 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict = {}
         self.characters = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -44,10 +44,10 @@ class ChunkTable:
         self.clear()
         self._add([c for c, _ in kept], ids, sizes)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list) -> None:
         self._add(*self.encode_many(chunks))
 
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, chunks: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.index), len(chunks)
         while n + m >= len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -62,11 +62,8 @@ class ChunkTable:
         self.index.update(zip(chunks, range(n, n + m)))
         self.characters += sum(map(len, chunks))
 
-    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
-        import pyarrow as pa
-
-        chunks = list(chain.from_iterable(texts))
+    def find(self, chunks: list) -> np.ndarray:
+        """The rows of chunks in the table, until the next call; new ones are encoded."""
         if len(self.index) > CHUNKS or self.characters > CHARACTERS:
             self.renew()
         rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -76,13 +73,22 @@ class ChunkTable:
             new = [chunks[i] for i in unknown.tolist()]
             self._learn(list(dict.fromkeys(new)))
             rows[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        sizes = self.size[rows]
-        ends = np.cumsum(sizes)
+        return rows
+
+    def lists(self, rows: np.ndarray):
+        """The ids of the chunks in these rows, as an Arrow array of lists."""
+        import pyarrow as pa
+
         known = pa.LargeListArray.from_arrays(self.start[: len(self.index) + 1], self.flat[: self.used])
-        ids = known.take(pa.array(rows)).flatten().to_numpy()
+        return known.take(pa.array(rows))
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, given as lists of chunks, one after the other, and the number of ids of each."""
+        rows = self.find(list(chain.from_iterable(texts)))
+        ends = np.cumsum(self.size[rows])
         cuts = np.cumsum([len(t) for t in texts])
         at = np.concatenate([[0], ends])[cuts] if len(texts) else np.zeros(0, np.int64)
-        return ids, np.diff(at, prepend=0)
+        return self.lists(rows).flatten().to_numpy(), np.diff(at, prepend=0)
 
 
 def per_worker(key: str, make):

@@ -18,17 +18,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftwork.llm.chunks import ChunkTable, grouped, per_worker
+from weftwork.llm.chunks import ChunkTable, per_worker
 from weftwork.session import shared_dir
 
 MAGIC = 0x52414E53
 PRECISION = 20
 LANES, SEGMENT, STEPS = 1024, 128, 256
 BLOCK = LANES * STEPS
+#: Bytes of texts that are encoded at a time.
+GROUP = 1 << 22
 _LOW = np.uint64(1 << 31)
 _DOC = np.dtype([("id", "<i8"), ("seq", "<u4"), ("n", "<u4"), ("before", "<u8")])
 
@@ -121,31 +124,73 @@ def unpack_block(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return coder.decode(n, lanes, offsets, states, np.frombuffer(data, "<u4", words, at + states.nbytes)), table
 
 
-#: Begins a chunk that has no space before it; no text holds this character.
-_START = "\ud800"
-
-
-def split_chunks(text: str) -> list[str]:
-    """A text cut before each space that something other than white space follows. The pre-tokenizer
-    always begins a token there, so chunks are encoded one by one. They are given without that space."""
-    import re
-
-    if re.search(r" \s| \Z", text):
-        parts = [c for c in re.split(r"(?= \S)", text) if c]
-        return [c[1:] if re.match(r" \S", c) else _START + c for c in parts]
-    chunks = text.split(" ")
-    if chunks[0]:
-        chunks[0] = _START + chunks[0]
-        return chunks
-    return chunks[1:]
-
-
-#: Where the usual pattern of a byte-level pre-tokenizer begins a token, whatever stands around: between a
-#: letter or digit and ASCII punctuation or a line's end, and between a single line's end and a letter or
-#: digit. Apostrophes may belong to letters on both sides.
-_ALNUM = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_INNER = " " + _START
-_MARK, _LINE = rf"(?s:[!-&(-/:-@\[-`{{-~\n](?<=[{_ALNUM}].))", rf"\n(?=[{_ALNUM}])(?<=[!-~{_START}]\n)"
+def _bytes_of(chars: str) -> np.ndarray:
+    return np.isin(np.arange(256), [ord(c) for c in chars])
+
+
+_WORD, _VISIBLE = _bytes_of("".join(c for c in map(chr, range(128)) if c.isalnum())), _bytes_of("".join(map(chr, range(33, 127))))
+#: ASCII punctuation and the line's end; apostrophes may belong to letters on both sides.
+_MARK = _VISIBLE & ~_WORD & ~_bytes_of("'") | _bytes_of("\n")
+#: First bytes of characters that are not white space, and those of which some are.
+_MAYBE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_SOLID = ~_MAYBE & ~_bytes_of("".join(c for c in map(chr, range(128)) if c.isspace()))
+#: White space of two or three bytes, as numbers of three bytes.
+_SPACES = [int.from_bytes(chr(c).encode().ljust(3, b"\0")) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _is_wide(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter from U+00C0 to U+023F; two signs of arithmetic stand among them."""
+    return (first >= 0xC3) & (first <= 0xC8) & ~((first == 0xC3) & ((second & 0xDF) == 0x97))
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, usual: bool, whole: list) -> np.ndarray:
+    """Where the chunks of texts begin, and the end of the last; text i is the UTF-8 of ``data`` from
+    ``offsets[i]`` to ``offsets[i + 1]``. A text is cut before each space that something other than white
+    space follows: the pre-tokenizer always begins a token there, so chunks are encoded one by one.
+    ``usual``: as the usual pattern of a byte-level pre-tokenizer begins tokens there, whatever stands around,
+    it is also cut between a letter or digit and ASCII punctuation or a line's end, and between a single
+    line's end and a letter or digit. So these make no new chunks of words. ``whole``: where texts begin and end
+    that are not cut."""
+    begins = np.zeros(len(data) + 1, bool)
+    space = np.flatnonzero(data == 32)
+    lead = data.take(space + 1, mode="clip")
+    solid = _SOLID[lead]
+    maybe = np.flatnonzero(_MAYBE[lead])
+    if len(maybe):
+        at, a = space[maybe] + 2, lead[maybe].astype(np.int32)
+        b, c = data.take(at, mode="clip").astype(np.int32), data.take(at + 1, mode="clip")
+        solid[maybe] = ~np.isin(a << 16 | b << 8 | np.where(a == 0xC2, 0, c), _SPACES)
+    begins[space[solid]] = True
+    begins[offsets[1:] - 1] = False  # nothing follows the last character of a text
+    if usual:
+        mark = np.flatnonzero(_MARK[data])
+        before = data.take(mark - 1, mode="clip")
+        after_word = _WORD[before] | _is_wide(data.take(mark - 2, mode="clip"), before)
+        begins[mark[after_word]] = True
+        line = data[mark] == 10
+        end = mark[line] + 1
+        after = data.take(end, mode="clip")
+        word = _WORD[after] | _is_wide(after, data.take(end + 1, mode="clip"))
+        begins[end[word & (after_word | _VISIBLE[before])[line]]] = True
+    for a, b in whole:
+        begins[a:b] = False
+    begins[offsets] = True
+    return np.flatnonzero(begins)
+
+
+def utf8(texts):
+    """(bytes, offsets) of an Arrow array of binary texts; null is empty, what is no UTF-8 is replaced."""
+    import pyarrow as pa
+
+    texts = texts.fill_null(b"")
+    try:
+        texts = texts.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64)[texts.offset :][: len(texts) + 1]
 
 
 class Tokens:
@@ -154,63 +199,75 @@ class Tokens:
     def __init__(self, definition: str):
         import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         # names of added tokens are matched before a text is cut, so a text with one stays whole
-        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a byte-level token has one character for each byte
         self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.table = ChunkTable(self._encode_many)
         rules = json.loads(definition)
         before = rules.get("pre_tokenizer") or {}
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.parts = (re.compile(_MARK), re.compile(_LINE)) if usual and not rules.get("normalizer") else None
+        self.usual = usual and not rules.get("normalizer")
         # words of ASCII letters are one token each to the pre-tokenizer, and only their space is written
         # otherwise: the library encodes them faster if it cuts at that alone
-        self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0] if self.parts else ""
+        self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0] if self.usual else ""
         cut = {"type": "Split", "pattern": {"String": self.space}, "behavior": "MergedWithNext", "invert": False}
-        self.words = Tokenizer.from_str(json.dumps(rules | {"pre_tokenizer": cut, "added_tokens": []})) if self.parts else self.tokenizer
+        self.words = Tokenizer.from_str(json.dumps(rules | {"pre_tokenizer": cut, "added_tokens": []})) if self.usual else self.tokenizer
 
-    def _each(self, chunks: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _each(self, chunks: list[bytes]):
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
-    def _encode_many(self, chunks: list[str]):
+    def _encode_many(self, chunks: list[bytes]):
         """Chunks that begin with a space are encoded in one string, which costs the library less,
         and told apart by the bytes of their tokens."""
         first, words, rest = [], [], []
+        names = self._names_in(b"".join(chunks))
         for c in chunks:
-            (first if c[0] == _START else words if c.isascii() and c.isalpha() and self.parts else rest).append(c)
-        found = [self._each([c[1:] for c in first]), self._joined(self.words, self.space, words), self._joined(self.tokenizer, " ", rest)]
+            (first if c[0] != 32 or (names and any(n in c for n in names)) else words if self.usual and c[1:].isalpha() else rest).append(c)
+        found = [self._each(first), self._joined(self.words, self.space, words), self._joined(self.tokenizer, " ", rest)]
         return first + words + rest, np.concatenate([ids for ids, _ in found]), np.concatenate([sizes for _, sizes in found])
 
-    def _joined(self, tokenizer, space: str, chunks: list[str]):
+    def _joined(self, tokenizer, space: str, chunks: list[bytes]):
         if not chunks:
             return self._each([])
-        together = np.array(tokenizer.encode_batch_fast([space + space.join(chunks)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
+        text = b"".join(chunks).decode()
+        text = text if space == " " else text.replace(" ", space)
+        together = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
         reached = np.cumsum(self.bytes[together])
         at = np.searchsorted(reached, ends)
         if len(reached) and reached[-1] == ends[-1] and (reached[at] == ends).all():
             return together, np.diff(at + 1, prepend=0)
-        return self._each([" " + c for c in chunks])  # a token runs over a cut, which another tokenizer may do
+        return self._each(chunks)  # a token runs over a cut, which another tokenizer may do
+
+    def _names_in(self, text: bytes) -> list[bytes]:
+        return [n for n in self.names if n in text]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.encode([self._cut(t) if t else [] for t in texts])
+        """The ids of all texts, one after the other, and the number of ids of each."""
+        import pyarrow as pa
+
+        return self.encode_utf8(*utf8(pa.array([t.encode() for t in texts], pa.large_binary())))
+
+    def encode_utf8(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that lie in ``data`` between ``offsets``. A distinct chunk is looked up once."""
+        import pyarrow as pa
 
-    def _cut(self, text: str) -> list[str]:
-        """The chunks of a text, words apart from marks and line ends, which would make new chunks of them."""
-        if any(n in text for n in self.names):
-            return [_START + text]
-        if self.parts:
-            mark, line = self.parts
-            text = line.sub("\n" + _INNER, mark.sub(_INNER + r"\g<0>", text))
-        return split_chunks(text)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        cuts = zip(offsets[:-1].tolist(), offsets[1:].tolist()) if self._names_in(data.tobytes()) else ()
+        starts = chunk_starts(data, offsets, self.usual, [(a, b) for a, b in cuts if self._names_in(data[a:b].tobytes())])
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist()
+        lists = self.table.lists(self.table.find(distinct)).take(chunks.indices)
+        ends = lists.offsets.to_numpy()[np.searchsorted(starts, offsets)]
+        return lists.flatten().to_numpy(), np.diff(ends)
 
 
 def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, counts: bool = False) -> DataFrame:
@@ -229,21 +286,23 @@ def token_ids(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text
         kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         press, total = zstandard.ZstdCompressor(level=3), np.zeros(end_id + 1, np.int64)
         for batch in it:
+            data, offsets = utf8(batch.column(1))
             row = 0
-            for group in grouped([t.decode("utf-8", "replace") if t else "" for t in batch.column(1).to_pylist()]):
-                ids, sizes = tokens.encode(group)
+            while row < batch.num_rows:
+                after = max(int(np.searchsorted(offsets, offsets[row] + GROUP, "right")) - 1, row + 1)
+                ids, sizes = tokens.encode_utf8(data, offsets[row : after + 1])
                 if counts:
                     mine = np.bincount(ids, minlength=len(total))
                     total = mine + np.append(total, np.zeros(len(mine) - len(total), np.int64))
-                    total[end_id] += len(group)
+                    total[end_id] += after - row
                 ids, ends = ids.astype(kind), np.cumsum(sizes)
                 end = np.array([end_id], kind).tobytes()
                 packed = [press.compress(ids[b - n : b].tobytes() + end) for b, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(group)), pa.array(sizes + 1), pa.array(packed, pa.binary()), pa.array([int(kind[2])] * len(group), pa.int32())],
+                    [batch.column(0).slice(row, after - row), pa.array(sizes + 1), pa.array(packed, pa.binary()), pa.array([int(kind[2])] * (after - row), pa.int32())],
                     names=["id", "n", "ids", "width"],
                 )
-                row += len(group)
+                row = after
         if counts:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([press.compress(total.astype("<i8").tobytes())], pa.binary()), pa.array([8], pa.int32())], names=["id", "n", "ids", "width"]
