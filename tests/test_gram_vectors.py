@@ -47,3 +47,28 @@ def test_text_models_write_no_counts_of_strings(spark, root, monkeypatch):
     assert queries["n04_stacked_scores"](spark, root).count() > 0
     assert not [s for s in seen if "term:string" in s or "terms:" in s]
     assert [s for s in seen if "plain:string" in s]
+
+
+@pytest.mark.parametrize("alphabet", ["narrow", "wide"])
+@pytest.mark.parametrize("sizes", [(3, 5), (1, 2)])
+def test_grams_across_words_are_those_of_their_counts(spark, alphabet, sizes):
+    more = ["".join(chr(0x4E00 + i) for i in range(7000)) + " abc  d"] if alphabet == "wide" else []
+    df = spark.createDataFrame(list(enumerate(TEXTS + more)), "id int, text string").coalesce(1)
+    counts = terms.gram_counts(df, ["id"], F.coalesce("text", F.lit("")), *sizes, within_words=False)
+    df = df.withColumn("plain", terms.gram_text(F.col("text"), within_words=False))
+    old = TermVectorizer(minDF=1).fit(counts)
+    new = TermVectorizer(inputCol="plain", grams=list(sizes), across=True, minDF=1).fit(df)
+    assert new.terms == old.terms and np.allclose(new.idf, old.idf)
+    want, got = ({r["id"]: r["tfidf"] for r in found.collect()} for found in (old.transform(counts), new.transform(df)))
+    assert got.keys() == want.keys() and all(np.allclose(got[i].toArray(), want[i].toArray()) for i in want)
+
+
+def test_grams_of_documents_are_cut_from_texts(spark, root, monkeypatch):
+    """A table of counts of strings takes more memory to read than an executor has."""
+    from queries import catalogue
+
+    seen, write_once = [], terms.write_once
+    monkeypatch.setattr(terms, "write_once", lambda df, by=(): seen.append(df.schema.simpleString()) or write_once(df, by))
+    for name in ("i17_char_tfidf_documents", "i16_char_wb_tfidf"):
+        assert catalogue.queries()[name](spark, root).count() > 0
+    assert seen and not [s for s in seen if "term:string" in s]
