@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftwork.functions import text as T
+from weftwork.functions import wordlists as wl
 from weftwork.operators import models, terms, vectorize
 from weftwork.operators.vectorize import TermVectorizer
 
@@ -72,3 +74,13 @@ def test_grams_of_documents_are_cut_from_texts(spark, root, monkeypatch):
     for name in ("i17_char_tfidf_documents", "i16_char_wb_tfidf"):
         assert catalogue.queries()[name](spark, root).count() > 0
     assert seen and not [s for s in seen if "term:string" in s]
+
+
+def test_texts_are_searched_for_rare_characters_by_a_range(spark):
+    """A class of some fifty characters took most of the time of the text models' input."""
+    df = spark.createDataFrame([("caf\u00e9 \u2013 \u09cb",), ("\U00011938",), ("\u0e01 a\u0301",), (None,)], "c string")
+    plan = df.select(T.strip_accents(F.col("c")).alias("p"))
+    low, high = min(wl.ACCENTED_LONGER), max(c for c in wl.ACCENTED_LONGER if c <= "\uffff")
+    assert f"[{low}-{high}" in plan._jdf.queryExecution().analyzed().toString()
+    longer = {chr(0x09CB): wl.ACCENTED_LONGER[chr(0x09CB)], "\U00011938": wl.ACCENTED_LONGER["\U00011938"]}
+    assert [r["p"] for r in plan.collect()] == ["cafe \u2013 " + longer[chr(0x09CB)], longer["\U00011938"], "\u0e01 a", None]

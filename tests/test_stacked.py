@@ -42,3 +42,28 @@ def test_stack_of_numeric_and_text_models_and_its_report(spark):
     logit = weights @ wide[list(fits)].to_numpy().T + run.meta.bestModel.intercept
     assert np.allclose(wide["stack"], 1 / (1 + np.exp(-logit)))
     assert run.oof.select(F.countDistinct("model", "id")).first()[0] == 240
+
+
+def test_margins_of_several_models_take_one_pass(spark):
+    """A pass for each model kept a Python worker more with every task."""
+    from weftwork.operators.sgd import SGDLinearModel, margins
+
+    rng = np.random.default_rng(3)
+    made = [SGDLinearModel(rng.normal(size=4), float(i)) for i in range(3)]
+    rows = [(0, Vectors.dense(rng.normal(size=4))), (1, Vectors.sparse(4, [1, 3], [2.0, -1.0])), (2, Vectors.sparse(4, [], []))]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    out = margins(made, df, "m")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["id"]: r["m"] for r in out.collect()}
+    for i, x in rows:
+        assert got[i] == pytest.approx([m.coefficients @ x.toArray() + m.intercept for m in made])
+
+
+def test_scores_of_unseen_rows_are_computed_once(spark, monkeypatch):
+    """They are checked and then spread out, which cut every text twice."""
+    rows = [(i, float(i % 2), Vectors.dense([i % 2 + 0.1 * (i % 5), 1.0])) for i in range(30)]
+    train = spark.createDataFrame(rows, ["id", "label", "features"])
+    plans, inner = [], stacked.combine.stack_predictions
+    monkeypatch.setattr(stacked.combine, "stack_predictions", lambda preds, *a: plans.append(preds._jdf.queryExecution().optimizedPlan().toString()) or inner(preds, *a))
+    stacked.fit_and_score(train, train.drop("label"), {"numeric": lambda d: models.fit_logistic(d, max_iter=5)}, k=3, Cs=(1.0,))
+    assert len(plans) == 2 and not [p for p in plans if "UDF" in p or "Aggregate" in p]
