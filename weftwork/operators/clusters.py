@@ -407,7 +407,8 @@ def _dbscan_cells(rows: DataFrame, eps: float, min_samples: int, block_rows: int
     clustered = pack(placed, ["comp"], leaves, order, block_rows)
     outside = pack(border, ["key"], leaves, order, block_rows, clustered.parts)
     reached = meet(wanting(outside, ["key"], leaves, clustered, within), clustered, ["key"], ["comp"], Smallest, "id bigint, comp bigint")
-    labelled = placed.select("id", "comp").unionByName(reached.groupBy("id").agg(F.min("comp").alias("comp")))
+    reached = materialise(reached.groupBy("id").agg(F.min("comp").alias("comp")))  # so that chunks meet once
+    labelled = placed.select("id", "comp").unionByName(reached)
     return _renumbered(rows, points.select(F.col("key").alias("id"), "x"), labelled, comps)
 
 
