@@ -67,3 +67,26 @@ def test_scores_of_unseen_rows_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(stacked.combine, "stack_predictions", lambda preds, *a: plans.append(preds._jdf.queryExecution().optimizedPlan().toString()) or inner(preds, *a))
     stacked.fit_and_score(train, train.drop("label"), {"numeric": lambda d: models.fit_logistic(d, max_iter=5)}, k=3, Cs=(1.0,))
     assert len(plans) == 2 and not [p for p in plans if "UDF" in p or "Aggregate" in p]
+
+
+def test_text_models_are_fitted_one_after_the_other(spark, root, monkeypatch):
+    """Side by side, each keeps its training rows in memory and as many sums in the driver."""
+    import threading
+    import time
+
+    from queries import catalogue
+
+    lock, active, most = threading.Lock(), [], []
+
+    def fit(train, **_):
+        with lock:
+            active.append(1)
+            most.append(len(active))
+        time.sleep(0.5)
+        with lock:
+            active.pop()
+
+    monkeypatch.setattr(models, "fit_text_logistic", fit)
+    monkeypatch.setattr(models, "held_out_scores", lambda data, *_: data.select("doc_id", F.lit(0.5).alias("p")))
+    assert catalogue.queries()["k17_text_oof"](spark, root).count() > 0
+    assert len(most) == 3 and max(most) == 1
